@@ -57,3 +57,4 @@ def sql(body: str, recursive: bool = False) -> str:
 
 from . import catalog_queries  # noqa: E402,F401  (registers the queries)
 from . import catalog_reports  # noqa: E402,F401
+from . import catalog_ops  # noqa: E402,F401
