@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DoubleType, IntegerType, LongType, NumericType, StringType, StructField, StructType,
-)
+from pyspark.sql.types import LongType, NumericType, StringType, StructField, StructType
 
 from ..config import ANALYTICS_COLUMNS, NUMERIC_COLUMNS, REQUIRED_COLUMNS
 
@@ -49,16 +47,18 @@ def type_report(spark: SparkSession, df: DataFrame, columns: list[str] | None =
 
 
 # ---------------------------------------------------------------- V3-V5
-RANGE_RULES = [
-    ("negative_price", "price", F.col("price") < 0),
-    ("negative_units_sold", "units_sold", F.col("units_sold") < 0),
-    ("discount_above_100", "discount", F.col("discount") > 100),
-]
+def range_rules() -> list[tuple]:
+    """(rule, column, condition) triples; built lazily (Columns need a session)."""
+    return [
+        ("negative_price", "price", F.col("price") < 0),
+        ("negative_units_sold", "units_sold", F.col("units_sold") < 0),
+        ("discount_above_100", "discount", F.col("discount") > 100),
+    ]
 
 
 def range_checks(df: DataFrame) -> DataFrame:
     """(rule, column, violations, passed) — all rules counted in one pass."""
-    rules = [(n, c, cond) for n, c, cond in RANGE_RULES if c in df.columns]
+    rules = [(n, c, cond) for n, c, cond in range_rules() if c in df.columns]
     counts = df.agg(*[F.count_if(cond).alias(n) for n, _, cond in rules])
     stack = ", ".join(f"'{n}', '{c}', `{n}`" for n, c, _ in rules)
     return (counts.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, column, violations)")

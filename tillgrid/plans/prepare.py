@@ -29,18 +29,30 @@ class Stages:
     processed: DataFrame
 
 
-def stages(raw: DataFrame, date_formats: list[str] | None = None, approx_fence: bool = False) -> Stages:
+def stages(raw: DataFrame, date_formats: list[str] | None = None, approx_fence: bool = False,
+           cleaned_path: str | None = None) -> Stages:
+    """Build every stage lazily.
+
+    The fence reads the cleaned table twice (once for the quartiles, once to
+    filter). With ``cleaned_path`` the cleaned table is written there as
+    Parquet first, so the joins and the de-duplication run once and the
+    quartile pass scans a single column; without it the plan stays lazy.
+    """
     deduped = clean.normalise_headers(clean.dedup_rows(raw))
     deduped = clean.parse_dates(deduped, "date", date_formats)
     cleaned = clean.drop_missing(deduped, ["date"])
     cleaned = clean.coerce_numeric(cleaned)
     cleaned = clean.drop_missing(cleaned, ["units_sold"])
     quality.check_schema(cleaned)
+    if cleaned_path is not None:
+        cleaned.write.mode("overwrite").parquet(cleaned_path)
+        cleaned = cleaned.sparkSession.read.parquet(cleaned_path)
     kept = clean.outlier_fence(cleaned, "units_sold", approx=approx_fence)
     processed = clean.fill_discount(clean.add_features(kept))
     return Stages(raw, deduped, cleaned, kept, processed)
 
 
-def prepare(raw: DataFrame, date_formats: list[str] | None = None, approx_fence: bool = False) -> DataFrame:
-    """The processed sales table (lazy)."""
-    return stages(raw, date_formats, approx_fence).processed
+def prepare(raw: DataFrame, date_formats: list[str] | None = None, approx_fence: bool = False,
+            cleaned_path: str | None = None) -> DataFrame:
+    """The processed sales table (lazy unless ``cleaned_path`` is given)."""
+    return stages(raw, date_formats, approx_fence, cleaned_path).processed
