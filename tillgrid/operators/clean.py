@@ -23,7 +23,7 @@ from ..config import (
 from ..functions.dates import day_of, iso_week, month_of, parse_date_text, weekday_monday0, year_of
 from ..functions.numbers import coerce_number
 from ..functions.text import promotion_flag
-from .joins import one_row
+from .joins import one_row, sized_broadcast
 
 
 # ---------------------------------------------------------------- P1 / N4
@@ -96,7 +96,7 @@ def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 # ---------------------------------------------------------------- A12 / P8 / P9
 def fence_bounds(df: DataFrame, column: str = "units_sold", k: float = FENCE_K,
-                 approx: bool = False, accuracy: int = 100000) -> DataFrame:
+                 approx: bool = False, accuracy: int = 100000, by: list[str] | None = None) -> DataFrame:
     """One-row frame (q1, q3, iqr, lower, upper) over the whole input.
 
     ``percentile`` is exact with linear interpolation; it aggregates a
@@ -109,9 +109,10 @@ def fence_bounds(df: DataFrame, column: str = "units_sold", k: float = FENCE_K,
         qs = F.percentile_approx(c, F.array(F.lit(FENCE_LOW_Q), F.lit(FENCE_HIGH_Q)), accuracy)
     else:
         qs = F.percentile(c, F.array(F.lit(FENCE_LOW_Q), F.lit(FENCE_HIGH_Q)))
-    q = df.agg(qs.alias("_q"))
+    q = df.groupBy(*(by or [])).agg(qs.alias("_q"))
     q1, q3 = F.col("_q")[0].cast("double"), F.col("_q")[1].cast("double")
     return q.select(
+        *(by or []),
         q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
         (q1 - F.lit(k) * (q3 - q1)).alias("lower"),
         (q3 + F.lit(k) * (q3 - q1)).alias("upper"))
@@ -122,16 +123,24 @@ def _with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
     return df.crossJoin(one_row(b))
 
 
+def _with_group_bounds(df: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    b = bounds.select(*by, F.col("lower").alias("_fence_lower"), F.col("upper").alias("_fence_upper"))
+    return df.join(sized_broadcast(b), by)
+
+
 def outlier_fence(df: DataFrame, column: str = "units_sold", k: float = FENCE_K,
-                  approx: bool = False) -> DataFrame:
+                  approx: bool = False, by: list[str] | None = None) -> DataFrame:
     """Keep rows with ``lower <= column <= upper`` (inclusive 1.5*IQR fence).
 
     The bounds are a one-row global aggregate joined back by broadcast; the
-    big side is streamed, never shuffled.
+    big side is streamed, never shuffled. With ``by`` (e.g. one fence per
+    uploaded job) the bounds are one row per group, joined on the group key
+    (broadcast only under the size check).
     """
-    b = fence_bounds(df, column, k, approx)
+    b = fence_bounds(df, column, k, approx, by=by)
     c = F.col(column)
-    return (_with_bounds(df, b)
+    joined = _with_group_bounds(df, b, by) if by else _with_bounds(df, b)
+    return (joined
             .filter((c >= F.col("_fence_lower")) & (c <= F.col("_fence_upper")))
             .drop("_fence_lower", "_fence_upper"))
 
