@@ -358,3 +358,35 @@ def q_status_badges(spark, sf_dir):
          .when(et == "signup", "").otherwise(et))
     b = jobs.with_status_badge(ev.select(s.alias("status")), "status")
     return b.groupBy("status_norm", "badge").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ================================================================== V2
+@register("type_report", sql("""
+SELECT c AS "column", 'double' AS data_type, true AS is_numeric FROM (
+  SELECT DISTINCT 1 AS one FROM processed) t,
+  (VALUES ('inventory_level'), ('units_sold'), ('units_ordered'), ('price'), ('discount'), ('competitor_pricing')) v(c)"""))
+def q_type_report(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    rep = quality.type_report(spark, p)
+    # one row per measure column, present only when the table has rows
+    return rep.crossJoin(p.select(F.lit(1).alias("one")).limit(1)).drop("one")
+
+
+# ================================================================== P10
+DISCOUNT_GAP_VIEW = "SELECT * REPLACE (CASE WHEN weather_condition = 'R' THEN NULL ELSE discount END AS discount) FROM sales"
+
+
+@register("discount_filled", sql("").replace("dedup AS (SELECT DISTINCT * FROM sales)",
+                                             f"dedup AS (SELECT DISTINCT * FROM ({DISCOUNT_GAP_VIEW}))") + """
+SELECT weather_condition, COUNT(*) FILTER (WHERE discount = 0) AS zero_discounts,
+       CAST(SUM(CAST(discount AS DECIMAL(38,6))) AS DOUBLE) AS discount_total, COUNT(*) AS n_rows
+FROM processed GROUP BY weather_condition""")
+def q_discount_filled(spark, sf_dir):
+    from .prepare import prepare
+    s = sales_view(spark, sf_dir)
+    s = s.withColumn("discount", F.when(F.col("weather_condition") != "R", F.col("discount")))
+    p = prepare(s)
+    return p.groupBy("weather_condition").agg(
+        F.count_if(F.col("discount") == 0).alias("zero_discounts"),
+        F.sum(F.col("discount").cast("decimal(38,6)")).cast("double").alias("discount_total"),
+        F.count(F.lit(1)).alias("n_rows"))

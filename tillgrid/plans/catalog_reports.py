@@ -268,3 +268,60 @@ def q_currency_text(spark, sf_dir):
     g = p.filter(F.col("category").isNotNull()).groupBy("category").agg(
         F.round(F.sum(exact(F.col("units_sold") * F.col("price"))), 2).alias("rev"))
     return g.select("category", currency_text(F.col("rev")).alias("revenue_text"))
+
+
+# ------------------------------------------------------------------ C7 markdown
+MD_ITEMS = [
+    ("total_sales", "CAST(total_sales AS VARCHAR)"),
+    ("avg_sales", "CAST(avg_sales AS VARCHAR)"),
+    ("next_month_forecast", "CAST(next_month_forecast AS VARCHAR)"),
+    ("forecast_range", "forecast_range"),
+    ("growth_display", "growth_display"),
+    ("trend", "trend"),
+    ("trend_strength", "trend_strength"),
+    ("forecast_confidence", "forecast_confidence"),
+    ("risk_indicator", "risk_indicator"),
+    ("best_month", "best_month"),
+    ("worst_month", "worst_month"),
+]
+
+
+def _markdown_sql() -> str:
+    head = ["'# Automated Analytics Report: sales.csv'", "''", "'- Job ID: `job`'",
+            "'- Operation: `forecasting`'", "'- Status: `SUCCEEDED`'", "''", "'## Key Metrics'"]
+    head += [f"'- {k}: ' || COALESCE({v}, 'None')" for k, v in MD_ITEMS]
+    n = len(head)
+    n_ins = sum(1 for s, _ in FORECAST_LINES if s == "insight")
+    rows = [(i, e) for i, e in enumerate(head)]
+    rows += [(n, "''"), (n + 1, "'## Insights'")]
+    rows += [(n + 2 + i, "'- ' || " + e) for i, (s, e) in enumerate(x for x in FORECAST_LINES if x[0] == "insight")]
+    rows += [(n + 2 + n_ins, "''"), (n + 3 + n_ins, "'## Recommendations'")]
+    rows += [(n + 4 + n_ins + i, "'- ' || " + e) for i, (s, e) in
+             enumerate(x for x in FORECAST_LINES if x[0] == "recommendation")]
+    body = "\nUNION ALL\n".join(f"SELECT CAST({o} AS INTEGER) AS ord, {e} AS line FROM m" for o, e in rows)
+    return sql(FORECAST_BASE + "\n" + body)
+
+
+@register("markdown_report", _markdown_sql())
+def q_markdown_report(spark, sf_dir):
+    return reports.markdown_lines(processed(spark, sf_dir), operation="forecasting")
+
+
+# ------------------------------------------------------------------ N10: calendar-period grain
+@register("year_month_growth", sql(""", ms AS (SELECT strftime(date, '%Y-%m') AS period, SUM(units_sold) AS total_units
+                FROM processed GROUP BY 1),
+g AS (SELECT period, total_units, lag(total_units) OVER (ORDER BY period) AS previous_units FROM ms)
+SELECT period, total_units, previous_units,
+       CASE WHEN previous_units = 0 THEN NULL ELSE total_units / previous_units - 1 END AS growth
+FROM g WHERE previous_units IS NOT NULL"""))
+def q_year_month_growth(spark, sf_dir):
+    from ..operators import forecast as fc
+    return fc.month_growth(fc.monthly_totals(processed(spark, sf_dir), grain="year_month"))
+
+
+# ------------------------------------------------------------------ A18
+@register("fallback_totals", sql(
+    "SELECT COALESCE(SUM(units_sold), 0.0) AS total_units, COALESCE(round(AVG(units_sold), 2), 0.0) AS avg_units FROM processed"))
+def q_fallback_totals(spark, sf_dir):
+    from ..operators.metrics import fallback_totals
+    return fallback_totals(processed(spark, sf_dir))
