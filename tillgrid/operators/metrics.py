@@ -240,3 +240,67 @@ def fallback_totals(df: DataFrame) -> DataFrame:
     """
     return df.agg(F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("total_units"),
                   F.coalesce(F.round(F.avg("units_sold"), 2), F.lit(0.0)).alias("avg_units"))
+
+
+# ---------------------------------------------------------------- report cube (A17 for the reports)
+# grouping_id bits over (category, region, month, year); 1 = column rolled up
+REPORT_GRAINS = {15: "all", 7: "category", 11: "region", 13: "month", 12: "year_month", 14: "year"}
+
+
+def report_cube(df: DataFrame, materialise: bool = True) -> DataFrame:
+    """Every aggregate a report needs, from ONE scan of the processed table.
+
+    GROUPING SETS ((), (category), (region), (month), (year, month), (year))
+    with units sum/count, exact revenue sum/count and row count. The result
+    has one row per key value (a few hundred rows), so it is checkpointed to
+    the shared checkpoint folder: every report branch then reads the cube
+    instead of re-scanning the table.
+    """
+    rev = exact(F.col("revenue")) if "revenue" in df.columns else F.lit(None).cast("decimal(38,6)")
+    src = df.select("category", "region", "month", "year", "units_sold", rev.alias("_rev"))
+    g = src.groupingSets(
+        [[], [F.col("category")], [F.col("region")], [F.col("month")],
+         [F.col("year"), F.col("month")], [F.col("year")]],
+        "category", "region", "month", "year",
+    ).agg(
+        F.grouping_id().alias("_gid"),
+        F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("total_units"),
+        F.count("units_sold").alias("n_units"),
+        F.sum("_rev").alias("total_revenue"),
+        F.count("_rev").alias("n_revenue"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+    grain = F.lit(None).cast("string")
+    for gid, name in REPORT_GRAINS.items():
+        grain = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(grain)
+    g = g.withColumn("grain", grain).drop("_gid")
+    keep = ((F.col("grain") == "all")
+            | ((F.col("grain") == "category") & F.col("category").isNotNull())
+            | ((F.col("grain") == "region") & F.col("region").isNotNull())
+            | ((F.col("grain") == "month") & F.col("month").isNotNull())
+            | ((F.col("grain") == "year_month") & F.col("year").isNotNull() & F.col("month").isNotNull())
+            | ((F.col("grain") == "year") & F.col("year").isNotNull()))
+    g = g.filter(keep)
+    return g.checkpoint(eager=True) if materialise else g
+
+
+def cube_keyed(cube: DataFrame, grain: str) -> DataFrame:
+    """(key, total_units) slice of the report cube; ``year_month`` gets a ``period`` label."""
+    s = cube.filter(F.col("grain") == grain)
+    if grain == "year_month":
+        label = F.date_format(F.make_date(F.col("year"), F.col("month"), F.lit(1)), "yyyy-MM")
+        return s.select(label.alias("period"), "total_units")
+    return s.select(grain, "total_units")
+
+
+def cube_totals(cube: DataFrame) -> DataFrame:
+    """The grand-total row: total_units, n_units, total_revenue, n_revenue, n_rows."""
+    return cube.filter(F.col("grain") == "all").select("total_units", "n_units", "total_revenue", "n_revenue", "n_rows")
+
+
+def cube_shares(cube: DataFrame, key: str) -> DataFrame:
+    """(key, total_units, share_pct) with the grand total (NULL keys included) as base."""
+    t = cube_totals(cube).select(F.col("total_units").alias("_t"))
+    k = cube_keyed(cube, key)
+    pct = F.when(F.col("_t") == 0, F.lit(0.0)).otherwise(F.round(F.col("total_units") / F.col("_t") * 100, 2))
+    return k.crossJoin(F.broadcast(t)).select(key, "total_units", pct.alias("share_pct"))

@@ -71,20 +71,39 @@ def gap_health(keyed: DataFrame) -> DataFrame:
 
 
 # ================================================================== C2 forecasting
-def forecast_metrics(processed: DataFrame, grain: str = "month") -> DataFrame:
+def _cube(processed: DataFrame, cube: DataFrame | None, fallback: str = "units") -> DataFrame:
+    return cube if cube is not None else metrics.report_cube(metrics.with_revenue(processed, fallback=fallback))
+
+
+def _totals(cube: DataFrame) -> DataFrame:
+    t = metrics.cube_totals(cube)
+    return t.select(F.col("total_units").cast("bigint").alias("total_sales"),
+                    F.round(F.try_divide(F.col("total_units"), F.col("n_units")), 2).alias("avg_sales"))
+
+
+def _monthly(cube: DataFrame, grain: str) -> DataFrame:
+    if grain == "month":
+        return metrics.cube_keyed(cube, "month").withColumnRenamed("month", "period")
+    if grain == "year_month":
+        return metrics.cube_keyed(cube, "year_month")
+    raise ValueError(f"unknown grain {grain!r}")
+
+
+def forecast_metrics(processed: DataFrame, grain: str = "month", cube: DataFrame | None = None) -> DataFrame:
     """One row with the forecast KPI block plus ``status``.
 
+    All inputs come from the report cube (one scan of ``processed``).
     Degenerate histories (one period, or growth after a zero period) give a
     row with NULL growth-derived fields and a status, never an exception.
     """
-    monthly = fc.monthly_totals(processed, grain)
+    cube = _cube(processed, cube)
+    monthly = _monthly(cube, grain)
     summary = fc.growth_summary(monthly)
     bw = ranking.best_worst(monthly, "period")
     top = ranking.top_k(monthly, "period", 3).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "period"))),
                                  lambda s: s["period"].cast("string")), ", ").alias("top_months"))
-    tot = processed.agg(F.coalesce(F.sum("units_sold"), F.lit(0.0)).cast("bigint").alias("total_sales"),
-                        F.round(F.avg("units_sold"), 2).alias("avg_sales"))
+    tot = _totals(cube)
     g = F.col("avg_growth")
     nxt = F.round(fc.compound(F.col("last_units"), g, F.lit(1)), 2)
     name = month_name if grain == "month" else (lambda c: c.cast("string"))
@@ -104,9 +123,9 @@ def forecast_metrics(processed: DataFrame, grain: str = "month") -> DataFrame:
             ))
 
 
-def forecast_narrative(processed: DataFrame, grain: str = "month") -> DataFrame:
+def forecast_narrative(processed: DataFrame, grain: str = "month", cube: DataFrame | None = None) -> DataFrame:
     """R9 + R11: (section, ord, text) — 7 insights then 4 recommendations."""
-    m = forecast_metrics(processed, grain)
+    m = forecast_metrics(processed, grain, cube)
     g = F.col("avg_growth")
     insights = _lines("insight", [
         F.concat(F.lit("Sales are showing a "), F.col("trend"), F.lit(" trend over time.")),
@@ -123,13 +142,14 @@ def forecast_narrative(processed: DataFrame, grain: str = "month") -> DataFrame:
 
 
 def forecast_report(processed: DataFrame, grain: str = "month") -> dict[str, DataFrame]:
-    """Every output of the forecasting mode as DataFrames."""
-    monthly = fc.monthly_totals(processed, grain)
+    """Every output of the forecasting mode as DataFrames (one scan)."""
+    cube = _cube(processed, None)
+    monthly = _monthly(cube, grain)
     return {
-        "metrics": forecast_metrics(processed, grain),
+        "metrics": forecast_metrics(processed, grain, cube),
         "monthly_sales": ranking.sort_by_key(monthly, "period"),
         "forecast": fc.forecast_steps(fc.growth_summary(monthly)),
-        "narrative": forecast_narrative(processed, grain),
+        "narrative": forecast_narrative(processed, grain, cube),
     }
 
 
@@ -138,14 +158,15 @@ def _business_base(processed: DataFrame, category="all", region="all", year="all
     return metrics.with_revenue(metrics.apply_filters(processed, category, region, year), fallback="units")
 
 
-def business_metrics(processed: DataFrame, category="all", region="all", year="all") -> DataFrame:
+def business_metrics(processed: DataFrame, category="all", region="all", year="all",
+                     cube: DataFrame | None = None) -> DataFrame:
     """One row — totals, top/lowest keys, counts, gap, health, and the
-    shares of the top/lowest keys used by the narrative."""
-    df = _business_base(processed, category, region, year)
-    cat = metrics.shares(df, "category")
-    reg = metrics.shares(df, "region")
-    tot = df.agg(F.coalesce(F.sum("units_sold"), F.lit(0.0)).cast("bigint").alias("total_sales"),
-                 F.round(F.avg("units_sold"), 2).alias("avg_sales"))
+    shares of the top/lowest keys used by the narrative (all from the cube)."""
+    if cube is None:
+        cube = metrics.report_cube(_business_base(processed, category, region, year))
+    cat = metrics.cube_shares(cube, "category")
+    reg = metrics.cube_shares(cube, "region")
+    tot = _totals(cube)
 
     def best(keyed, key, prefix):
         return keyed.agg(
@@ -173,10 +194,11 @@ def business_metrics(processed: DataFrame, category="all", region="all", year="a
     )
 
 
-def business_narrative(processed: DataFrame, category="all", region="all", year="all") -> DataFrame:
+def business_narrative(processed: DataFrame, category="all", region="all", year="all",
+                       cube: DataFrame | None = None) -> DataFrame:
     """R10 + R12: (section, ord, text) — insights (6 + up to 2 conditional)
     then 6 recommendations."""
-    m = business_metrics(processed, category, region, year)
+    m = business_metrics(processed, category, region, year, cube)
 
     def share(c):
         return F.coalesce(_num(F.col(c)), F.lit("0"))
@@ -208,40 +230,42 @@ def business_narrative(processed: DataFrame, category="all", region="all", year=
 def business_report(processed: DataFrame, category="all", region="all", year="all") -> dict[str, DataFrame]:
     """Every output of the business-analysis mode as DataFrames."""
     df = _business_base(processed, category, region, year)
-    cat = metrics.shares(df, "category")
-    reg = metrics.shares(df, "region")
+    cube = metrics.report_cube(df)
+    cat = metrics.cube_shares(cube, "category")
+    reg = metrics.cube_shares(cube, "region")
     return {
-        "metrics": business_metrics(processed, category, region, year),
+        "metrics": business_metrics(processed, category, region, year, cube),
         "kpis": metrics.dual_kpis(df),
         "category_sales": cat,
         "region_sales": reg,
         "top_categories": ranking.top_k(cat, "category"),
         "low_categories": ranking.bottom_k(cat, "category"),
         "region_ranking": ranking.ranking(reg, "region"),
-        "monthly_sales": metrics.units_by_month(df),
+        "monthly_sales": metrics.cube_keyed(cube, "month"),
         "dropdowns": metrics.dropdown_values(df),
-        "narrative": business_narrative(processed, category, region, year),
+        "narrative": business_narrative(processed, category, region, year, cube),
     }
 
 
 # ================================================================== C4 dashboard
-def dashboard_kpis(processed: DataFrame) -> DataFrame:
+def dashboard_kpis(processed: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     """KPI tiles: total and mean units, top category and region (ties -> smaller key)."""
-    tot = processed.agg(F.coalesce(F.sum("units_sold"), F.lit(0.0)).cast("bigint").alias("total_sales"),
-                        F.round(F.avg("units_sold"), 2).alias("avg_sales"))
-    c = metrics.category_sales(processed).agg(metrics.arg_max("category").alias("top_category"))
-    r = metrics.region_sales(processed).agg(metrics.arg_max("region").alias("top_region"))
+    cube = _cube(processed, cube)
+    tot = _totals(cube)
+    c = metrics.cube_keyed(cube, "category").agg(metrics.arg_max("category").alias("top_category"))
+    r = metrics.cube_keyed(cube, "region").agg(metrics.arg_max("region").alias("top_region"))
     return tot.crossJoin(c).crossJoin(r)
 
 
-def dashboard_series(processed: DataFrame) -> DataFrame:
+def dashboard_series(processed: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     """(chart, label, value): monthly periods, categories, regions — key order
     is carried by ``label`` (ascending)."""
-    m = metrics.units_by_year_month(processed).select(F.lit("monthly").alias("chart"),
+    cube = _cube(processed, cube)
+    m = metrics.cube_keyed(cube, "year_month").select(F.lit("monthly").alias("chart"),
                                                        F.col("period").alias("label"), F.col("total_units").alias("value"))
-    c = metrics.category_sales(processed).select(F.lit("category").alias("chart"),
+    c = metrics.cube_keyed(cube, "category").select(F.lit("category").alias("chart"),
                                                  F.col("category").alias("label"), F.col("total_units").alias("value"))
-    r = metrics.region_sales(processed).select(F.lit("region").alias("chart"),
+    r = metrics.cube_keyed(cube, "region").select(F.lit("region").alias("chart"),
                                                F.col("region").alias("label"), F.col("total_units").alias("value"))
     return m.unionByName(c).unionByName(r)
 
@@ -265,12 +289,14 @@ def report_document(processed: DataFrame, operation: str = "business_analysis",
     """(section, ord, text): overview, preprocessing, key metrics, distribution,
     insights (month numbers rewritten to names), recommendations, KPI tiles.
     Always recomputed from the processed table (no cached fallbacks)."""
-    shape = processed.agg(F.count(F.lit(1)).alias("row_count"))
+    cube = _cube(processed, None, fallback="zero")
+    t = metrics.cube_totals(cube)
+    shape = t.select(F.col("n_rows").alias("row_count"),
+                     F.round(F.coalesce(F.col("total_revenue"), F.lit(0)), 2).cast("double").alias("total_revenue"),
+                     F.round(F.try_divide(F.col("total_revenue"), F.col("n_revenue")), 2).cast("double").alias("avg_revenue"))
     ncols = len(processed.columns)
-    b = business_metrics(processed)
-    rev = metrics.dual_kpis(metrics.with_revenue(processed, fallback="zero")).select(
-        F.col("total_revenue"), F.col("avg_revenue"))
-    one = shape.crossJoin(b).crossJoin(rev)
+    b = business_metrics(processed, cube=cube)
+    one = shape.crossJoin(b)
     title = _lines("title", [F.lit(f"Analytics Report: {filename}")])
     summary = _lines("executive_summary", [
         F.concat(F.lit("Processed "), F.col("row_count").cast("string"), F.lit(f" rows using {operation} mode."))])
@@ -304,8 +330,8 @@ def report_document(processed: DataFrame, operation: str = "business_analysis",
         F.concat(F.lit("Avg Revenue: "), currency_text(F.col("avg_revenue"))),
     ])
     head = explode_lines(one, title, summary, overview, prep, keym, dist, kpis)
-    narrative = (forecast_narrative(processed) if operation == "forecasting"
-                 else business_narrative(processed))
+    narrative = (forecast_narrative(processed, cube=cube) if operation == "forecasting"
+                 else business_narrative(processed, cube=cube))
     narrative = narrative.select(
         F.concat(F.col("section"), F.lit("s")).alias("section"), "ord",
         rewrite_month_numbers(F.col("text")).alias("text"))
@@ -316,8 +342,9 @@ def report_document(processed: DataFrame, operation: str = "business_analysis",
 def markdown_lines(processed: DataFrame, operation: str = "forecasting", job_id: str = "job",
                    filename: str = "sales.csv", status: str = "SUCCEEDED") -> DataFrame:
     """(ord, line) of the markdown report; ``write.text`` or ``array_join`` to render."""
+    cube = _cube(processed, None)
     if operation == "forecasting":
-        m = forecast_metrics(processed)
+        m = forecast_metrics(processed, cube=cube)
         items = [("total_sales", F.col("total_sales").cast("string")),
                  ("avg_sales", _num(F.col("avg_sales"))),
                  ("next_month_forecast", _num(F.col("next_month_forecast"))),
@@ -327,9 +354,9 @@ def markdown_lines(processed: DataFrame, operation: str = "forecasting", job_id:
                  ("forecast_confidence", F.col("forecast_confidence")),
                  ("risk_indicator", F.col("risk_indicator")),
                  ("best_month", F.col("best_month")), ("worst_month", F.col("worst_month"))]
-        narrative = forecast_narrative(processed)
+        narrative = forecast_narrative(processed, cube=cube)
     else:
-        m = business_metrics(processed)
+        m = business_metrics(processed, cube=cube)
         items = [("total_sales", F.col("total_sales").cast("string")),
                  ("avg_sales", _num(F.col("avg_sales"))),
                  ("top_category", F.col("top_category")), ("top_region", F.col("top_region")),
@@ -337,7 +364,7 @@ def markdown_lines(processed: DataFrame, operation: str = "forecasting", job_id:
                  ("region_count", F.col("region_count").cast("string")),
                  ("performance_gap", _num(F.col("performance_gap"))),
                  ("business_health", F.col("business_health"))]
-        narrative = business_narrative(processed)
+        narrative = business_narrative(processed, cube=cube)
     head = [F.lit(f"# Automated Analytics Report: {filename}"), F.lit(""),
             F.lit(f"- Job ID: `{job_id}`"), F.lit(f"- Operation: `{operation}`"),
             F.lit(f"- Status: `{status}`"), F.lit(""), F.lit("## Key Metrics")]
