@@ -252,9 +252,10 @@ def report_cube(df: DataFrame, materialise: bool = True) -> DataFrame:
 
     GROUPING SETS ((), (category), (region), (month), (year, month), (year))
     with units sum/count, exact revenue sum/count and row count. The result
-    has one row per key value (a few hundred rows), so it is checkpointed to
-    the shared checkpoint folder: every report branch then reads the cube
-    instead of re-scanning the table.
+    has one row per key value (a few hundred rows), so it is cached: the
+    first report job computes it once and every branch of the report reads
+    the cached rows instead of re-scanning the table (a lost executor only
+    means the small cube is recomputed from lineage).
     """
     rev = exact(F.col("revenue")) if "revenue" in df.columns else F.lit(None).cast("decimal(38,6)")
     src = df.select("category", "region", "month", "year", "units_sold", rev.alias("_rev"))
@@ -281,7 +282,7 @@ def report_cube(df: DataFrame, materialise: bool = True) -> DataFrame:
             | ((F.col("grain") == "year_month") & F.col("year").isNotNull() & F.col("month").isNotNull())
             | ((F.col("grain") == "year") & F.col("year").isNotNull()))
     g = g.filter(keep)
-    return g.checkpoint(eager=True) if materialise else g
+    return g.cache() if materialise else g
 
 
 def cube_keyed(cube: DataFrame, grain: str) -> DataFrame:
