@@ -71,6 +71,16 @@ def processed(spark: SparkSession, sf_dir: str, materialise: bool = True) -> Dat
     return df
 
 
+def prepared_variant(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """``prepare`` for a derived variant of the sales view (trap fixtures).
+
+    The cleaned table is written under the checkpoint folder before the
+    fence, so the joins and the de-duplication run once, as in
+    ``processed``; the rest of the plan stays lazy.
+    """
+    return prepare(raw, cleaned_path=scratch_path(spark, f"cleaned-{uuid.uuid4().hex}"))
+
+
 # SQL prefix: canonical view -> de-dup -> drop missing -> 1.5*IQR fence -> features.
 PROCESSED_CTE = f"""
 WITH sales AS ({SALES_VIEW_SQL}),

@@ -4,12 +4,15 @@ driver's tables (whole tables, every row)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_log_line
 from ..operators import clean, jobs, quality
 from ..sources.testdata import sales_view, table
-from .catalog import processed, register, sql
+from ..session import scratch_path
+from .catalog import prepared_variant, processed, register, sql
 from .prepare import stages
 
 NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -159,8 +162,7 @@ SELECT COUNT(*) FILTER (WHERE category IS NULL) AS null_category,
        COUNT(*) FILTER (WHERE date IS NULL) AS null_date
 FROM processed""")
 def q_null_checks(spark, sf_dir):
-    from .prepare import prepare
-    p = prepare(_sales_with_null_keys(spark, sf_dir))
+    p = prepared_variant(spark, _sales_with_null_keys(spark, sf_dir))
     return quality.null_checks(p, ["category", "region", "units_sold", "price", "date"])
 
 
@@ -171,8 +173,7 @@ SELECT category, SUM(units_sold) AS total_units, round(SUM(units_sold) / MAX(t)
 FROM processed, tot WHERE category IS NOT NULL GROUP BY category""")
 def q_null_key_shares(spark, sf_dir):
     from ..operators.metrics import shares
-    from .prepare import prepare
-    return shares(prepare(_sales_with_null_keys(spark, sf_dir)), "category")
+    return shares(prepared_variant(spark, _sales_with_null_keys(spark, sf_dir)), "category")
 
 
 @register("row_count", sql("SELECT COUNT(*) AS row_count, 21 AS column_count FROM processed"))
@@ -205,7 +206,7 @@ SELECT CAST(ord AS INTEGER) AS ord, stage, CAST(rows AS BIGINT) AS rows FROM (
   UNION ALL SELECT 4, 'valid_target', (SELECT COUNT(*) FROM cleaned)
   UNION ALL SELECT 5, 'within_fence', (SELECT COUNT(*) FROM processed))"""))
 def q_stage_counts(spark, sf_dir):
-    st = stages(sales_view(spark, sf_dir))
+    st = stages(sales_view(spark, sf_dir), cleaned_path=scratch_path(spark, f"cleaned-{uuid.uuid4().hex}"))
     return quality.stage_counts(st.raw, st.deduped, st.cleaned, st.kept)
 
 
@@ -382,10 +383,9 @@ SELECT weather_condition, COUNT(*) FILTER (WHERE discount = 0) AS zero_discounts
        CAST(SUM(CAST(discount AS DECIMAL(38,6))) AS DOUBLE) AS discount_total, COUNT(*) AS n_rows
 FROM processed GROUP BY weather_condition""")
 def q_discount_filled(spark, sf_dir):
-    from .prepare import prepare
     s = sales_view(spark, sf_dir)
     s = s.withColumn("discount", F.when(F.col("weather_condition") != "R", F.col("discount")))
-    p = prepare(s)
+    p = prepared_variant(spark, s)
     return p.groupBy("weather_condition").agg(
         F.count_if(F.col("discount") == 0).alias("zero_discounts"),
         F.sum(F.col("discount").cast("decimal(38,6)")).cast("double").alias("discount_total"),
