@@ -75,11 +75,15 @@ def latest_status(df: DataFrame, key: str, ts: str, status: str, tiebreak: str |
 
 # ---------------------------------------------------------------- W7
 def step_durations(df: DataFrame, key: str, ts: str, tiebreak: str | None = None) -> DataFrame:
-    """Seconds from each row to the next row of the same key (NULL for the last)."""
+    """Seconds from each row to the next row of the same key (NULL for the last).
+
+    Rows without a key (e.g. log lines outside any run) are not a sequence
+    and are dropped before the window, so they never form one huge partition.
+    """
     w = Window.partitionBy(key).orderBy(*_order(ts, tiebreak, desc=False))
     nxt = F.lead(F.col(ts)).over(w)
     micros = F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumn("duration_sec", micros / F.lit(1e6))
+    return df.filter(F.col(key).isNotNull()).withColumn("duration_sec", micros / F.lit(1e6))
 
 
 # ---------------------------------------------------------------- X1-X3 batch form
