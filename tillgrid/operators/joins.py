@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
+def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (no job is run).
 
-    File scans report their on-disk size scaled by the projected columns;
-    aggregates with a known group bound report it. Returns None when the
-    estimate is unavailable (e.g. a Connect session).
+    File scans report their on-disk size scaled by the projected columns.
+    The gateway hands the JVM's big integer over as a Python int.
     """
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - Connect / unexpected plan
-        return None
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
@@ -29,10 +25,7 @@ def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) ->
     Otherwise the frame is returned untouched and the join shuffles both
     sides on the key, which holds at any size.
     """
-    size = estimated_bytes(df)
-    if size is not None and size <= limit_bytes:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
 def one_row(df: DataFrame) -> DataFrame:
