@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, documents
+from .common import bounded_broadcast, cut, documents, map_arrow
 from .tokens import RANKS, token_streams, vocabulary_path
 
 WINDOW = 1024
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_id:
                 yield out()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(placed, run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -8,11 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import map_arrow, slices
 
 #: The file of the default vocabulary and the same vocabulary as ranks, in the public tokenizer folder.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -57,7 +56,7 @@ def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ids = encode([x or "" for x in batch.column("text").to_pylist()])
             yield pa.record_batch([pa.array([len(x) for x in ids], pa.int64())], ["n_tokens"])
 
-    return docs.select(docs[text].alias("text")).mapInArrow(run, "n_tokens long")
+    return map_arrow(docs.select(docs[text].alias("text")), run, "n_tokens long")
 
 
 def token_streams(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,5 +81,4 @@ def token_streams(docs: DataFrame, path: str, end_id: int, key: str = "doc_id",
                                    pa.array(width), pa.array(packed, pa.binary())], ["doc_id", "part", "start", "n", "width", "ids"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(docs[key].alias(key), docs[text].alias("text")).mapInArrow(
-        run, f"doc_id {kind}, part int, start long, n long, width int, ids binary")
+    return map_arrow(docs.select(docs[key].alias(key), docs[text].alias("text")), run, f"doc_id {kind}, part int, start long, n long, width int, ids binary")
