@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
 from .packing import op4_packing
+from .quality import op5_quality
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op10_token_counts": op10_token_counts,
