@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op8_decontaminate
 from .packing import op4_packing
 from .quality import op5_quality
+from .sharding import op9_sharding
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
 
