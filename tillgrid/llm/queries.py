@@ -12,8 +12,10 @@ from .quality import op5_quality
 from .sharding import op9_sharding
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
+from .warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
@@ -22,4 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_warc": OP3_SQL,
+}
