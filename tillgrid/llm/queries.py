@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
+from .mtree import OP2_SQL, op2_mtree
 from .packing import op4_packing
 from .quality import op5_quality
 from .sharding import op9_sharding
@@ -15,6 +16,7 @@ from .token_counts import op10_token_counts
 from .warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mtree": op2_mtree,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
@@ -25,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_mtree": OP2_SQL,
     "op3_warc": OP3_SQL,
 }
