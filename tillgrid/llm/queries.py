@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op8_decontaminate
 from .mtree import OP2_SQL, op2_mtree
 from .packing import op4_packing
+from .pii import op6_pii
 from .quality import op5_quality
 from .sharding import op9_sharding
 from .simhash import op7_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
