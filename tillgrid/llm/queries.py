@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
+from .lines import op1_line_dedup
 from .mtree import OP2_SQL, op2_mtree
 from .packing import op4_packing
 from .pii import op6_pii
@@ -17,6 +18,7 @@ from .token_counts import op10_token_counts
 from .warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mtree": op2_mtree,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
