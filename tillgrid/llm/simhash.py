@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, map_arrow, slices
+from .common import bounded_broadcast, cut, documents, map_arrow, slices
 from .components import connected_components
 
 SHINGLE, RADIUS = 4, 4
@@ -71,15 +71,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint's bits as a signed long)."""
+    """``doc_id``, ``th`` (the text's hash), ``fp`` (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 32 << 20):
             texts = batch.column("text").cast(pa.binary())
             fp = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, fp long")
 
 
 def _parts(fp: np.ndarray) -> np.ndarray:
@@ -146,31 +146,41 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` (the smallest doc_id in the component) per row of ``docs``."""
+    """``doc_id``, ``th``, ``fp``, ``component_id`` (the smallest doc_id in the component) per row of ``docs``."""
     prints = cut(fingerprints(docs, shingle), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     linked = connected_components(fingerprint_links(distinct.select("fp"), radius))
     member = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     member = cut(member, "fingerprint-members")
     named = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    return prints.join(member.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(member.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id.
 
-    Of repeated rows with that id one stays; rows without an id stay.
+    Rows that repeat this id count as one document: of different texts that
+    with the smallest hash stays, of equal ones any one row. Rows without an
+    id stay.
     """
-    first = simhash_components(docs.where("doc_id is not null"), shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    place = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    column = "row_of_id"
-    while column in docs.columns:
-        column += "_"
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn(column, F.row_number().over(place)).where(F.col(column) == 1).drop(column)
-    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    found = simhash_components(docs.where("doc_id is not null"), shingle, radius).where("doc_id = component_id")
+    texts = found.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    first = cut(texts.groupBy("doc_id").agg(F.min(F.struct("th", "n")).alias("x")).select("doc_id", "x.th", "x.n"), "kept-documents")
+    counts = first.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+
+    def rows(chosen: DataFrame, n: int) -> DataFrame:
+        side = bounded_broadcast(chosen.select("doc_id", "th"), n, 32)
+        return docs.join(side, (docs["doc_id"] == side["doc_id"]) & (F.xxhash64(docs["text"]) == side["th"]), "left_semi")
+
+    kept = rows(first.where("n = 1"), counts[0]).unionByName(docs.where("doc_id is null"))
+    if counts[1]:
+        column = "row_of_id"
+        while column in docs.columns:
+            column += "_"
+        place = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        again = rows(first.where("n > 1"), counts[1]).withColumn(column, F.row_number().over(place))
+        kept = kept.unionByName(again.where(F.col(column) == 1).drop(column))
+    return kept
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
