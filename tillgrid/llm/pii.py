@@ -13,7 +13,8 @@ personal with at least even odds are added; base spans always stay.
 
 The weights are trained on a bounded sample of documents, chosen by a hash,
 by pseudo-likelihood against the base labels, with a prior that tied tokens
-agree. They have a fixed size and are broadcast; documents are labelled whole
+agree; tokens tied to a base span are left out there, as their label is what
+the field is to find. The weights have a fixed size and are broadcast; documents are labelled whole
 in their own task, without a shuffle. Work is linear in the text, also for
 very long runs of digits or letters.
 
@@ -166,18 +167,24 @@ def train_field(texts: list[str], epochs: int = EPOCHS, seed: int = 1) -> np.nda
     for text in texts:
         v = Variables(text, base_spans(text))
         if v.spans:
+            # A token outside the base that is tied to one inside has no known label.
+            unknown = {i for a, b in v.skip for i, j in ((a, b), (b, a)) if v.observed[i] < 0 <= v.observed[j]}
             ties: list[list[tuple[int, int]]] = [[] for _ in v.spans]
             for which, pairs in enumerate((v.chain, v.skip)):
                 for a, b in pairs:
-                    ties[a].append((which, b))
-                    ties[b].append((which, a))
-            docs.append(([max(0, x) for x in v.observed], v.features, ties))
+                    if not {a, b} & unknown:
+                        ties[a].append((which, b))
+                        ties[b].append((which, a))
+            labels = [-1 if i in unknown else max(0, x) for i, x in enumerate(v.observed)]
+            docs.append((labels, v.features, ties))
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
         rate = RATE / (1 + epoch)
         for k in rng.permutation(len(docs)):
             labels, features, ties = docs[k]
             for i, y in enumerate(labels):
+                if y < 0:
+                    continue
                 logit = node[features[i]].sum(0)
                 for which, j in ties[i]:
                     logit = logit + (skip if which else chain)[:, labels[j]]
