@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tillgrid.operators import clean, metrics
 from tillgrid.operators import forecast as fc
-from tillgrid.plans.catalog import processed
+from tillgrid.operators.joins import estimated_bytes, sized_broadcast
+from tillgrid.plans.catalog import QUERIES, processed
+from tillgrid.sources.sinks import write_partitioned
 from tillgrid.plans.prepare import stages
 from tillgrid.sources.testdata import sales_view, table
 from conftest import SF_SMALL
@@ -16,7 +17,7 @@ def plan(df):
 
 
 def test_no_python_udfs_in_any_registered_query(spark):
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         p = plan(fn(spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
 
@@ -46,9 +47,33 @@ def test_latest_per_key_uses_group_limit(spark):
         "WindowGroupLimit" in plan(df)
 
 
-def test_nation_region_broadcast(spark):
-    p = plan(sales_view(spark, SF_SMALL))
-    assert "BroadcastHashJoin" in p
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_broadcast_only_behind_a_size_check(spark):
+    li, nation = table(spark, SF_SMALL, "lineitem"), table(spark, SF_SMALL, "nation")
+    assert estimated_bytes(li) > estimated_bytes(nation) > 0
+    key = li["l_orderkey"] == nation["n_nationkey"]
+    assert "strategy=broadcast" in optimized(li.join(sized_broadcast(nation), key))
+    assert "strategy=broadcast" not in optimized(li.join(sized_broadcast(nation, limit_bytes=estimated_bytes(nation) - 1), key))
+
+
+def test_written_files_follow_the_bytes(spark, tmp):
+    import glob
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, counts = spark.conf.get(key), []
+    try:
+        for size in ("64MB", "8KB"):
+            spark.conf.set(key, size)
+            df = table(spark, SF_SMALL, "lineitem").repartition(12).withColumn("year", F.when(F.col("l_linenumber") == 7, 1998).otherwise(1997))
+            path = write_partitioned(df, f"{tmp}/{size}")
+            counts.append(len(glob.glob(f"{path}/year=1997/*.parquet")))
+            assert spark.read.parquet(path).count() == df.count()
+    finally:
+        spark.conf.set(key, before)
+    assert counts[0] == 1 and counts[1] > 4  # the hot year is split by its size
 
 
 def test_invariants(spark):

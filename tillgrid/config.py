@@ -74,8 +74,21 @@ DATE_FORMATS = [
     "d-M-yyyy",
     "d.M.yyyy",
     "yyyy/M/d",
+    "d/M/yy",
+    "d-M-yy",
+    "d.M.yy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
+    "d-MMM-yy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "yyyyMMdd",
 ]
 
+# --- fixed values: a time of day behind a date (it doesn't change the day) ---
+TIME_PART = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?: ?[AaPp][Mm])?)? *(?:Z|UTC|[+-]\d{2}:?\d{2})?$"
+
 # --- fixed values: promotion flag truth tokens (lower-cased text) ---
 PROMOTION_TRUE_TOKENS = ["yes", "true", "1"]
 
@@ -95,6 +108,9 @@ STRENGTH_STRONG = 0.05
 RANGE_LOW = 0.95
 RANGE_HIGH = 1.05
 
+# --- fixed values: report modes ---
+OPERATIONS = ["forecasting", "business_analysis"]
+
 # --- fixed values: business rules ---
 GAP_UNBALANCED = 50000
 REPORT_GAP_STABLE = 10000
@@ -142,6 +158,9 @@ FORECAST_RECOMMENDATIONS = [
 FORECAST_CLOSING_INSIGHT = (
     "Forecast is based on past sales trends and assumes similar future conditions."
 )
+NO_TREND_INSIGHT = "Sales history is too short or uneven to show a trend."
+NO_GROWTH_INSIGHT = "Average monthly growth is not available."
+NO_CONFIDENCE_INSIGHT = "Forecast confidence is not available."
 BUSINESS_SPREAD_INSIGHT = (
     "Sales distribution varies significantly across categories and regions."
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DATE_FORMATS
+from ..config import DATE_FORMATS, TIME_PART
 
 
 def parse_date_text(col: Column, formats: list[str] | None = None) -> Column:
@@ -13,11 +13,18 @@ def parse_date_text(col: Column, formats: list[str] | None = None) -> Column:
 
     ``try_to_timestamp`` returns NULL instead of failing on bad, empty or
     impossible dates, so the first layout that fits wins and nothing raises
-    under ANSI mode.
+    under ANSI mode. A time of day and a zone behind the date are cut off
+    first; the day stays as written.
     """
     text = F.trim(col.cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in (formats or DATE_FORMATS)]
-    return F.coalesce(*tries).cast("date")
+    text = F.when(text.contains(":"), F.regexp_replace(text, TIME_PART, "")).otherwise(text)
+    tries = []
+    for fmt in formats or DATE_FORMATS:
+        day = F.try_to_timestamp(text, F.lit(fmt)).cast("date")
+        if "yy" in fmt and "yyyy" not in fmt:  # 69 to 99 are the last century's
+            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        tries.append(day)
+    return F.coalesce(*tries)
 
 
 def year_of(col: Column) -> Column:

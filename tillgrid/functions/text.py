@@ -68,15 +68,16 @@ def currency_text(value: Column) -> Column:
 
 
 def python_number_text(value: Column) -> Column:
-    """Text of a rounded double the way it prints as a number ("3.0", "1.5")."""
-    return value.cast("double").cast("string")
+    """Text of a double rounded to cents, as a plain number at any size ("3.0", "1.5", "20000000.0")."""
+    v = value.cast("double")
+    return F.when(F.abs(v) >= 1e7, F.regexp_replace(F.format_string("%.2f", v), "0$", "")).otherwise(v.cast("string"))
 
 
 def forecast_range_text(next_value: Column) -> Column:
-    """``"lo - hi"`` for a +/-5 % band, each end rounded half-to-even to an integer."""
+    """``"lo - hi"`` for a +/-5 % band, each end rounded half-to-even to an integer; NULL without a forecast."""
     lo = F.bround(next_value * F.lit(RANGE_LOW), 0).cast("bigint")
     hi = F.bround(next_value * F.lit(RANGE_HIGH), 0).cast("bigint")
-    return F.concat_ws(" - ", lo.cast("string"), hi.cast("string"))
+    return F.concat(lo.cast("string"), F.lit(" - "), hi.cast("string"))
 
 
 def growth_text(growth: Column) -> Column:

@@ -24,6 +24,7 @@ from ..functions.dates import day_of, iso_week, month_of, parse_date_text, weekd
 from ..functions.numbers import coerce_number
 from ..functions.text import promotion_flag
 from .joins import one_row, sized_broadcast
+from .quantiles import exact_quantiles
 
 
 # ---------------------------------------------------------------- P1 / N4
@@ -70,22 +71,36 @@ def lenient_headers(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P4 / P5
-def parse_dates(df: DataFrame, column: str = "date", formats: list[str] | None = None) -> DataFrame:
-    """Coerce ``column`` to DATE; unparsable -> NULL."""
+def _parsed(df: DataFrame, column: str, formats: list[str] | None = None) -> Column:
     dtype = df.schema[column].dataType
     if isinstance(dtype, DateType):
-        parsed = F.col(column)
-    elif isinstance(dtype, (TimestampType, TimestampNTZType)):
-        parsed = F.col(column).cast("date")
-    else:
-        parsed = parse_date_text(F.col(column), formats or DATE_FORMATS)
-    return df.withColumn(column, parsed)
+        return F.col(column)
+    if isinstance(dtype, (TimestampType, TimestampNTZType)):
+        return F.col(column).cast("date")
+    return parse_date_text(F.col(column), formats or DATE_FORMATS)
+
+
+def parse_dates(df: DataFrame, column: str = "date", formats: list[str] | None = None) -> DataFrame:
+    """Coerce ``column`` to DATE; unparsable -> NULL."""
+    return df.withColumn(column, _parsed(df, column, formats))
 
 
 def drop_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=columns)
 
 
+def rejected_rows(raw: DataFrame, date: str = "date", target: str = "units_sold") -> DataFrame:
+    """The rows that cleaning drops, as they came, with ``reason`` (``missing_date``,
+    ``invalid_date``, ``missing_target``, ``invalid_target``; a date fault counts first)."""
+
+    def blank(name: str) -> Column:
+        return F.col(name).isNull() | (F.trim(F.col(name).cast("string")) == "")
+
+    bad_date = F.when(blank(date), "missing_date").when(_parsed(raw, date).isNull(), "invalid_date")
+    bad_target = F.when(blank(target), "missing_target").when(coerce_number(F.col(target), raw.schema[target].dataType).isNull(), "invalid_target")
+    return raw.withColumn("reason", F.coalesce(bad_date, bad_target)).where(F.col("reason").isNotNull())
+
+
 # ---------------------------------------------------------------- P6 / P7
 def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Coerce measure columns to DOUBLE; invalid -> NULL. Missing columns are skipped."""
@@ -97,25 +112,29 @@ def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 # ---------------------------------------------------------------- A12 / P8 / P9
 def fence_bounds(df: DataFrame, column: str = "units_sold", k: float = FENCE_K,
                  approx: bool = False, accuracy: int = 100000, by: list[str] | None = None) -> DataFrame:
-    """One-row frame (q1, q3, iqr, lower, upper) over the whole input.
+    """One row (q1, q3, iqr, lower, upper) over the whole input, or one per group.
 
-    ``percentile`` is exact with linear interpolation; it aggregates a
-    value -> count map map-side, so memory follows the number of distinct
-    values, not rows. ``approx=True`` switches to a bounded-size sketch for
-    continuous columns with very many distinct values.
+    Quartiles are exact with linear interpolation (``quantiles.exact_quantiles``);
+    ``approx=True`` takes a bounded sketch's quartiles instead.
     """
-    c = F.col(column)
+    keys = by or []
     if approx:
-        qs = F.percentile_approx(c, F.array(F.lit(FENCE_LOW_Q), F.lit(FENCE_HIGH_Q)), accuracy)
+        c = F.percentile_approx(F.col(column), F.array(F.lit(FENCE_LOW_Q), F.lit(FENCE_HIGH_Q)), accuracy)
+        q = df.groupBy(*keys).agg(c.alias("_q")).select(*keys, F.col("_q")[0].cast("double").alias("q1"), F.col("_q")[1].cast("double").alias("q3"))
     else:
-        qs = F.percentile(c, F.array(F.lit(FENCE_LOW_Q), F.lit(FENCE_HIGH_Q)))
-    q = df.groupBy(*(by or [])).agg(qs.alias("_q"))
-    q1, q3 = F.col("_q")[0].cast("double"), F.col("_q")[1].cast("double")
-    return q.select(
-        *(by or []),
-        q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
-        (q1 - F.lit(k) * (q3 - q1)).alias("lower"),
-        (q3 + F.lit(k) * (q3 - q1)).alias("upper"))
+        q = exact_quantiles(df, column, [FENCE_LOW_Q, FENCE_HIGH_Q], by=by).select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("q3"))
+    q1, q3 = F.col("q1"), F.col("q3")
+    return q.select(*keys, "q1", "q3", (q3 - q1).alias("iqr"), (q1 - F.lit(k) * (q3 - q1)).alias("lower"),
+                    (q3 + F.lit(k) * (q3 - q1)).alias("upper"))
+
+
+def fence_counts(df: DataFrame, column: str = "units_sold", k: float = FENCE_K) -> DataFrame:
+    """One row: the fence's bounds and how many rows it keeps and rejects, counted in one pass."""
+    c = F.col(column)
+    both = df.select(c).crossJoin(one_row(fence_bounds(df, column, k)))
+    bounds = [F.first(x).alias(x) for x in ("q1", "q3", "lower", "upper")]
+    return both.agg(*bounds, F.count_if((c >= F.col("lower")) & (c <= F.col("upper"))).alias("kept"),
+                    F.count_if((c < F.col("lower")) | (c > F.col("upper"))).alias("rejected"))
 
 
 def _with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:

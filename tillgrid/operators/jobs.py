@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_status, parse_log_line, status_badge
+from .quantiles import exact_quantiles
 
 
 def _order(ts: str, tiebreak: str | None, desc: bool = True) -> list[Column]:
@@ -74,41 +75,56 @@ def latest_status(df: DataFrame, key: str, ts: str, status: str, tiebreak: str |
 
 
 # ---------------------------------------------------------------- W7
-def step_durations(df: DataFrame, key: str, ts: str, tiebreak: str | None = None) -> DataFrame:
+def step_durations(df: DataFrame, key: str, ts: str, tiebreak: str | None = None, piece: str = "day") -> DataFrame:
     """Seconds from each row to the next row of the same key (NULL for the last).
 
-    Rows without a key (e.g. log lines outside any run) are not a sequence
-    and are dropped before the window, so they never form one huge partition.
+    A key's rows are cut into pieces of time (``piece``: a unit of
+    ``date_trunc``). Inside a piece a window finds the next row; a piece's last
+    row takes the first time of the key's next piece, from a table of one row
+    per key and piece. So no task holds all rows of a key. Rows without a
+    key (e.g. log lines outside any run) are no sequence and are dropped.
     """
-    w = Window.partitionBy(key).orderBy(*_order(ts, tiebreak, desc=False))
-    nxt = F.lead(F.col(ts)).over(w)
-    micros = F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.filter(F.col(key).isNotNull()).withColumn("duration_sec", micros / F.lit(1e6))
+    rows = df.where(F.col(key).isNotNull()).withColumn("_piece", F.date_trunc(piece, F.col(ts).cast("timestamp")))
+    inside = Window.partitionBy(key, "_piece").orderBy(*_order(ts, tiebreak, desc=False))
+    rows = rows.withColumn("_next", F.lead(F.col(ts)).over(inside))
+    firsts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), F.date_trunc(piece, F.col(ts).cast("timestamp")).alias("_at")).agg(F.min(ts).alias("_first"))
+    firsts = firsts.withColumn("_follow", F.lead("_first").over(Window.partitionBy("_key").orderBy("_at"))).select("_key", "_at", "_follow")
+    rows = rows.join(firsts, (F.col(key) == F.col("_key")) & F.col("_piece").eqNullSafe(F.col("_at")), "left")
+    after = F.coalesce("_next", "_follow")
+    micros = F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (micros / F.lit(1e6)).alias("duration_sec"))
 
 
 # ---------------------------------------------------------------- X1-X3 batch form
+def _bounds(window: str = "w") -> list[Column]:
+    return [F.col(f"{window}.start").cast("timestamp_ntz").alias("window_start"), F.col(f"{window}.end").cast("timestamp_ntz").alias("window_end")]
+
+
 def window_alarm(df: DataFrame, ts: str, condition: Column, width: str = "5 minutes",
                  keys: list[str] | None = None, name: str = "failures") -> DataFrame:
-    """Tumbling windows with at least one row matching ``condition``."""
-    g = df.groupBy(F.window(F.col(ts).cast("timestamp"), width).alias("w"), *(keys or []))
-    out = g.agg(F.count_if(condition).alias(name)).filter(F.col(name) > 0)
-    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), *(keys or []), name)
+    """Tumbling windows with at least one row matching ``condition``.
+
+    Only matching rows reach the aggregate; the condition can be pushed to the scan.
+    """
+    g = df.where(condition).groupBy(F.window(F.col(ts), width).alias("w"), *(keys or []))
+    return g.agg(F.count(F.lit(1)).alias(name)).select(*_bounds(), *(keys or []), name)
 
 
 def window_percentile(df: DataFrame, ts: str, value: str, p: float = 0.95, width: str = "5 minutes",
                       approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Per tumbling window: row count and the p-quantile of ``value``.
 
-    Exact ``percentile`` keeps a value->count map per window; ``approx=True``
-    uses a bounded sketch for hot windows with very many distinct values.
+    Exact and interpolated (``quantiles.exact_quantiles``); ``approx=True``
+    takes a bounded sketch's value instead.
     """
-    q = (F.percentile_approx(F.col(value), F.lit(p), accuracy) if approx
-         else F.percentile(F.col(value), F.lit(p)))
-    g = df.groupBy(F.window(F.col(ts).cast("timestamp"), width).alias("w"))
-    return g.agg(F.count(F.lit(1)).alias("n"), q.alias("p95")).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n", "p95")
+    rows = df.select(F.window(F.col(ts), width).alias("w"), F.col(value).alias("_value"))
+    if approx:
+        return rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_value", F.lit(p), accuracy).alias("p95")).select(*_bounds(), "n", "p95")
+    rows = rows.select(F.col("w.start").alias("_start"), F.col("w.end").alias("_end"), "_value")
+    counts = rows.groupBy("_start", "_end").agg(F.count(F.lit(1)).alias("n"))
+    q = exact_quantiles(rows, "_value", [p], by=["_start"]).select(F.col("_start").alias("_at"), F.col("q0").alias("p95"))
+    return counts.join(q, counts["_start"] == q["_at"], "left").select(
+        F.col("_start").cast("timestamp_ntz").alias("window_start"), F.col("_end").cast("timestamp_ntz").alias("window_end"), "n", "p95")
 
 
 # ---------------------------------------------------------------- F12 / F13

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PRICE_CANDIDATES
+from ..session import ensure_checkpoint_dir
 
 ALL = "all"
 
@@ -69,11 +70,16 @@ def exact(col: Column) -> Column:
     return col.cast("decimal(38,6)")
 
 
+def mean(col: Column) -> Column:
+    """Mean by an order-independent sum."""
+    return F.try_divide(F.sum(exact(col)).cast("double"), F.count(col))
+
+
 # ---------------------------------------------------------------- A1-A4, A15
 def kpi_columns(units: str = "units_sold", revenue: str | None = "revenue") -> list[Column]:
     cols = [
-        F.coalesce(F.sum(units), F.lit(0.0)).cast("bigint").alias("total_units"),
-        F.round(F.avg(units), 2).alias("avg_units"),
+        F.coalesce(F.sum(exact(F.col(units))), F.lit(0)).cast("bigint").alias("total_units"),
+        F.round(mean(F.col(units)), 2).alias("avg_units"),
     ]
     if revenue:
         cols += [
@@ -101,7 +107,7 @@ def keyed_sum(df: DataFrame, key: str | Column, name: str | None = None,
     k = F.col(key) if isinstance(key, str) else key
     kname = name or (key if isinstance(key, str) else "key")
     src = df if keep_null_key else df.filter(k.isNotNull())
-    return src.groupBy(k.alias(kname)).agg(F.sum(measure).alias("total_units"))
+    return src.groupBy(k.alias(kname)).agg(F.sum(exact(F.col(measure))).cast("double").alias("total_units"))
 
 
 def units_by_month(df: DataFrame) -> DataFrame:
@@ -128,27 +134,15 @@ def distinct_counts(df: DataFrame) -> DataFrame:
 
 
 def dropdown_values(df: DataFrame) -> DataFrame:
-    """(kind, ord, value): sorted distinct categories, regions and years.
+    """(kind, ord, value): sorted distinct categories, regions and years, from one scan.
 
-    Each kind is a distinct aggregate (shuffle of distinct keys only); the
-    ordinal is assigned over the distinct values, whose count is the key
-    domain, not the row count.
+    A row's three values are told apart by kind and made distinct with partial
+    aggregation; the ordinal is a window per kind over the distinct values.
     """
-    parts = []
-    for kind, col in (("category", F.col("category")), ("region", F.col("region")),
-                      ("year", F.col("year").cast("string"))):
-        vals = df.select(col.alias("value")).filter(F.col("value").isNotNull()).distinct()
-        if kind == "year":
-            order = F.col("value").cast("int")
-        else:
-            order = F.col("value")
-        parts.append(vals.select(F.lit(kind).alias("kind"),
-                                 F.row_number().over(Window.orderBy(order)).alias("ord"),
-                                 "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in ("category", "region", "year")])
+    values = df.select(F.explode(kinds).alias("v")).select("v.kind", "v.value").where("value is not null").distinct()
+    order = Window.partitionBy("kind").orderBy(F.when(F.col("kind") == "year", F.col("value").try_cast("int")), "value")
+    return values.select("kind", F.row_number().over(order).alias("ord"), "value")
 
 
 # ---------------------------------------------------------------- A11 / A13
@@ -183,52 +177,48 @@ def shares(df: DataFrame, key: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A17 / A18
-CUBE_GRAINS = {
-    "all": [],
-    "category": ["category"],
-    "region": ["region"],
-    "month": ["month"],
-    "year": ["year"],
-}
+CUBE_KEYS = ["category", "region", "month", "year"]
+
+
+def _cube(df: DataFrame, grains: dict[int, str], revenue: Column, empty_revenue: Column) -> DataFrame:
+    """The grains named by their grouping id over ``CUBE_KEYS`` (bit set: rolled up).
+
+    Raw rows are aggregated once to the finest grain (year, month, category,
+    region), with partial aggregation; the grouping sets expand only those
+    few rows.
+    """
+    fine = df.select(*CUBE_KEYS, exact(F.col("units_sold")).alias("_units"), revenue.alias("_rev")).groupBy(*CUBE_KEYS).agg(
+        F.sum("_units").alias("_units"), F.count("_units").alias("_n_units"), F.sum("_rev").alias("_rev"),
+        F.count("_rev").alias("_n_rev"), F.count(F.lit(1)).alias("_rows"))
+    sets = [[F.col(k) for i, k in enumerate(CUBE_KEYS) if not g >> (len(CUBE_KEYS) - 1 - i) & 1] for g in grains]
+    g = fine.groupingSets(sets, *CUBE_KEYS).agg(
+        F.grouping_id().alias("_gid"),
+        F.coalesce(F.sum("_units").cast("double"), F.lit(0.0)).alias("total_units"),
+        F.coalesce(F.sum("_n_units"), F.lit(0)).alias("n_units"),
+        F.coalesce(F.sum("_rev").cast("decimal(38,6)"), empty_revenue).alias("total_revenue"),
+        F.coalesce(F.sum("_n_rev"), F.lit(0)).alias("n_revenue"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"))
+    grain, keep = F.lit(None).cast("string"), F.lit(False)
+    for gid, name in grains.items():
+        keyed = F.col("_gid") == gid
+        grain = F.when(keyed, F.lit(name)).otherwise(grain)
+        for i, k in enumerate(CUBE_KEYS):
+            if not gid >> (len(CUBE_KEYS) - 1 - i) & 1:
+                keyed = keyed & F.col(k).isNotNull()
+        keep = keep | keyed
+    return g.withColumn("grain", grain).where(keep).drop("_gid")
 
 
 def sales_cube(df: DataFrame) -> DataFrame:
-    """One pass, five grains: GROUPING SETS ((), (category), (region), (month), (year)).
+    """Five grains: GROUPING SETS ((), (category), (region), (month), (year)).
 
     Carries sums and non-null counts (not averages) so any mean can be
     derived exactly from the cube. ``grain`` names the grouping set; rows of
     a keyed grain whose key is NULL are removed (the grand total keeps them).
     """
     rev = exact(F.col("revenue")) if "revenue" in df.columns else exact(F.col("units_sold") * F.col("price"))
-    src = df.select("category", "region", "month", "year", "units_sold", rev.alias("_rev"))
-    g = src.groupingSets(
-        [[], [F.col("category")], [F.col("region")], [F.col("month")], [F.col("year")]],
-        "category", "region", "month", "year",
-    ).agg(
-        F.grouping_id().alias("_gid"),
-        F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("total_units"),
-        F.count("units_sold").alias("n_units"),
-        F.coalesce(F.sum("_rev"), F.lit(0)).alias("total_revenue"),
-        F.count("_rev").alias("n_revenue"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
-    grain = (F.when(F.col("_gid") == 15, "all").when(F.col("_gid") == 7, "category")
-             .when(F.col("_gid") == 11, "region").when(F.col("_gid") == 13, "month")
-             .otherwise("year"))
-    g = g.withColumn("grain", grain).drop("_gid")
-    keep = ((F.col("grain") == "all")
-            | ((F.col("grain") == "category") & F.col("category").isNotNull())
-            | ((F.col("grain") == "region") & F.col("region").isNotNull())
-            | ((F.col("grain") == "month") & F.col("month").isNotNull())
-            | ((F.col("grain") == "year") & F.col("year").isNotNull()))
-    return g.filter(keep)
-
-
-def cube_slice(cube: DataFrame, grain: str) -> DataFrame:
-    """The (key, total_units) slice of one grain of the cube."""
-    if grain == "all":
-        return cube.filter(F.col("grain") == "all").select("total_units", "n_units", "total_revenue", "n_revenue", "n_rows")
-    return cube.filter(F.col("grain") == grain).select(grain, "total_units")
+    grains = {g: n for g, n in REPORT_GRAINS.items() if n != "year_month"}
+    return _cube(df, grains, rev, F.lit(0).cast("decimal(38,6)"))
 
 
 def fallback_totals(df: DataFrame) -> DataFrame:
@@ -238,8 +228,8 @@ def fallback_totals(df: DataFrame) -> DataFrame:
     the table; recomputing from the table gives the same number whenever the
     cache was right and is always defined.
     """
-    return df.agg(F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("total_units"),
-                  F.coalesce(F.round(F.avg("units_sold"), 2), F.lit(0.0)).alias("avg_units"))
+    return df.agg(F.coalesce(F.sum(exact(F.col("units_sold"))).cast("double"), F.lit(0.0)).alias("total_units"),
+                  F.coalesce(F.round(mean(F.col("units_sold")), 2), F.lit(0.0)).alias("avg_units"))
 
 
 # ---------------------------------------------------------------- report cube (A17 for the reports)
@@ -252,37 +242,16 @@ def report_cube(df: DataFrame, materialise: bool = True) -> DataFrame:
 
     GROUPING SETS ((), (category), (region), (month), (year, month), (year))
     with units sum/count, exact revenue sum/count and row count. The result
-    has one row per key value (a few hundred rows), so it is cached: the
-    first report job computes it once and every branch of the report reads
-    the cached rows instead of re-scanning the table (a lost executor only
-    means the small cube is recomputed from lineage).
+    has one row per key value (a few hundred rows) and is checkpointed in the
+    shared folder: every branch of the report reads those files, nothing
+    stays cached in the session, and a lost executor costs nothing.
     """
     rev = exact(F.col("revenue")) if "revenue" in df.columns else F.lit(None).cast("decimal(38,6)")
-    src = df.select("category", "region", "month", "year", "units_sold", rev.alias("_rev"))
-    g = src.groupingSets(
-        [[], [F.col("category")], [F.col("region")], [F.col("month")],
-         [F.col("year"), F.col("month")], [F.col("year")]],
-        "category", "region", "month", "year",
-    ).agg(
-        F.grouping_id().alias("_gid"),
-        F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("total_units"),
-        F.count("units_sold").alias("n_units"),
-        F.sum("_rev").alias("total_revenue"),
-        F.count("_rev").alias("n_revenue"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
-    grain = F.lit(None).cast("string")
-    for gid, name in REPORT_GRAINS.items():
-        grain = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(grain)
-    g = g.withColumn("grain", grain).drop("_gid")
-    keep = ((F.col("grain") == "all")
-            | ((F.col("grain") == "category") & F.col("category").isNotNull())
-            | ((F.col("grain") == "region") & F.col("region").isNotNull())
-            | ((F.col("grain") == "month") & F.col("month").isNotNull())
-            | ((F.col("grain") == "year_month") & F.col("year").isNotNull() & F.col("month").isNotNull())
-            | ((F.col("grain") == "year") & F.col("year").isNotNull()))
-    g = g.filter(keep)
-    return g.cache() if materialise else g
+    g = _cube(df, REPORT_GRAINS, rev, F.lit(None).cast("decimal(38,6)"))
+    if not materialise:
+        return g
+    ensure_checkpoint_dir(df.sparkSession)
+    return g.checkpoint()
 
 
 def cube_keyed(cube: DataFrame, grain: str) -> DataFrame:

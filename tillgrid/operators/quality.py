@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, NumericType, StringType, StructField, StructType
 
 from ..config import ANALYTICS_COLUMNS, NUMERIC_COLUMNS, REQUIRED_COLUMNS
+from ..functions.numbers import coerce_number
 
 
 # ---------------------------------------------------------------- V1 / V7
@@ -37,13 +37,18 @@ def check_analytics_columns(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- V2
-def type_report(spark: SparkSession, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, data_type, is_numeric) for each measure column present (metadata only)."""
-    cols = columns if columns is not None else NUMERIC_COLUMNS
-    rows = [(c, df.schema[c].dataType.simpleString(), isinstance(df.schema[c].dataType, NumericType))
-            for c in cols if c in df.columns]
-    schema = "column string, data_type string, is_numeric boolean"
-    return spark.createDataFrame(rows, schema)
+def type_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, cells, numeric_cells, is_numeric) per measure column: how many filled
+    cells of the table there are and how many hold a finite number. Counted over
+    all rows in one aggregation, so raw text columns are judged by what they hold."""
+    cols = [c for c in (columns if columns is not None else NUMERIC_COLUMNS) if c in df.columns]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, cells long, numeric_cells long, is_numeric boolean")
+    counts = df.agg(*[x for c in cols for x in (
+        F.count(F.col(c)).alias(f"{c}#cells"), F.count(coerce_number(F.col(c), df.schema[c].dataType)).alias(f"{c}#numeric"))])
+    stack = ", ".join(f"'{c}', `{c}#cells`, `{c}#numeric`" for c in cols)
+    return counts.selectExpr(f"stack({len(cols)}, {stack}) AS (column, cells, numeric_cells)").withColumn(
+        "is_numeric", F.col("cells") == F.col("numeric_cells"))
 
 
 # ---------------------------------------------------------------- V3-V5
@@ -84,34 +89,24 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- V6
-def validation_report(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Schema check (raises when columns are missing), then one report table:
-    (check, target, violations, passed). Type and range findings only warn."""
-    check_schema(df)
-    types = [(f"numeric_type", c, 0 if isinstance(df.schema[c].dataType, NumericType) else 1)
-             for c in NUMERIC_COLUMNS]
-    schema_rows = [("required_columns", c, 0) for c in REQUIRED_COLUMNS] + types
-    meta = spark.createDataFrame(
-        schema_rows,
-        StructType([StructField("check", StringType()), StructField("target", StringType()),
-                    StructField("violations", LongType())]))
-    ranges = range_checks(df).select(F.col("rule").alias("check"), F.col("column").alias("target"),
-                                     F.col("violations").cast("bigint"))
-    return meta.unionByName(ranges).withColumn("passed", F.col("violations") == 0)
+def validation_report(df: DataFrame) -> DataFrame:
+    """(check, target, violations, passed) of a raw table: missing required columns
+    (1 each), cells of measure columns that are no number, and range violations of
+    the coerced numbers. Type and range findings only warn; one pass over the rows."""
+    absent = missing_columns(df)
+    columns = df.sparkSession.createDataFrame([("required_columns", c, int(c in absent)) for c in REQUIRED_COLUMNS],
+                                              "check string, target string, violations long")
+    types = type_report(df).select(F.lit("numeric_type").alias("check"), F.col("column").alias("target"),
+                                   (F.col("cells") - F.col("numeric_cells")).alias("violations"))
+    numbers = df.withColumns({c: coerce_number(F.col(c), df.schema[c].dataType) for c in NUMERIC_COLUMNS if c in df.columns})
+    ranges = range_checks(numbers).select(F.col("rule").alias("check"), F.col("column").alias("target"), F.col("violations").cast("bigint"))
+    return columns.unionByName(types).unionByName(ranges).withColumn("passed", F.col("violations") == 0)
 
 
 # ---------------------------------------------------------------- V11
-def stage_counts(raw: DataFrame, deduped: DataFrame, cleaned: DataFrame, kept: DataFrame) -> DataFrame:
-    """Row count after each pipeline stage as (ord, stage, rows).
-
-    ``deduped`` feeds one aggregate with conditional counts for the date and
-    target drops, so the counts need three aggregations in total.
-    """
-    raw_n = raw.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(1).alias("ord"), F.lit("raw").alias("stage"), "rows")
-    d = deduped.agg(
-        F.count(F.lit(1)).alias("deduplicated"),
-        F.count_if(F.col("date").isNotNull()).alias("valid_date"))
-    d = d.selectExpr("stack(2, 2, 'deduplicated', deduplicated, 3, 'valid_date', valid_date) AS (ord, stage, rows)")
-    c = cleaned.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(4).alias("ord"), F.lit("valid_target").alias("stage"), "rows")
-    k = kept.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(5).alias("ord"), F.lit("within_fence").alias("stage"), "rows")
-    return raw_n.unionByName(d).unionByName(c).unionByName(k).withColumn("rows", F.col("rows").cast("bigint"))
+STAGE_NAMES = ["raw", "deduplicated", "valid_date", "valid_target", "within_fence"]
+
+
+def stage_table(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """(ord, stage, rows) from the counts that the pipeline observed."""
+    return spark.createDataFrame([(i + 1, name, int(counts[name])) for i, name in enumerate(STAGE_NAMES)], "ord int, stage string, rows long")

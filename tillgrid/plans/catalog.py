@@ -14,8 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from ..operators.joins import estimated_bytes
-from ..sources.sinks import files_for, read_processed, write_partitioned
+from ..sources.sinks import read_processed, write_partitioned
 from ..sources.testdata import SALES_VIEW_SQL, sales_view, table
 from .prepare import prepare, stages
 
@@ -35,50 +34,50 @@ def register(name: str, sql: str | None = None):
 _MATERIALISED: dict[tuple, DataFrame] = {}
 
 
-def _signature(sf_dir: str) -> tuple:
-    out = []
+def _signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, length and modification time of the input files, from the store that holds them."""
+    hadoop, conf, out = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), []
     for name in ("lineitem", "orders", "part", "supplier", "nation", "region"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            out.append((name, st.st_size, int(st.st_mtime)))
-        except OSError:
-            out.append((name, None, None))
+        path = hadoop.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        status = path.getFileSystem(conf).listStatus(path)
+        out += [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in status]
     return tuple(out)
 
 
-def processed(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
-    """The processed sales table derived from the driver's tables.
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    Like the original pipeline (clean once, write the processed file, let
-    every report re-scan it), the table is prepared once per session and
-    input version, written as Parquet partitioned by year/month under the
-    shared checkpoint folder, and re-scanned by every query. Re-scans get
-    column pruning and year/month partition pruning, and the written table
-    survives executor loss. ``materialise=False`` returns the lazy plan.
+
+def materialised(spark: SparkSession, sf_dir: str, name: str, raw: Callable[[], DataFrame]) -> DataFrame:
+    """The processed table of ``raw()``, prepared once per session, ``name`` and input version.
+
+    It is written as Parquet partitioned by year under the shared checkpoint
+    folder and re-scanned by every query. The cleaned table, which the fence
+    reads twice, lies beside it only until the processed table is written.
     """
-    if not materialise:
-        return prepare(sales_view(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _signature(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, name, _signature(spark, sf_dir))
     df = _MATERIALISED.get(key)
     if df is None:
         tag = uuid.uuid4().hex
-        path = scratch_path(spark, f"processed-{tag}")
-        st = stages(sales_view(spark, sf_dir), cleaned_path=scratch_path(spark, f"cleaned-{tag}"))
-        write_partitioned(st.processed, path, files_per_partition=files_for(estimated_bytes(st.cleaned)))
-        df = read_processed(spark, path)
-        _MATERIALISED[key] = df
+        path, cleaned = scratch_path(spark, f"processed-{tag}"), scratch_path(spark, f"cleaned-{tag}")
+        write_partitioned(stages(raw(), cleaned_path=cleaned).processed, path)
+        _remove(spark, cleaned)
+        df = _MATERIALISED[key] = read_processed(spark, path)
     return df
 
 
-def prepared_variant(spark: SparkSession, raw: DataFrame) -> DataFrame:
-    """``prepare`` for a derived variant of the sales view (trap fixtures).
+def processed(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """The processed sales table derived from the driver's tables.
 
-    The cleaned table is written under the checkpoint folder before the
-    fence, so the joins and the de-duplication run once, as in
-    ``processed``; the rest of the plan stays lazy.
+    Like the original pipeline (clean once, write the processed file, let
+    every report re-scan it), the table is prepared once and re-scanned with
+    column pruning and year partition pruning; the written table survives
+    executor loss. ``materialise=False`` returns the lazy plan.
     """
-    return prepare(raw, cleaned_path=scratch_path(spark, f"cleaned-{uuid.uuid4().hex}"))
+    if not materialise:
+        return prepare(sales_view(spark, sf_dir))
+    return materialised(spark, sf_dir, "sales", lambda: sales_view(spark, sf_dir))
 
 
 # SQL prefix: canonical view -> de-dup -> drop missing -> 1.5*IQR fence -> features.
@@ -107,3 +106,4 @@ def sql(body: str, recursive: bool = False) -> str:
 from . import catalog_queries  # noqa: E402,F401  (registers the queries)
 from . import catalog_reports  # noqa: E402,F401
 from . import catalog_ops  # noqa: E402,F401
+from . import catalog_sources  # noqa: E402,F401

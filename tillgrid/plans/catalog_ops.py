@@ -12,8 +12,9 @@ from ..functions.text import parse_log_line
 from ..operators import clean, jobs, quality
 from ..sources.testdata import sales_view, table
 from ..session import scratch_path
-from .catalog import prepared_variant, processed, register, sql
-from .prepare import stages
+from .catalog import _remove as remove
+from .catalog import materialised, processed, register, sql
+from .prepare import observed_stages
 
 NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -45,31 +46,43 @@ def q_header_lenient(spark, sf_dir):
 
 
 # ================================================================== P4 / P5
+DATE_TRAPS = [  # (line number, half of the orders) -> layout of the cell, as a Spark and a DuckDB pattern
+    (1, 0, "d/M/yy", "%d/%m/%y"), (1, 1, "d MMM yyyy", "%d %b %Y"), (2, 0, "yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"),
+    (2, 1, "d-MMM-yyyy", "%d-%b-%Y"), (3, 0, "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), (3, 1, "MMMM d, yyyy", "%B %d, %Y"),
+    (5, 0, "yyyy-MM-dd", "%Y-%m-%d"), (5, 1, "yyyyMMdd", "%Y%m%d"), (6, 0, "dd/MM/yyyy", "%d/%m/%Y"), (6, 1, "d.M.yyyy", "%d.%m.%Y")]
+
+
 def _dirty_dates(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    d = F.col("l_shipdate")
-    text = (F.when(F.col("l_linenumber") == 7, F.lit("bad"))
-            .when(F.col("l_linenumber") == 6, F.lit(""))
-            .when(F.col("l_linenumber") == 5, F.date_format(d, "yyyy-MM-dd"))
-            .when(F.col("l_linenumber") == 4, F.lit("31/02/1996"))
-            .otherwise(F.date_format(d, "dd/MM/yyyy")))
-    return li.select("l_orderkey", "l_linenumber", text.alias("date"))
+    at = (F.col("l_shipdate").cast("timestamp_ntz") + F.expr("INTERVAL 13 HOURS 5 MINUTES"))
+    text = F.when(F.col("l_linenumber") == 7, F.lit("bad")).when(F.col("l_linenumber") == 4, F.lit("31/02/1996"))
+    for line, half, layout, _ in DATE_TRAPS:
+        text = text.when((F.col("l_linenumber") == line) & (F.col("l_orderkey") % 2 == half), F.date_format(at, layout))
+    return li.select("l_orderkey", "l_linenumber", text.alias("date"), F.col("l_quantity").cast("string").alias("units_sold"))
 
 
 @register("dates_parsed", """
-SELECT l_orderkey, l_linenumber, date FROM (
-  SELECT l_orderkey, l_linenumber,
-         CAST(COALESCE(try_strptime(trim(t), '%Y-%m-%d'), try_strptime(trim(t), '%d/%m/%Y'),
-                       try_strptime(trim(t), '%d-%m-%Y'), try_strptime(trim(t), '%d.%m.%Y'),
-                       try_strptime(trim(t), '%Y/%m/%d')) AS DATE) AS date
-  FROM (SELECT l_orderkey, l_linenumber,
-               CASE WHEN l_linenumber = 7 THEN 'bad' WHEN l_linenumber = 6 THEN ''
-                    WHEN l_linenumber = 5 THEN strftime(l_shipdate, '%Y-%m-%d')
-                    WHEN l_linenumber = 4 THEN '31/02/1996'
-                    ELSE strftime(l_shipdate, '%d/%m/%Y') END AS t FROM lineitem))
-WHERE date IS NOT NULL""")
+SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_linenumber NOT IN (4, 7)""")
 def q_dates_parsed(spark, sf_dir):
-    return clean.drop_missing(clean.parse_dates(_dirty_dates(spark, sf_dir), "date"), ["date"])
+    dirty = _dirty_dates(spark, sf_dir).drop("units_sold")
+    return clean.drop_missing(clean.parse_dates(dirty, "date"), ["date"])
+
+
+@register("rejected_rows", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 4 THEN '31/02/1996' WHEN l_linenumber = 7 THEN 'bad' END AS date,
+       CASE WHEN l_linenumber = 4 AND l_orderkey % 3 = 0 THEN 'missing_date' WHEN l_linenumber IN (4, 7) THEN 'invalid_date'
+            WHEN l_orderkey % 5 = 0 THEN 'missing_target' ELSE 'invalid_target' END AS reason
+FROM lineitem WHERE l_linenumber IN (4, 7) OR l_orderkey % 5 < 2""".replace(
+    "CASE WHEN l_linenumber = 4 THEN '31/02/1996' WHEN l_linenumber = 7 THEN 'bad' END AS date",
+    "CASE WHEN l_linenumber = 4 AND l_orderkey % 3 = 0 THEN ' ' WHEN l_linenumber = 4 THEN '31/02/1996' WHEN l_linenumber = 7 THEN 'bad' END AS date"))
+def q_rejected_rows(spark, sf_dir):
+    dirty = _dirty_dates(spark, sf_dir)
+    dirty = dirty.withColumns({
+        "date": F.when((F.col("l_linenumber") == 4) & (F.col("l_orderkey") % 3 == 0), F.lit(" ")).otherwise(F.col("date")),
+        "units_sold": F.when(F.col("l_orderkey") % 5 == 0, F.lit(None)).when(F.col("l_orderkey") % 5 == 1, F.lit("1,000")).otherwise(F.col("units_sold"))})
+    out = clean.rejected_rows(dirty)
+    late = F.col("reason").isin("missing_date", "invalid_date")
+    return out.select("l_orderkey", "l_linenumber", F.when(late, F.col("date")).alias("date"), "reason")
 
 
 # ================================================================== P6 / P7
@@ -132,13 +145,32 @@ def q_promotion_flag(spark, sf_dir):
 
 
 # ================================================================== V3-V5 / V8-V11
-@register("range_checks", sql("""
-SELECT rule, "column", violations, violations = 0 AS passed FROM (
-  SELECT 'negative_price' AS rule, 'price' AS "column", COUNT(*) FILTER (WHERE price < 0) AS violations FROM processed
-  UNION ALL SELECT 'negative_units_sold', 'units_sold', COUNT(*) FILTER (WHERE units_sold < 0) FROM processed
-  UNION ALL SELECT 'discount_above_100', 'discount', COUNT(*) FILTER (WHERE discount > 100) FROM processed)"""))
+def _dirty_sales(spark, sf_dir):
+    """The sales view as raw text without its seasonality column: negative prices and
+    units, words behind numbers, discounts over 100."""
+    s = sales_view(spark, sf_dir).drop("seasonality")
+    text = {c: F.col(c).cast("string") for c in s.columns}
+    flag = F.col("weather_condition")
+    text["price"] = F.when(flag == "A", F.concat(F.lit("-"), text["price"])).otherwise(text["price"])
+    text["units_sold"] = (F.when(flag == "R", F.concat(text["units_sold"], F.lit(" pcs")))
+                          .when(F.col("region") == "ASIA", F.concat(F.lit("-"), text["units_sold"])).otherwise(text["units_sold"]))
+    text["discount"] = F.when(F.col("region") == "EUROPE", F.lit("150.0")).otherwise(text["discount"])
+    return s.select(*[c.alias(n) for n, c in text.items()])
+
+
+RANGE_ROWS = """
+  SELECT 'negative_price' AS rule, 'price' AS "column", COUNT(*) FILTER (WHERE weather_condition = 'A') AS violations FROM sales
+  UNION ALL SELECT 'negative_units_sold', 'units_sold', COUNT(*) FILTER (WHERE region = 'ASIA' AND weather_condition <> 'R') FROM sales
+  UNION ALL SELECT 'discount_above_100', 'discount', COUNT(*) FILTER (WHERE region = 'EUROPE') FROM sales"""
+TYPE_ROWS = """
+  SELECT c AS "column", (SELECT COUNT(*) FROM sales) AS cells,
+         (SELECT COUNT(*) FROM sales WHERE c <> 'units_sold' OR weather_condition <> 'R') AS numeric_cells
+  FROM (VALUES ('inventory_level'), ('units_sold'), ('units_ordered'), ('price'), ('discount'), ('competitor_pricing')) v(c)"""
+
+
+@register("range_checks", sql(f"""SELECT rule, "column", violations, violations = 0 AS passed FROM ({RANGE_ROWS})"""))
 def q_range_checks(spark, sf_dir):
-    return quality.range_checks(processed(spark, sf_dir))
+    return quality.range_checks(clean.coerce_numeric(_dirty_sales(spark, sf_dir)))
 
 
 def _sales_with_null_keys(spark, sf_dir):
@@ -162,7 +194,7 @@ SELECT COUNT(*) FILTER (WHERE category IS NULL) AS null_category,
        COUNT(*) FILTER (WHERE date IS NULL) AS null_date
 FROM processed""")
 def q_null_checks(spark, sf_dir):
-    p = prepared_variant(spark, _sales_with_null_keys(spark, sf_dir))
+    p = materialised(spark, sf_dir, "null-keys", lambda: _sales_with_null_keys(spark, sf_dir))
     return quality.null_checks(p, ["category", "region", "units_sold", "price", "date"])
 
 
@@ -173,7 +205,7 @@ SELECT category, SUM(units_sold) AS total_units, round(SUM(units_sold) / MAX(t)
 FROM processed, tot WHERE category IS NOT NULL GROUP BY category""")
 def q_null_key_shares(spark, sf_dir):
     from ..operators.metrics import shares
-    return shares(prepared_variant(spark, _sales_with_null_keys(spark, sf_dir)), "category")
+    return shares(materialised(spark, sf_dir, "null-keys", lambda: _sales_with_null_keys(spark, sf_dir)), "category")
 
 
 @register("row_count", sql("SELECT COUNT(*) AS row_count, 21 AS column_count FROM processed"))
@@ -181,21 +213,16 @@ def q_row_count(spark, sf_dir):
     return quality.table_shape(processed(spark, sf_dir))
 
 
-@register("validation_report", sql("""
+@register("validation_report", sql(f"""
 SELECT "check", target, violations, violations = 0 AS passed FROM (
-  SELECT 'required_columns' AS "check", c AS target, CAST(0 AS BIGINT) AS violations
+  SELECT 'required_columns' AS "check", c AS target, CAST(c = 'seasonality' AS BIGINT) AS violations
   FROM (VALUES ('date'), ('store_id'), ('product_id'), ('category'), ('region'), ('inventory_level'),
                ('units_sold'), ('units_ordered'), ('demand_forecast'), ('price'), ('discount'),
                ('weather_condition'), ('holiday_promotion'), ('competitor_pricing'), ('seasonality')) v(c)
-  UNION ALL
-  SELECT 'numeric_type', c, CAST(0 AS BIGINT)
-  FROM (VALUES ('inventory_level'), ('units_sold'), ('units_ordered'), ('price'), ('discount'),
-               ('competitor_pricing')) v(c)
-  UNION ALL SELECT 'negative_price', 'price', COUNT(*) FILTER (WHERE price < 0) FROM processed
-  UNION ALL SELECT 'negative_units_sold', 'units_sold', COUNT(*) FILTER (WHERE units_sold < 0) FROM processed
-  UNION ALL SELECT 'discount_above_100', 'discount', COUNT(*) FILTER (WHERE discount > 100) FROM processed)"""))
+  UNION ALL SELECT 'numeric_type', "column", cells - numeric_cells FROM ({TYPE_ROWS})
+  UNION ALL SELECT rule, "column", violations FROM ({RANGE_ROWS}))"""))
 def q_validation_report(spark, sf_dir):
-    return quality.validation_report(spark, processed(spark, sf_dir))
+    return quality.validation_report(_dirty_sales(spark, sf_dir))
 
 
 @register("stage_counts", sql("""
@@ -206,8 +233,10 @@ SELECT CAST(ord AS INTEGER) AS ord, stage, CAST(rows AS BIGINT) AS rows FROM (
   UNION ALL SELECT 4, 'valid_target', (SELECT COUNT(*) FROM cleaned)
   UNION ALL SELECT 5, 'within_fence', (SELECT COUNT(*) FROM processed))"""))
 def q_stage_counts(spark, sf_dir):
-    st = stages(sales_view(spark, sf_dir), cleaned_path=scratch_path(spark, f"cleaned-{uuid.uuid4().hex}"))
-    return quality.stage_counts(st.raw, st.deduped, st.cleaned, st.kept)
+    path = scratch_path(spark, f"cleaned-{uuid.uuid4().hex}")
+    _, counts = observed_stages(sales_view(spark, sf_dir), path)
+    remove(spark, path)
+    return quality.stage_table(spark, counts)
 
 
 # ================================================================== A12 / P8 / P9 on events.value
@@ -219,11 +248,8 @@ SELECT round(q1, 6) AS q1, round(q3, 6) AS q3, round(lower, 6) AS lower, round(u
        (SELECT COUNT(*) FROM events, b WHERE value < lower OR value > upper) AS rejected
 FROM b""")
 def q_iqr_filter_counts(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    b = clean.fence_bounds(ev, "value")
-    kept = clean.outlier_fence(ev, "value").agg(F.count(F.lit(1)).alias("kept"))
-    rej = clean.outlier_anomalies(ev, "value").agg(F.count(F.lit(1)).alias("rejected"))
-    return b.select(*[F.round(c, 6).alias(c) for c in ("q1", "q3", "lower", "upper")]).crossJoin(kept).crossJoin(rej)
+    c = clean.fence_counts(table(spark, sf_dir, "events"), "value")
+    return c.select(*[F.round(x, 6).alias(x) for x in ("q1", "q3", "lower", "upper")], "kept", "rejected")
 
 
 @register("iqr_anomalies", """
@@ -362,15 +388,9 @@ def q_status_badges(spark, sf_dir):
 
 
 # ================================================================== V2
-@register("type_report", sql("""
-SELECT c AS "column", 'double' AS data_type, true AS is_numeric FROM (
-  SELECT DISTINCT 1 AS one FROM processed) t,
-  (VALUES ('inventory_level'), ('units_sold'), ('units_ordered'), ('price'), ('discount'), ('competitor_pricing')) v(c)"""))
+@register("type_report", sql(f"""SELECT "column", cells, numeric_cells, cells = numeric_cells AS is_numeric FROM ({TYPE_ROWS})"""))
 def q_type_report(spark, sf_dir):
-    p = processed(spark, sf_dir)
-    rep = quality.type_report(spark, p)
-    # one row per measure column, present only when the table has rows
-    return rep.crossJoin(p.select(F.lit(1).alias("one")).limit(1)).drop("one")
+    return quality.type_report(_dirty_sales(spark, sf_dir))
 
 
 # ================================================================== P10
@@ -385,7 +405,7 @@ FROM processed GROUP BY weather_condition""")
 def q_discount_filled(spark, sf_dir):
     s = sales_view(spark, sf_dir)
     s = s.withColumn("discount", F.when(F.col("weather_condition") != "R", F.col("discount")))
-    p = prepared_variant(spark, s)
+    p = materialised(spark, sf_dir, "discount-gaps", lambda: s)
     return p.groupBy("weather_condition").agg(
         F.count_if(F.col("discount") == 0).alias("zero_discounts"),
         F.sum(F.col("discount").cast("decimal(38,6)")).cast("double").alias("discount_total"),

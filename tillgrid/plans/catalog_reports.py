@@ -171,9 +171,9 @@ SELECT CAST(COALESCE(SUM(units_sold), 0) AS BIGINT) AS total_units,
        round(AVG(units_sold), 2) AS avg_units,
        CAST(round(COALESCE(SUM(CAST(units_sold * price AS DECIMAL(38,6))), 0), 2) AS DOUBLE) AS total_revenue,
        CAST(round(AVG(CAST(units_sold * price AS DECIMAL(38,6))), 2) AS DOUBLE) AS avg_revenue,
-       (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT category AS v FROM processed WHERE category IS NOT NULL)) AS category_list,
-       (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT region AS v FROM processed WHERE region IS NOT NULL)) AS region_list,
-       (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT year AS v FROM processed WHERE year IS NOT NULL)) AS year_list
+       (SELECT CAST(to_json(list(v ORDER BY v)) AS VARCHAR) FROM (SELECT DISTINCT category AS v FROM processed WHERE category IS NOT NULL)) AS category_list,
+       (SELECT CAST(to_json(list(v ORDER BY v)) AS VARCHAR) FROM (SELECT DISTINCT region AS v FROM processed WHERE region IS NOT NULL)) AS region_list,
+       (SELECT CAST(to_json(list(CAST(v AS INTEGER) ORDER BY v)) AS VARCHAR) FROM (SELECT DISTINCT year AS v FROM processed WHERE year IS NOT NULL)) AS year_list
 FROM processed WHERE category = 'SMALL' AND year = 1999"""))
 def q_results_view(spark, sf_dir):
     return reports.results_view(processed(spark, sf_dir), category="SMALL", year="1999")
@@ -238,7 +238,10 @@ UNION ALL
 SELECT section, ord, {_rewrite_sql('text')} AS text FROM ({narr})""")
 
 
-@register("report_document", _report_sql())
+REPORT_SQL = _report_sql()
+
+
+@register("report_document", REPORT_SQL)
 def q_report_document(spark, sf_dir):
     return reports.report_document(processed(spark, sf_dir), operation="forecasting")
 
@@ -286,7 +289,7 @@ MD_ITEMS = [
 ]
 
 
-def _markdown_sql() -> str:
+def markdown_sql() -> str:
     head = ["'# Automated Analytics Report: sales.csv'", "''", "'- Job ID: `job`'",
             "'- Operation: `forecasting`'", "'- Status: `SUCCEEDED`'", "''", "'## Key Metrics'"]
     head += [f"'- {k}: ' || COALESCE({v}, 'None')" for k, v in MD_ITEMS]
@@ -302,7 +305,7 @@ def _markdown_sql() -> str:
     return sql(FORECAST_BASE + "\n" + body)
 
 
-@register("markdown_report", _markdown_sql())
+@register("markdown_report", markdown_sql())
 def q_markdown_report(spark, sf_dir):
     return reports.markdown_lines(processed(spark, sf_dir), operation="forecasting")
 

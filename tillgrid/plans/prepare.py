@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..operators import clean, quality
 
@@ -52,6 +53,26 @@ def stages(raw: DataFrame, date_formats: list[str] | None = None, approx_fence:
     return Stages(raw, deduped, cleaned, kept, processed)
 
 
+def observed_stages(raw: DataFrame, cleaned_path: str, date_formats: list[str] | None = None) -> tuple[Stages, dict[str, int]]:
+    """The pipeline with its stages' row counts, observed while the cleaned table is written.
+
+    The joins and the de-duplication run once; the fence's count is one more
+    pass over the written table.
+    """
+    seen = {name: Observation() for name in ("raw", "deduplicated", "valid_target")}
+    n = F.count(F.lit(1)).alias("n")
+    deduped = clean.normalise_headers(clean.dedup_rows(raw.observe(seen["raw"], n)))
+    deduped = clean.parse_dates(deduped, "date", date_formats)
+    deduped = deduped.observe(seen["deduplicated"], n, F.count("date").alias("dated"))
+    cleaned = clean.drop_missing(clean.coerce_numeric(clean.drop_missing(deduped, ["date"])), ["units_sold"])
+    quality.check_schema(cleaned)
+    cleaned.observe(seen["valid_target"], n).write.mode("overwrite").parquet(cleaned_path)
+    cleaned = raw.sparkSession.read.parquet(cleaned_path)
+    kept = clean.outlier_fence(cleaned, "units_sold")
+    counts = {name: o.get["n"] for name, o in seen.items()} | {"valid_date": seen["deduplicated"].get["dated"], "within_fence": kept.count()}
+    return Stages(raw, deduped, cleaned, kept, clean.fill_discount(clean.add_features(kept))), counts
+
+
 def prepare(raw: DataFrame, date_formats: list[str] | None = None, approx_fence: bool = False,
             cleaned_path: str | None = None) -> DataFrame:
     """The processed sales table (lazy unless ``cleaned_path`` is given)."""

@@ -20,8 +20,13 @@ from ..config import (
     GAP_UNBALANCED,
     HEALTH_STABLE,
     HEALTH_UNBALANCED,
+    NO_CONFIDENCE_INSIGHT,
+    NO_GROWTH_INSIGHT,
+    NO_TREND_INSIGHT,
     NOT_AVAILABLE,
+    OPERATIONS,
     PREPROCESSING_NOTES,
+    PRICE_CANDIDATES,
     REPORT_GAP_STABLE,
     REPORT_HEALTH_STABLE,
     REPORT_HEALTH_VARIANCE,
@@ -38,6 +43,7 @@ from ..functions.text import (
 )
 from ..operators import forecast as fc
 from ..operators import metrics, ranking
+from ..operators.quality import check_analytics_columns
 
 
 def _num(c: Column) -> Column:
@@ -71,8 +77,23 @@ def gap_health(keyed: DataFrame) -> DataFrame:
 
 
 # ================================================================== C2 forecasting
-def _cube(processed: DataFrame, cube: DataFrame | None, fallback: str = "units") -> DataFrame:
-    return cube if cube is not None else metrics.report_cube(metrics.with_revenue(processed, fallback=fallback))
+def _cube(processed: DataFrame, cube: DataFrame | None, fallback: str = "units",
+          candidates: list[str] | None = None) -> DataFrame:
+    return cube if cube is not None else metrics.report_cube(metrics.with_revenue(processed, fallback=fallback, candidates=candidates))
+
+
+def check_operation(operation: str) -> str:
+    """Reject a mode that no report knows."""
+    if operation not in OPERATIONS:
+        raise ValueError(f"Unsupported operation: {operation!r}; expected one of {OPERATIONS}")
+    return operation
+
+
+def run_operation(processed: DataFrame, operation: str, **filters) -> dict[str, DataFrame]:
+    """Every output of one mode: ``forecasting`` (C2) or ``business_analysis``."""
+    if check_operation(operation) == "forecasting":
+        return forecast_report(processed)
+    return business_report(processed, **filters)
 
 
 def _totals(cube: DataFrame) -> DataFrame:
@@ -124,17 +145,25 @@ def forecast_metrics(processed: DataFrame, grain: str = "month", cube: DataFrame
 
 
 def forecast_narrative(processed: DataFrame, grain: str = "month", cube: DataFrame | None = None) -> DataFrame:
-    """R9 + R11: (section, ord, text) — 7 insights then 4 recommendations."""
+    """R9 + R11: (section, ord, text) — 7 insights then 4 recommendations.
+
+    A history too short for growth, or with undefined growth, states so in
+    the same places; no sentence is left out.
+    """
     m = forecast_metrics(processed, grain, cube)
     g = F.col("avg_growth")
+
+    def known(column: str) -> Column:
+        return F.when(F.length(column) > 0, F.col(column)).otherwise(F.lit(NOT_AVAILABLE))
+
     insights = _lines("insight", [
-        F.concat(F.lit("Sales are showing a "), F.col("trend"), F.lit(" trend over time.")),
-        F.concat(F.lit("Average monthly growth is "), _num(F.round(g * 100, 2)), F.lit("%.")),
-        F.concat(F.lit("Highest sales recorded in "), F.col("best_month"), F.lit(".")),
-        F.concat(F.lit("Lowest performance observed in "), F.col("worst_month"), F.lit(".")),
-        F.concat(F.lit("Peak sales months are "), F.col("top_months"), F.lit(".")),
-        F.concat(F.lit("Forecast confidence is "), F.col("forecast_confidence"),
-                 F.lit(", indicating prediction reliability.")),
+        F.coalesce(F.concat(F.lit("Sales are showing a "), F.col("trend"), F.lit(" trend over time.")), F.lit(NO_TREND_INSIGHT)),
+        F.coalesce(F.concat(F.lit("Average monthly growth is "), _num(F.round(g * 100, 2)), F.lit("%.")), F.lit(NO_GROWTH_INSIGHT)),
+        F.concat(F.lit("Highest sales recorded in "), known("best_month"), F.lit(".")),
+        F.concat(F.lit("Lowest performance observed in "), known("worst_month"), F.lit(".")),
+        F.concat(F.lit("Peak sales months are "), known("top_months"), F.lit(".")),
+        F.coalesce(F.concat(F.lit("Forecast confidence is "), F.col("forecast_confidence"),
+                            F.lit(", indicating prediction reliability.")), F.lit(NO_CONFIDENCE_INSIGHT)),
         F.lit(FORECAST_CLOSING_INSIGHT),
     ])
     recs = _lines("recommendation", [F.lit(t) for t in FORECAST_RECOMMENDATIONS])
@@ -143,6 +172,7 @@ def forecast_narrative(processed: DataFrame, grain: str = "month", cube: DataFra
 
 def forecast_report(processed: DataFrame, grain: str = "month") -> dict[str, DataFrame]:
     """Every output of the forecasting mode as DataFrames (one scan)."""
+    check_analytics_columns(processed)
     cube = _cube(processed, None)
     monthly = _monthly(cube, grain)
     return {
@@ -155,6 +185,7 @@ def forecast_report(processed: DataFrame, grain: str = "month") -> dict[str, Dat
 
 # ================================================================== C3 business analysis
 def _business_base(processed: DataFrame, category="all", region="all", year="all") -> DataFrame:
+    check_analytics_columns(processed)
     return metrics.with_revenue(metrics.apply_filters(processed, category, region, year), fallback="units")
 
 
@@ -273,13 +304,18 @@ def dashboard_series(processed: DataFrame, cube: DataFrame | None = None) -> Dat
 # ================================================================== C5 results view
 def results_view(processed: DataFrame, category="all", region="all", year="all") -> DataFrame:
     """Filtered units/revenue KPIs (results-page revenue rule: no price -> 0)
-    next to the dropdown lists computed from the unfiltered table."""
+    next to the dropdown lists of the unfiltered table, as JSON arrays.
+
+    The lists come from ``dropdown_values``: one row per key value.
+    """
     k = metrics.filtered_kpis(processed, category, region, year, fallback="zero")
-    lists = processed.agg(
-        F.array_join(F.array_sort(F.collect_set("category")), "|").alias("category_list"),
-        F.array_join(F.array_sort(F.collect_set("region")), "|").alias("region_list"),
-        F.array_join(F.transform(F.array_sort(F.collect_set("year")), lambda y: y.cast("string")), "|").alias("year_list"),
-    )
+    values = metrics.dropdown_values(processed)
+
+    def listed(kind: str, cast: str = "string") -> Column:
+        own = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "value"))))
+        return F.to_json(F.transform(own, lambda v: v["value"].cast(cast)))
+
+    lists = values.agg(listed("category").alias("category_list"), listed("region").alias("region_list"), listed("year", "int").alias("year_list"))
     return k.crossJoin(lists)
 
 
@@ -288,8 +324,10 @@ def report_document(processed: DataFrame, operation: str = "business_analysis",
                     filename: str = "sales.csv") -> DataFrame:
     """(section, ord, text): overview, preprocessing, key metrics, distribution,
     insights (month numbers rewritten to names), recommendations, KPI tiles.
-    Always recomputed from the processed table (no cached fallbacks)."""
-    cube = _cube(processed, None, fallback="zero")
+    Always recomputed from the processed table (no cached fallbacks); revenue
+    takes the first price column that the table has."""
+    check_operation(operation)
+    cube = _cube(processed, None, fallback="zero", candidates=PRICE_CANDIDATES)
     t = metrics.cube_totals(cube)
     shape = t.select(F.col("n_rows").alias("row_count"),
                      F.round(F.coalesce(F.col("total_revenue"), F.lit(0)), 2).cast("double").alias("total_revenue"),
@@ -342,6 +380,7 @@ def report_document(processed: DataFrame, operation: str = "business_analysis",
 def markdown_lines(processed: DataFrame, operation: str = "forecasting", job_id: str = "job",
                    filename: str = "sales.csv", status: str = "SUCCEEDED") -> DataFrame:
     """(ord, line) of the markdown report; ``write.text`` or ``array_join`` to render."""
+    check_operation(operation)
     cube = _cube(processed, None)
     if operation == "forecasting":
         m = forecast_metrics(processed, cube=cube)

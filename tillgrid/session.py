@@ -47,8 +47,9 @@ def build_session(master: str | None = None, app_name: str = "tillgrid",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster decides where lineage is cut; only when nothing is set (unit
-    tests on one machine) do we pick a fresh local folder.
+    The cluster decides where lineage is cut. Only on a local master, as in
+    unit tests, is a fresh folder of this machine taken when nothing is set;
+    elsewhere executors would write to disks that others can't read.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="tillgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

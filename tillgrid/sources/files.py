@@ -9,12 +9,13 @@ failing the job.
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.clean import null_na_tokens
+from ..operators.clean import normalise_headers, null_na_tokens
 
 # --- fixed values: JSON payload contracts ---
 START_JOB_SCHEMA = StructType([StructField(n, StringType()) for n in (
@@ -22,21 +23,84 @@ START_JOB_SCHEMA = StructType([StructField(n, StringType()) for n in (
 STATUS_EVENT_SCHEMA = StructType([StructField(n, StringType()) for n in (
     "job_id", "status", "stage", "message", "updated_at")])
 
+# Column that holds the text of records whose cells don't fit the header.
+MALFORMED = "_malformed"
 
-def _csv_reader(spark: SparkSession, sep: str = ",", quote: str = '"', header: bool = True):
-    return (spark.read.option("header", header).option("sep", sep).option("quote", quote)
+
+def _csv_reader(spark: SparkSession, sep: str = ",", quote: str = '"', header: bool = True, multi_line: bool = False):
+    return (spark.read.option("header", header).option("sep", sep).option("quote", quote).option("multiLine", multi_line)
             .option("escape", quote).option("inferSchema", False).option("mode", "PERMISSIVE"))
 
 
+def _parent_folder() -> Column:
+    """Name of the folder of the row's file; file metadata holds paths with escapes."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
+
+
+def header_groups(spark: SparkSession, path) -> list[tuple[str, list[str]]]:
+    """(header line, files with it), from the first line of every file.
+
+    One text scan; tasks keep a file's first line only, and what reaches the
+    driver is the list of files, as in any file listing.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"), F.col("value"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    groups: dict[str, list[str]] = {}
+    for r in heads.orderBy("file").collect():
+        groups.setdefault(r["head"].rstrip("\r"), []).append(unquote(r["file"]))
+    return sorted(groups.items(), key=lambda g: g[1][0])
+
+
+def _malformed(df: DataFrame, reader, files: list[str]) -> DataFrame:
+    """The same files read with a column that holds the text of records with too few or too many cells."""
+    schema = StructType([StructField(c, StringType()) for c in [*df.columns, MALFORMED]])
+    return reader.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).csv(files)
+
+
+def _read_by_header(spark: SparkSession, path, sep: str, quote: str, multi_line: bool, job_id: bool = False,
+                    malformed: bool = False) -> DataFrame:
+    """Files of one header as they are; files of several headers each by their
+    own names, normalised, and joined by name. A file without a column that
+    the others have is an error that names it."""
+    groups = header_groups(spark, path)
+    if not groups:
+        raise ValueError(f"no rows in {path}")
+    frames = []
+    for _, files in groups:
+        reader = _csv_reader(spark, sep, quote, True, multi_line)
+        df = reader.csv(files)
+        df = _malformed(df, reader, files) if malformed else df
+        if job_id:
+            df = df.withColumn("job_id", _parent_folder())
+        frames.append((normalise_headers(df) if len(groups) > 1 else df, files))
+    columns = list(dict.fromkeys(c for df, _ in frames for c in df.columns))
+    for df, files in frames:
+        if missing := [c for c in columns if c not in df.columns]:
+            raise ValueError(f"Missing required columns: {missing} in {files[0]}")
+    out = frames[0][0]
+    for df, _ in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 # ---------------------------------------------------------------- S1
 def read_sales_csv(spark: SparkSession, path, sep: str = ",", quote: str = '"', header: bool = True,
-                   na_tokens: list[str] | None = None) -> DataFrame:
+                   na_tokens: list[str] | None = None, multi_line: bool = False, malformed: bool = False) -> DataFrame:
     """Uploaded CSV(s) -> all-STRING DataFrame with missing-value tokens as NULL.
 
-    ``path`` may be one path, a glob or a list. Splitting is per file block,
-    so a large upload is read by many tasks.
+    ``path`` may be one path, a glob or a list; each file's columns are those
+    of its own header. Splitting is per file block, so a large upload is read
+    by many tasks; ``multi_line`` reads a file per task instead, for cells
+    that hold line breaks. ``malformed`` adds a column with the text of
+    records whose cells don't fit the header (else NULL), to be counted.
     """
-    df = _csv_reader(spark, sep, quote, header).csv(path)
+    if header:
+        df = _read_by_header(spark, path, sep, quote, multi_line, malformed=malformed)
+    else:
+        df = _csv_reader(spark, sep, quote, False, multi_line).csv(path)
     return null_na_tokens(df, na_tokens)
 
 
@@ -48,20 +112,32 @@ def copy_raw(spark: SparkSession, src: str, dest: str) -> str:
 
 
 # ---------------------------------------------------------------- S5
-def read_landing(spark: SparkSession, base: str, sep: str = ",", header: bool = True) -> DataFrame:
+def read_landing(spark: SparkSession, base: str, sep: str = ",", header: bool = True,
+                 jobs: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Landing zone ``<base>/<job_id>/<file>.csv`` -> rows tagged with ``job_id``
-    (the parent folder of each file, taken from the file metadata column)."""
-    df = _csv_reader(spark, sep, '"', header).csv(f"{base.rstrip('/')}/*/")
-    job = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
-    return null_na_tokens(df).withColumn("job_id", job)
+    (the parent folder of each file, taken from the file metadata column).
+    Each file is read by its own header; ``jobs`` limits the scan to those uploads."""
+    root = base.rstrip("/")
+    paths = [f"{root}/{j}/" for j in jobs] if jobs is not None else f"{root}/*/"
+    if header:
+        return null_na_tokens(_read_by_header(spark, paths, sep, '"', multi_line, job_id=True))
+    df = _csv_reader(spark, sep, '"', False, multi_line).csv(paths)
+    return null_na_tokens(df).withColumn("job_id", _parent_folder())
 
 
 # ---------------------------------------------------------------- S6
-def crawl_to_parquet(spark: SparkSession, src: str, dest: str, sep: str = ",") -> DataFrame:
-    """Discover a CSV's schema (one inference pass), write it as Parquet, return the table."""
+def crawl_to_parquet(spark: SparkSession, src: str, dest: str, sep: str = ",", table: str | None = None) -> DataFrame:
+    """Discover a CSV's schema (one inference pass), write it as Parquet, return the table.
+
+    With ``table`` the files are registered under that name in the session's
+    catalog, so later queries find them by name.
+    """
     df = spark.read.option("header", True).option("sep", sep).option("inferSchema", True).csv(src)
-    df.write.mode("overwrite").parquet(dest)
-    return spark.read.parquet(dest)
+    if table is None:
+        df.write.mode("overwrite").parquet(dest)
+        return spark.read.parquet(dest)
+    df.write.mode("overwrite").option("path", dest).format("parquet").saveAsTable(table)
+    return spark.table(table)
 
 
 # ---------------------------------------------------------------- S7
@@ -83,11 +159,11 @@ def manifest_options(manifest: dict) -> tuple[list[str], dict]:
 def read_manifest(spark: SparkSession, manifest_path: str) -> DataFrame:
     """Scan every prefix listed in a manifest file with its CSV dialect.
 
-    The manifest is a small configuration document, read on the driver; the
-    data it points to is read by the cluster.
+    The manifest is a small configuration document, read through Spark from
+    whatever store its path names; the data it points to is read by the cluster.
     """
-    with open(manifest_path, encoding="utf-8") as fh:
-        prefixes, opts = manifest_options(json.load(fh))
+    text = spark.read.option("wholetext", True).text(manifest_path).first()["value"]
+    prefixes, opts = manifest_options(json.loads(text))
     return read_sales_csv(spark, prefixes, sep=opts["sep"], quote=opts["quote"], header=opts["header"])
 
 

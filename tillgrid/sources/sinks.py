@@ -7,41 +7,31 @@ instead of re-running the joins and the de-duplication.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import math
-
 PARTITION_COLUMNS = ("year",)
-TARGET_FILE_BYTES = 128 * 1024 * 1024
-
-
-def files_for(estimated_bytes: int | None, cap: int = 4096) -> int:
-    """Salt buckets per partition value so files land near TARGET_FILE_BYTES."""
-    if not estimated_bytes:
-        return 1
-    return max(1, min(cap, math.ceil(estimated_bytes / TARGET_FILE_BYTES)))
 
 
-def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS,
-                      files_per_partition: int = 4, mode: str = "overwrite") -> str:
+def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS, mode: str = "overwrite") -> str:
     """Write Parquet partitioned by ``partition_by`` (default ``year``, the
     user-filter column, so a year filter prunes directories).
 
-    Rows are shuffled on (partition columns, salt) with the salt a hash of
-    the row modulo ``files_per_partition``: every year is spread over that
-    many tasks (a hot year does not become one giant task) and the file
-    count stays years x files_per_partition instead of tasks x years.
+    The rows are rebalanced on the partition columns: adaptive execution
+    measures the shuffled bytes, splits a hot year over as many tasks of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` as it needs and joins
+    small ones, so files follow the size of the data at any scale.
     """
     cols = [c for c in partition_by if c in df.columns]
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_partition))
-    out = df.repartition(*[F.col(c) for c in cols], salt) if cols else df
+    out = df.hint("rebalance", *[F.col(c) for c in cols]) if cols else df
     out.write.mode(mode).partitionBy(*cols).parquet(path)
     return path
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
-    """Re-scan a processed table; ``year``/``month`` filters prune directories."""
+    """Re-scan a processed table; a ``year`` filter prunes directories."""
     return spark.read.parquet(path)
 
 
@@ -51,13 +41,36 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
 def publish_latest(df: DataFrame, base: str, name: str = "latest", fmt: str = "parquet") -> str:
-    """Overwrite a stable location so readers always find the newest snapshot.
+    """Publish a snapshot: a new version folder, then a pointer that names it.
 
-    Hadoop file systems (including object stores via their connectors)
-    retry failed writes per task; the job commit makes the replacement
-    visible only when every task succeeded.
+    The version is written in full before the small pointer file is replaced
+    by a rename, so a reader of the pointer finds the old or the new snapshot
+    and never a half-written one. Older versions stay until they are removed.
+    Returns the version's path.
     """
-    path = f"{base.rstrip('/')}/{name}"
-    df.write.mode("overwrite").format(fmt).option("header", True).save(path)
-    return path
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    root = f"{base.rstrip('/')}/{name}"
+    df.write.format(fmt).option("header", True).save(f"{root}/versions/{version}")
+    fs, hadoop = _file_system(spark, root)
+    fresh, pointer = hadoop.Path(f"{root}/.{version}.tmp"), hadoop.Path(f"{root}/CURRENT")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context = hadoop.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(fresh), context.makeQualified(pointer), options)
+    return f"{root}/versions/{version}"
+
+
+def read_latest(spark: SparkSession, base: str, name: str = "latest", fmt: str = "parquet") -> DataFrame:
+    """The snapshot that the pointer names."""
+    root = f"{base.rstrip('/')}/{name}"
+    version = spark.read.text(f"{root}/CURRENT").first()["value"]
+    return spark.read.format(fmt).option("header", True).load(f"{root}/versions/{version}")

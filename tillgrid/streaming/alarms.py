@@ -20,22 +20,28 @@ def failure_alarm(stream: DataFrame, condition: Column, ts: str = "ts", width: s
     """Windows (optionally per key) with at least one failure.
 
     Append mode emits each window once, after the watermark passes its end.
+    Healthy rows move the watermark but leave no state.
     """
     s = with_event_time(stream, ts, watermark)
+    # Written so that it isn't moved below the watermark, which healthy rows must still advance.
+    s = s.where(F.when(condition, F.col(ts)).isNotNull())
     g = s.groupBy(F.window(F.col(ts), width).alias("w"), *(keys or []))
-    return (g.agg(F.count_if(condition).alias("failures"))
-            .filter(F.col("failures") > 0)
+    return (g.agg(F.count(F.lit(1)).alias("failures"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     *(keys or []), "failures"))
 
 
 def duration_p95(stream: DataFrame, value: str, ts: str = "ts", width: str = "5 minutes",
-                 watermark: str = "10 minutes", accuracy: int = 10000) -> DataFrame:
-    """Per-window p95 with a bounded-size sketch (state per window is fixed-size)."""
+                 watermark: str = "10 minutes", approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Per-window p95, interpolated as in the batch form.
+
+    State holds a window's distinct values until the watermark passes it;
+    ``approx=True`` keeps a sketch of fixed size instead.
+    """
     s = with_event_time(stream, ts, watermark)
     g = s.groupBy(F.window(F.col(ts), width).alias("w"))
-    return g.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(F.col(value), F.lit(0.95), accuracy).alias("p95")).select(
+    p95 = F.percentile_approx(F.col(value), F.lit(0.95), accuracy) if approx else F.percentile(F.col(value), F.lit(0.95))
+    return g.agg(F.count(F.lit(1)).alias("n"), p95.alias("p95")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "p95")
 
 

@@ -1,12 +1,13 @@
 """Upload-triggered processing and incremental rollups.
 
-New files dropped under ``<landing>/<job_id>/`` are picked up by a file
-stream. Each micro-batch runs the cleaning pipeline per upload (de-dup and
-the 1.5*IQR fence are computed per ``job_id``, as each upload was its own
-run originally) and appends the processed rows to a table partitioned by
-``job_id``. ``trigger(availableNow=True)`` processes what is there and
-stops, so the same job serves scheduled batch runs; progress lives in the
-checkpoint folder, so a restarted or re-run job resumes where it stopped.
+New files dropped under ``<landing>/<job_id>/`` are noticed by a file stream
+that reads their names only. Each micro-batch recomputes the uploads it
+touches in full, from their own folders and by each file's own header, and
+replaces their partitions of the processed table and of the rollup. An upload
+that arrives over several micro-batches, or a batch that is replayed after a
+failure, so ends with the same rows as one batch run. Progress lives in the
+checkpoint folder; ``trigger(availableNow=True)`` processes what is there
+and stops.
 """
 
 from __future__ import annotations
@@ -14,31 +15,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
 
-from ..config import REQUIRED_COLUMNS
 from ..operators import clean, quality
+from ..sources.files import read_landing
 
 
-def text_schema(columns: list[str] | None = None) -> StructType:
-    """All-STRING schema for streamed CSV uploads (streams need a fixed schema)."""
-    return StructType([StructField(c, StringType()) for c in (columns or REQUIRED_COLUMNS)])
-
-
-def landing_stream(spark: SparkSession, landing: str, schema: StructType | None = None,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of rows from CSV files under ``<landing>/<job_id>/``, tagged with ``job_id``."""
-    reader = spark.readStream.schema(schema or text_schema()).option("header", True)
+def landing_files(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of the new files under ``<landing>/<job_id>/``: ``path``, ``job_id`` (contents aren't read)."""
+    reader = (spark.readStream.format("binaryFile").option("pathGlobFilter", "[!_.]*")
+              .schema("path string, modificationTime timestamp, length long, content binary"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.csv(f"{landing.rstrip('/')}/*/")
-    job = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
-    return clean.null_na_tokens(df).withColumn("job_id", job)
+    files = reader.load(f"{landing.rstrip('/')}/*/")
+    return files.select("path", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("job_id"))
 
 
 def row_clean(df: DataFrame) -> DataFrame:
-    """Per-row cleaning that is valid on a stream: names, dates, numbers, drops."""
-    out = clean.normalise_headers(df)
+    """Per-row cleaning: names, required columns, dates, numbers, drops."""
+    out = quality.check_schema(clean.normalise_headers(df))
     out = clean.drop_missing(clean.parse_dates(out, "date"), ["date"])
     out = clean.drop_missing(clean.coerce_numeric(out), ["units_sold"])
     return out
@@ -46,34 +40,51 @@ def row_clean(df: DataFrame) -> DataFrame:
 
 def prepare_by_job(batch: DataFrame, key: str = "job_id") -> DataFrame:
     """The full pipeline on a batch holding several uploads, one fence per upload."""
-    quality.check_schema(batch.drop(key))
     out = row_clean(clean.dedup_rows(batch))
     out = clean.outlier_fence(out, "units_sold", by=[key])
     return clean.fill_discount(clean.add_features(out))
 
 
-def process_uploads(spark: SparkSession, landing: str, output: str, checkpoint: str,
-                    schema: StructType | None = None, available_now: bool = True) -> StreamingQuery:
-    """Run the pipeline for every new upload and append to ``output``."""
+ROLLUP_KEYS = ["year", "month", "category", "region"]
+
+
+def rollup(processed: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sums and counts per (year, month, category, region), so any mean or coarser total is exact."""
+    revenue = F.col("units_sold").cast("decimal(38,6)") * F.col("price").cast("decimal(38,6)")
+    return processed.groupBy(*(keys or []), *ROLLUP_KEYS).agg(
+        F.sum(F.col("units_sold").cast("decimal(38,6)")).alias("total_units"), F.count("units_sold").alias("n_units"),
+        F.sum(revenue.cast("decimal(38,6)")).alias("total_revenue"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def replace_jobs(df: DataFrame, path: str) -> None:
+    """Write the rows of each ``job_id`` in ``df`` in place of what ``path`` holds of it."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+
+
+def refresh_jobs(spark: SparkSession, landing: str, output: str, rollups: str | None, jobs: list[str]) -> None:
+    """Recompute these uploads in full and replace their partitions."""
+    prepared = prepare_by_job(read_landing(spark, landing, jobs=jobs))
+    replace_jobs(prepared, output)
+    if rollups:
+        done = spark.read.schema(prepared.schema).parquet(output).where(F.col("job_id").isin(jobs))
+        replace_jobs(rollup(done, ["job_id"]), rollups)
+
+
+def process_uploads(spark: SparkSession, landing: str, output: str, checkpoint: str, rollups: str | None = None,
+                    max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """Run the pipeline for every upload with new files and replace its rows in ``output`` (and in ``rollups``)."""
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        prepare_by_job(batch).write.mode("append").partitionBy("job_id").parquet(output)
+        jobs = sorted(r["job_id"] for r in batch.select("job_id").distinct().collect())  # the uploads of one trigger
+        if jobs:
+            refresh_jobs(batch.sparkSession, landing, output, rollups, jobs)
 
-    writer = (landing_stream(spark, landing, schema).writeStream
+    writer = (landing_files(spark, landing, max_files_per_trigger).writeStream
               .foreachBatch(handle).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def sales_rollup(stream: DataFrame) -> DataFrame:
-    """Running (year, month, category, region) totals as files land.
-
-    Carries sums and counts so any mean is exact; run in ``update`` or
-    ``complete`` output mode. State holds one row per key combination.
-    """
-    rows = clean.add_features(row_clean(stream.drop("job_id") if "job_id" in stream.columns else stream))
-    return rows.groupBy("year", "month", "category", "region").agg(
-        F.sum("units_sold").alias("total_units"),
-        F.count("units_sold").alias("n_units"),
-        F.sum((F.col("units_sold") * F.col("price")).cast("decimal(38,6)")).alias("total_revenue"),
-        F.count(F.lit(1)).alias("n_rows"))
+def sales_rollup(rollups: DataFrame) -> DataFrame:
+    """The running totals over all uploads, from the per-upload rollup of processed rows."""
+    return rollups.groupBy(*ROLLUP_KEYS).agg(*[F.sum(c).alias(c) for c in ("total_units", "n_units", "total_revenue", "n_rows")])
