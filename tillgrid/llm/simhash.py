@@ -37,6 +37,8 @@ from .components import connected_components
 SHINGLE, RADIUS = 4, 4
 #: Fingerprints in a tile, and in a sub-tile inside a task.
 TILE, SUB = 8192, 512
+#: Tile pairs compared by one task.
+PAIRS = 6
 #: Shingles hashed at once.
 STEP = 1 << 16
 
@@ -133,7 +135,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
         F.sequence(F.lit(0), chunks[q] - 1), lambda k: F.struct(q.alias("p"), k.cast("long").alias("c")))))
     left = tiles.select(F.col("p").alias("lp"), F.col("c").alias("lc"), F.col("fps").alias("left"), F.explode(partners).alias("to")).select(
         "lp", "lc", "left", "to.p", "to.c").where("p > lp or c >= lc")
-    pairs = left.join(tiles, ["p", "c"]).select((F.expr("p = lp and c = lc")).alias("own"), "left", F.expr("if(p = lp and c = lc, null, fps)").alias("right"))
+    # Tiles are small, their comparison isn't: tasks follow the number of pairs, not the bytes.
+    cells = sum(a * (a + 1) // 2 + a * sum(sizes.get(q, 0) for q in range(p + 1, p + radius + 1)) for p, a in sizes.items())
+    dealt = left.join(tiles, ["p", "c"]).repartition(max(1, -(-cells // PAIRS)), "lp", "lc", "p", "c")
+    pairs = dealt.select((F.expr("p = lp and c = lc")).alias("own"), "left", F.expr("if(p = lp and c = lc, null, fps)").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
