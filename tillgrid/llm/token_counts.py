@@ -22,7 +22,7 @@ from .common import cut, documents
 from .tokens import RANKS, token_lengths, vocabulary_path
 
 #: Lengths per block of the two-level running sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -38,9 +38,9 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     that length or longer (suffix sums); ``docs_at_most``; ``total_tokens``
     of all documents; ``kept_tokens``, the sum of min(length, limit);
     ``quantile``, the share of documents of at most this length.
-    Running sums go in two levels, inside blocks of 1,024 lengths and over
+    Running sums go in two levels, inside blocks of 64 lengths and over
     the blocks' totals, so the one unpartitioned window holds a row per
-    1,024 tokens of the longest document.
+    64 tokens of the longest document.
     """
     h = histogram.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / BLOCK).alias("block"),
                          (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
