@@ -24,7 +24,6 @@ they are, other columns ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
