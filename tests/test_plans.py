@@ -33,6 +33,33 @@ def test_column_pruning_on_processed(spark):
     assert "ReadSchema: struct<units_sold:double>" in p or "ReadSchema: struct<units_sold:double," in p
 
 
+def test_stored_status_reaches_the_scan(spark, tmp):
+    from tillgrid.operators import jobs
+
+    jobs.with_status_badge(table(spark, SF_SMALL, "events"), "event_type").write.parquet(f"{tmp}/jobs")
+    rows = jobs.by_status(spark.read.parquet(f"{tmp}/jobs"), "status_norm", "error", "ts", stored=True)
+    assert "EqualTo(status_norm,ERROR)" in plan(rows)
+    assert rows.count() == jobs.by_status(table(spark, SF_SMALL, "events"), "event_type", "error", "ts").count() > 0
+
+
+def test_reports_scan_once_and_cache_nothing(spark):
+    p = processed(spark, SF_SMALL)
+    cube = metrics.report_cube(metrics.with_revenue(p), materialise=False)
+    assert plan(cube).count("FileScan") == 1 and "Expand" in plan(cube)
+    fine = plan(cube).split("Expand", 1)[1]
+    assert "HashAggregate" in fine  # grouping sets expand the finest grain, not raw rows
+    from tillgrid.plans import reports
+    reports.business_metrics(p).collect()
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_alarm_condition_reaches_the_scan(spark):
+    from tillgrid.operators import jobs
+
+    rows = jobs.window_alarm(table(spark, SF_SMALL, "events"), "ts", F.col("event_type") == "error")
+    assert "EqualTo(event_type,error)" in plan(rows)
+
+
 def test_keyed_sums_aggregate_partially(spark):
     p = plan(metrics.category_sales(processed(spark, SF_SMALL)))
     assert "partial_sum" in p

@@ -177,10 +177,6 @@ PREPROCESSING_NOTES = [
     "Data validated for consistency",
 ]
 
-# --- fixed values: job status vocabulary ---
-JOB_STATUSES = ["QUEUED", "RUNNING", "SUCCEEDED", "FAILED"]
-FAILED_STATUS = "FAILED"
-
 # --- fixed values: run-log line layout "ts | LEVEL | RUN_ID=xxxxxxxx | message" ---
 RUN_LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 RUN_LOG_PATTERN = (

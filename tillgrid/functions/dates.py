@@ -47,8 +47,3 @@ def weekday_monday0(col: Column) -> Column:
 def iso_week(col: Column) -> Column:
     """ISO-8601 week number (weeks start Monday, week 1 holds Jan 4th)."""
     return F.weekofyear(col)
-
-
-def year_month_label(col: Column) -> Column:
-    """Calendar period label ``YYYY-MM``."""
-    return F.date_format(col, "yyyy-MM")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, NumericType, StringType
+from pyspark.sql.types import DataType, NumericType
 
 # Plain decimal or scientific literal with optional sign and surrounding blanks.
 # Thousands separators, words ("True", "inf", "NaN") and suffixes ("1d") fail.
@@ -28,17 +28,3 @@ def coerce_number(col: Column, source_type: DataType | None = None) -> Column:
     text = col.cast("string")
     guarded = F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
     return _finite(guarded)
-
-
-def is_text(source_type: DataType) -> bool:
-    return isinstance(source_type, StringType)
-
-
-def round2(col: Column) -> Column:
-    """Two-decimal rounding, half away from zero (applied at output only)."""
-    return F.round(col, 2)
-
-
-def money(col: Column) -> Column:
-    """Exact money arithmetic: two-decimal fixed point."""
-    return col.cast("decimal(18,2)")

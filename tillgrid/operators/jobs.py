@@ -58,9 +58,14 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value))
 
 
-def by_status(df: DataFrame, status: str, value: str, ts: str, tiebreak: str | None = None) -> DataFrame:
-    """Rows in one status, newest update first."""
-    return df.filter(normalise_status(F.col(status)) == F.lit(value.upper())).orderBy(*_order(ts, tiebreak))
+def by_status(df: DataFrame, status: str, value: str, ts: str, tiebreak: str | None = None, stored: bool = False) -> DataFrame:
+    """Rows in one status, newest update first.
+
+    ``stored`` says that the column holds normalised statuses, as
+    ``with_status_badge`` writes them: then the plain comparison reaches the scan.
+    """
+    current = F.col(status) if stored else normalise_status(F.col(status))
+    return df.filter(current == F.lit(value.upper())).orderBy(*_order(ts, tiebreak))
 
 
 # ---------------------------------------------------------------- W6

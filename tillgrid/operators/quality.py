@@ -78,10 +78,6 @@ def null_checks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                     for c in cols])
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("row_count"))
-
-
 def table_shape(df: DataFrame) -> DataFrame:
     """(row_count, column_count); the column count is schema metadata."""
     return df.agg(F.count(F.lit(1)).alias("row_count"),

@@ -11,13 +11,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, metrics
+from ..operators import clean
 from ..session import scratch_path
 from ..sources import files, sinks
 from ..sources.testdata import sales_view, table
 from ..streaming import alarms, uploads
 from . import reports
-from .catalog import PROCESSED_CTE, materialised, processed, register, sql
+from .catalog import PROCESSED_CTE, processed, register, sql
 from .catalog_reports import FORECAST_LINES, REPORT_SQL, lines_sql, markdown_sql
 from .prepare import prepare
 
