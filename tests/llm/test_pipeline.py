@@ -88,3 +88,13 @@ def test_run_of_nothing(spark, frame, table):
 
     sf = table(documents=frame([]), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert pipeline.run(spark, sf).collect() == []
+
+
+def test_registered():
+    import re
+
+    import __spark_entry__ as entry
+
+    numbers = sorted(int(m[1]) for q in entry.queries() if (m := re.match(r"op(\d+)_", q)))
+    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert {q for q in entry.oracle_sql() if re.match(r"op\d+_", q)} == {"op2_mtree", "op3_warc"}
