@@ -42,12 +42,12 @@ PAGE, SHARD, BLOCK = 64, 4096, 512
 
 
 def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``row`` (a number per row), ``vec_id``, ``x`` (whole components) and ``n2`` (squared length); written once."""
+    """``row`` (a number per row), ``vec_id``, ``x`` (whole components) and ``n2`` (squared length, a double); written once."""
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(
         "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("long"))
     held = rows.where(good).select(F.monotonically_increasing_id().alias("row"), "vec_id", x.alias("x"))
-    return cut(held.withColumn("n2", F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v * v)), "whole-vectors")
+    return cut(held.withColumn("n2", F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))), "whole-vectors")
 
 
 class MTree:
@@ -63,7 +63,7 @@ class MTree:
         self.x = self.x.astype(self.exact)
 
     @classmethod
-    def build(cls, row: np.ndarray, ids: np.ndarray, x: np.ndarray, longest: int, page: int = PAGE, seed: int = 0) -> MTree:
+    def build(cls, row: np.ndarray, ids: np.ndarray, x: np.ndarray, longest: float, page: int = PAGE, seed: int = 0) -> MTree:
         rng = np.random.default_rng(seed)
         lifted = np.concatenate([x.astype(float), np.sqrt(np.maximum(0.0, float(longest) - (x.astype(float) ** 2).sum(1)))[:, None]], axis=1)
         order: list[np.ndarray] = []
@@ -111,7 +111,7 @@ class MTree:
         with np.load(io.BytesIO(raw), allow_pickle=False) as held:
             return cls(**{name: held[name] for name in cls.FIELDS})
 
-    def search(self, query: np.ndarray, own: int, longest: int, k: int = K) -> tuple[list[tuple[int, int]], int]:
+    def search(self, query: np.ndarray, own: int, longest: float, k: int = K) -> tuple[list[tuple[int, int]], int]:
         """The ``k`` best (score, vec_id), best first, and how many distances were computed."""
         q = np.zeros(self.x.shape[1], self.exact)
         q[: len(query)] = query[: len(q)]
@@ -164,7 +164,7 @@ def _shards(vectors: DataFrame, shard: int) -> int:
     return max(1, -(-vectors.count() // shard))
 
 
-def build_trees(vectors: DataFrame, longest: int, shard: int = SHARD) -> DataFrame:
+def build_trees(vectors: DataFrame, longest: float, shard: int = SHARD) -> DataFrame:
     """``shard``, ``tree``: the written M-trees, one row each."""
     n = _shards(vectors, shard)
     ship_package(vectors.sparkSession)
@@ -181,7 +181,7 @@ def build_trees(vectors: DataFrame, longest: int, shard: int = SHARD) -> DataFra
 def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, block: int = BLOCK, scale: int = SCALE) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows of ``rows`` where ``is_query`` holds."""
     vectors = whole_vectors(rows, scale)
-    longest = vectors.agg(F.coalesce(F.max("n2"), F.lit(0))).first()[0]
+    longest = vectors.agg(F.coalesce(F.max("n2"), F.lit(0.0))).first()[0]
     trees = build_trees(vectors, longest, shard)
     queries = vectors.where(is_query).select("row", F.col("vec_id").cast("long").alias("vec_id"), "x")
     blocks, shards = max(1, -(-queries.count() // block)), _shards(vectors, shard)
