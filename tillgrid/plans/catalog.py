@@ -7,6 +7,7 @@ columns. Every query reads the whole tables.
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Callable
@@ -24,7 +25,13 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Zone-aware expressions take the zone that holds while the plan is made.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = in_utc
         if sql is not None:
             ORACLE[name] = sql
         return fn
