@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..config import DATE_FORMATS, TIME_PART
 
 
+def date_text(col: Column) -> Column:
+    """The cell's text without blanks around it and without a time of day and zone behind the date."""
+    text = F.trim(col.cast("string"))
+    return F.when(text.contains(":"), F.regexp_replace(text, TIME_PART, "")).otherwise(text)
+
+
 def parse_date_text(col: Column, formats: list[str] | None = None) -> Column:
-    """Text -> DATE using an ordered list of layouts; invalid text -> NULL.
+    """``date_text`` -> DATE using an ordered list of layouts; invalid text -> NULL.
 
     ``try_to_timestamp`` returns NULL instead of failing on bad, empty or
     impossible dates, so the first layout that fits wins and nothing raises
-    under ANSI mode. A time of day and a zone behind the date are cut off
-    first; the day stays as written.
+    under ANSI mode. Give it a column that holds the text: every layout
+    repeats what it is given.
     """
-    text = F.trim(col.cast("string"))
-    text = F.when(text.contains(":"), F.regexp_replace(text, TIME_PART, "")).otherwise(text)
+    text = col
     tries = []
     for fmt in formats or DATE_FORMATS:
         day = F.try_to_timestamp(text, F.lit(fmt)).cast("date")

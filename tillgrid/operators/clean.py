@@ -20,7 +20,7 @@ from ..config import (
     NA_TOKENS,
     NUMERIC_COLUMNS,
 )
-from ..functions.dates import day_of, iso_week, month_of, parse_date_text, weekday_monday0, year_of
+from ..functions.dates import date_text, day_of, iso_week, month_of, parse_date_text, weekday_monday0, year_of
 from ..functions.numbers import coerce_number
 from ..functions.text import promotion_flag
 from .joins import one_row, sized_broadcast
@@ -71,18 +71,19 @@ def lenient_headers(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P4 / P5
-def _parsed(df: DataFrame, column: str, formats: list[str] | None = None) -> Column:
+def _with_day(df: DataFrame, column: str, day: str, formats: list[str] | None = None) -> DataFrame:
+    """``df`` with the parsed date of ``column`` as ``day``."""
     dtype = df.schema[column].dataType
-    if isinstance(dtype, DateType):
-        return F.col(column)
-    if isinstance(dtype, (TimestampType, TimestampNTZType)):
-        return F.col(column).cast("date")
-    return parse_date_text(F.col(column), formats or DATE_FORMATS)
+    if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
+        return df.withColumn(day, F.col(column).cast("date"))
+    texts = df.withColumn("_date_text", date_text(F.col(column)))
+    return texts.withColumn(day, parse_date_text(F.col("_date_text"), formats or DATE_FORMATS)).drop("_date_text")
 
 
 def parse_dates(df: DataFrame, column: str = "date", formats: list[str] | None = None) -> DataFrame:
-    """Coerce ``column`` to DATE; unparsable -> NULL."""
-    return df.withColumn(column, _parsed(df, column, formats))
+    """Coerce ``column`` to DATE; unparsable -> NULL. A time of day behind the date is cut off."""
+    parsed = _with_day(df, column, "_day", formats)
+    return parsed.withColumn(column, F.col("_day")).drop("_day")
 
 
 def drop_missing(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,9 +97,10 @@ def rejected_rows(raw: DataFrame, date: str = "date", target: str = "units_sold"
     def blank(name: str) -> Column:
         return F.col(name).isNull() | (F.trim(F.col(name).cast("string")) == "")
 
-    bad_date = F.when(blank(date), "missing_date").when(_parsed(raw, date).isNull(), "invalid_date")
+    bad_date = F.when(blank(date), "missing_date").when(F.col("_day").isNull(), "invalid_date")
     bad_target = F.when(blank(target), "missing_target").when(coerce_number(F.col(target), raw.schema[target].dataType).isNull(), "invalid_target")
-    return raw.withColumn("reason", F.coalesce(bad_date, bad_target)).where(F.col("reason").isNotNull())
+    dated = _with_day(raw, date, "_day")
+    return dated.withColumn("reason", F.coalesce(bad_date, bad_target)).drop("_day").where(F.col("reason").isNotNull())
 
 
 # ---------------------------------------------------------------- P6 / P7

@@ -58,7 +58,10 @@ def _dirty_dates(spark, sf_dir):
     text = F.when(F.col("l_linenumber") == 7, F.lit("bad")).when(F.col("l_linenumber") == 4, F.lit("31/02/1996"))
     for line, half, layout, _ in DATE_TRAPS:
         text = text.when((F.col("l_linenumber") == line) & (F.col("l_orderkey") % 2 == half), F.date_format(at, layout))
-    return li.select("l_orderkey", "l_linenumber", text.alias("date"), F.col("l_quantity").cast("string").alias("units_sold"))
+    dirty = li.select("l_orderkey", "l_linenumber", text.alias("date"), F.col("l_quantity").cast("string").alias("units_sold"))
+    path = scratch_path(spark, f"dirty-dates-{uuid.uuid4().hex}")  # written, as an upload is: the cells are text by then
+    dirty.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("dates_parsed", """
