@@ -148,6 +148,25 @@ REPORT_HEALTH_VARIANCE = "High Variance"
 CURRENCY_SYMBOL = "₹"
 NOT_AVAILABLE = "N/A"
 
+# --- fixed values: narrative sentences with places for values ---
+FORECAST_TREND_INSIGHT = "Sales are showing a {trend} trend over time."
+FORECAST_GROWTH_INSIGHT = "Average monthly growth is {growth}%."
+FORECAST_BEST_INSIGHT = "Highest sales recorded in {best}."
+FORECAST_WORST_INSIGHT = "Lowest performance observed in {worst}."
+FORECAST_PEAK_INSIGHT = "Peak sales months are {months}."
+FORECAST_CONFIDENCE_INSIGHT = "Forecast confidence is {confidence}, indicating prediction reliability."
+BUSINESS_TOP_CATEGORY_INSIGHT = "{category} contributes {share}% of total sales."
+BUSINESS_LOW_CATEGORY_INSIGHT = "{category} is underperforming with only {share}% share."
+BUSINESS_TOP_REGION_INSIGHT = "{region} region dominates with {share}% of total sales."
+BUSINESS_LOW_REGION_INSIGHT = "{region} region has the lowest contribution at {share}%."
+BUSINESS_GAP_INSIGHT = "There is a performance gap of {gap} units between top and lowest category."
+BUSINESS_DOMINANT_INSIGHT = "{category} dominates heavily → business dependency risk."
+BUSINESS_WEAK_INSIGHT = "{category} has very low contribution → consider restructuring."
+BUSINESS_INVEST_RECOMMENDATION = "Increase investment in {category} to maximize returns."
+BUSINESS_IMPROVE_RECOMMENDATION = "Improve strategy for {category} category to boost performance."
+BUSINESS_EXPAND_RECOMMENDATION = "Expand operations in {region} region."
+BUSINESS_INVESTIGATE_RECOMMENDATION = "Investigate low demand in {region} region."
+
 # --- fixed values: constant narrative sentences ---
 FORECAST_RECOMMENDATIONS = [
     "Adjust inventory based on upcoming demand forecast.",

@@ -4,6 +4,8 @@ they stay inside whole-stage codegen."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,12 @@ def rewrite_month_numbers(text: Column) -> Column:
     return F.when(text.contains(PEAK_PREFIX) & (F.size(names) > 0), rebuilt).otherwise(text)
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A sentence template with columns in its ``{places}``; NULL if one of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
+
+
 def currency_text(value: Column) -> Column:
     """``₹1,234.50``; missing -> ``₹0.00``. Value rounded half-up to cents first."""
     v = F.coalesce(F.round(value.cast("double"), 2), F.lit(0.0))

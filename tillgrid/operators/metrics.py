@@ -23,20 +23,21 @@ def apply_filters(df: DataFrame, category: str = ALL, region: str = ALL, year=AL
     The predicates are plain comparisons, so they reach the Parquet scan as
     pushed filters (and prune ``year=`` partitions of a partitioned table).
     """
+    wanted = {"category": category, "region": region, "year": year}
     out = df
-    if category != ALL and "category" in df.columns:
-        out = out.filter(F.col("category") == F.lit(category))
-    if region != ALL and "region" in df.columns:
-        out = out.filter(F.col("region") == F.lit(region))
-    if year != ALL and "year" in df.columns:
-        try:
-            y = int(year)
-        except (TypeError, ValueError) as exc:
-            raise ValueError(f"year filter must be an integer, got {year!r}") from exc
-        out = out.filter(F.col("year") == F.lit(y))
+    for column, value in wanted.items():
+        if value != ALL and column in df.columns:
+            out = out.filter(F.col(column) == F.lit(year_number(value) if column == "year" else value))
     return out
 
 
+def year_number(year) -> int:
+    try:
+        return int(year)
+    except (TypeError, ValueError) as exc:
+        raise ValueError(f"year filter must be an integer, got {year!r}") from exc
+
+
 # ---------------------------------------------------------------- P11-P13
 def price_column(df: DataFrame, candidates: list[str] | None = None) -> str | None:
     for c in (candidates if candidates is not None else PRICE_CANDIDATES):

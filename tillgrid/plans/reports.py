@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import (
     BUSINESS_FIXED_RECOMMENDATIONS,
     BUSINESS_SPREAD_INSIGHT,
@@ -35,6 +36,7 @@ from ..config import (
 )
 from ..functions.text import (
     currency_text,
+    filled,
     forecast_range_text,
     growth_text,
     month_name,
@@ -157,13 +159,12 @@ def forecast_narrative(processed: DataFrame, grain: str = "month", cube: DataFra
         return F.when(F.length(column) > 0, F.col(column)).otherwise(F.lit(NOT_AVAILABLE))
 
     insights = _lines("insight", [
-        F.coalesce(F.concat(F.lit("Sales are showing a "), F.col("trend"), F.lit(" trend over time.")), F.lit(NO_TREND_INSIGHT)),
-        F.coalesce(F.concat(F.lit("Average monthly growth is "), _num(F.round(g * 100, 2)), F.lit("%.")), F.lit(NO_GROWTH_INSIGHT)),
-        F.concat(F.lit("Highest sales recorded in "), known("best_month"), F.lit(".")),
-        F.concat(F.lit("Lowest performance observed in "), known("worst_month"), F.lit(".")),
-        F.concat(F.lit("Peak sales months are "), known("top_months"), F.lit(".")),
-        F.coalesce(F.concat(F.lit("Forecast confidence is "), F.col("forecast_confidence"),
-                            F.lit(", indicating prediction reliability.")), F.lit(NO_CONFIDENCE_INSIGHT)),
+        F.coalesce(filled(config.FORECAST_TREND_INSIGHT, trend=F.col("trend")), F.lit(NO_TREND_INSIGHT)),
+        F.coalesce(filled(config.FORECAST_GROWTH_INSIGHT, growth=_num(F.round(g * 100, 2))), F.lit(NO_GROWTH_INSIGHT)),
+        filled(config.FORECAST_BEST_INSIGHT, best=known("best_month")),
+        filled(config.FORECAST_WORST_INSIGHT, worst=known("worst_month")),
+        filled(config.FORECAST_PEAK_INSIGHT, months=known("top_months")),
+        F.coalesce(filled(config.FORECAST_CONFIDENCE_INSIGHT, confidence=F.col("forecast_confidence")), F.lit(NO_CONFIDENCE_INSIGHT)),
         F.lit(FORECAST_CLOSING_INSIGHT),
     ])
     recs = _lines("recommendation", [F.lit(t) for t in FORECAST_RECOMMENDATIONS])
@@ -237,23 +238,22 @@ def business_narrative(processed: DataFrame, category="all", region="all", year=
     tc, lc, tr, lr = (F.col("top_category"), F.col("lowest_category"),
                       F.col("top_region"), F.col("lowest_region"))
     insights = _lines("insight", [
-        F.concat(tc, F.lit(" contributes "), share("top_category_share"), F.lit("% of total sales.")),
-        F.concat(lc, F.lit(" is underperforming with only "), share("lowest_category_share"), F.lit("% share.")),
-        F.concat(tr, F.lit(" region dominates with "), share("top_region_share"), F.lit("% of total sales.")),
-        F.concat(lr, F.lit(" region has the lowest contribution at "), share("lowest_region_share"), F.lit("%.")),
-        F.concat(F.lit("There is a performance gap of "), F.col("performance_gap").cast("bigint").cast("string"),
-                 F.lit(" units between top and lowest category.")),
+        filled(config.BUSINESS_TOP_CATEGORY_INSIGHT, category=tc, share=share("top_category_share")),
+        filled(config.BUSINESS_LOW_CATEGORY_INSIGHT, category=lc, share=share("lowest_category_share")),
+        filled(config.BUSINESS_TOP_REGION_INSIGHT, region=tr, share=share("top_region_share")),
+        filled(config.BUSINESS_LOW_REGION_INSIGHT, region=lr, share=share("lowest_region_share")),
+        filled(config.BUSINESS_GAP_INSIGHT, gap=F.col("performance_gap").cast("bigint").cast("string")),
         F.lit(BUSINESS_SPREAD_INSIGHT),
         F.when(F.coalesce(F.col("top_category_share"), F.lit(0.0)) > SHARE_DOMINANT,
-               F.concat(tc, F.lit(" dominates heavily → business dependency risk."))),
+               filled(config.BUSINESS_DOMINANT_INSIGHT, category=tc)),
         F.when(F.coalesce(F.col("lowest_category_share"), F.lit(0.0)) < SHARE_WEAK,
-               F.concat(lc, F.lit(" has very low contribution → consider restructuring."))),
+               filled(config.BUSINESS_WEAK_INSIGHT, category=lc)),
     ])
     recs = _lines("recommendation", [
-        F.concat(F.lit("Increase investment in "), tc, F.lit(" to maximize returns.")),
-        F.concat(F.lit("Improve strategy for "), lc, F.lit(" category to boost performance.")),
-        F.concat(F.lit("Expand operations in "), tr, F.lit(" region.")),
-        F.concat(F.lit("Investigate low demand in "), lr, F.lit(" region.")),
+        filled(config.BUSINESS_INVEST_RECOMMENDATION, category=tc),
+        filled(config.BUSINESS_IMPROVE_RECOMMENDATION, category=lc),
+        filled(config.BUSINESS_EXPAND_RECOMMENDATION, region=tr),
+        filled(config.BUSINESS_INVESTIGATE_RECOMMENDATION, region=lr),
     ] + [F.lit(t) for t in BUSINESS_FIXED_RECOMMENDATIONS])
     return explode_lines(m, insights, recs)
 
