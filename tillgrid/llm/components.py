@@ -16,11 +16,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     forest of stars. Each half round is one partially aggregated minimum and
     one join that adaptive execution may split, so a node with very many
     edges never gathers them in one task. Rounds grow with the logarithm of
-    the longest path; each is cut by a written table. Nulls and self loops
+    the longest path; each is cut by a written table.
+    They end when every node has one edge, to a centre without an edge to a smaller one. Nulls and self loops
     are left out; repeated edges count once. No edges give no rows.
     """
     stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     while True:
         both = stars.union(stars.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low"))
@@ -29,8 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b"))))
         stars = cut(large.join(low, "a").select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            roots = stars.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
+        held, nodes = stars.agg(F.count("*"), F.count_distinct("a")).first()
+        centres = stars.select("b").distinct()
+        if held == nodes and stars.join(centres.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            roots = centres.select(F.col("b").alias("node"), F.col("b").alias("component"))
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
-        before = now
