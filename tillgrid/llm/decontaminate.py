@@ -33,7 +33,7 @@ from .common import documents, map_arrow, slices
 
 WINDOW = 10
 #: Bytes of item text in a block, and of training text in a shard.
-BLOCK, SHARD = 4 << 20, 16 << 20
+BLOCK, SHARD = 4 << 20, 4 << 20
 
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
