@@ -22,9 +22,10 @@ id trains on the smallest of its texts. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ def features(text: str, hashes: dict) -> np.ndarray:
     return (np.concatenate([word, case[case > 0], pair, again]) % np.uint64(WEIGHTS)).astype(np.int64)
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and intercept from (text, label) rows, in an order drawn anew for each pass."""
     z, n, bias = np.zeros(WEIGHTS), np.zeros(WEIGHTS), np.zeros(2)
     hashes, held = _Hashes(), []
@@ -105,9 +106,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(t or "", int(q)) for batch in batches for t, q in zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist(), strict=True)]
-        if held:
-            weights, bias = fit(held)
+        rows = ((t or "", int(q)) for batch in batches for t, q in zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist(), strict=True))
+        first = next(rows, None)
+        if first is not None:
+            weights, bias = fit(itertools.chain([first], rows))  # texts aren't held, only their features
             index = np.flatnonzero(weights)
             yield pa.record_batch([pa.array([index.astype("<i4").tobytes()]), pa.array([weights[index].tobytes()]), pa.array([bias])], ["index", "weights", "bias"])
 
