@@ -162,3 +162,22 @@ def test_empty(spark, frame):
 @pytest.mark.parametrize("text", ["", "one", "a b c", "a b c d", "A  b\tc\x0bd\x0ce\rf", "É é À", "x" * 5000 + " y"])
 def test_fingerprint(text):
     assert simhash.fingerprint(text.encode()) == fingerprint(text)
+
+
+def test_changed_characters_keep_lines_near(spark, frame):
+    """All five-character runs, whatever the words' lengths, against a brute force of its own."""
+    rng = random.Random(21)
+    rows = []
+    for words in [rng.randrange(6, 40) for _ in range(60)] + [5, 6, 6]:
+        size = (20, 32) if words <= 6 and len(rows) >= 60 else (2, 9)
+        line = " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(*size))) for _ in range(words))
+        copy = list(line)
+        for _ in range(rng.randrange(1, 4)):
+            copy[rng.randrange(len(copy))] = "Z"
+        rows += [line, "".join(copy)]
+    rows += ["abcd", "abcde", "abcd", "\U0001f600\U0001f601x\U0001f602yz" * 9, "\U0001f600\U0001f601x\U0001f602yz" * 9 + "!"]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in rows]
+    part = unite(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(list(enumerate(rows)))).collect()}
+    assert kept == {i: x if part[i] == i else "" for i, x in enumerate(rows)}
+    assert sum(part[i] != i for i in range(len(rows))) > 20
