@@ -181,3 +181,11 @@ def test_changed_characters_keep_lines_near(spark, frame):
     kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(list(enumerate(rows)))).collect()}
     assert kept == {i: x if part[i] == i else "" for i, x in enumerate(rows)}
     assert sum(part[i] != i for i in range(len(rows))) > 20
+
+
+def test_one_id_in_two_components(spark, frame):
+    rng = random.Random(2)
+    one, two, three = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(3))
+    rows = [(5, one), (7, one.upper()), (9, one), (5, two), (5, two), (8, two), (5, two.upper()), (5, three), (6, None), (None, one)]
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in simhash.keep_first(frame(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(5, one), (5, two), (5, three), (6, ""), (None, one)], key=str)

@@ -150,28 +150,35 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
     return map_arrow(pairs, run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id``, ``th``, ``fp``, ``component_id`` (the smallest doc_id in the component) per row of ``docs``."""
+def _placed(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """``doc_id``, ``th``, ``fp``, ``component`` (its smallest fingerprint), ``component_id`` per row of ``docs``."""
     prints = cut(fingerprints(docs, shingle), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     linked = connected_components(fingerprint_links(distinct.select("fp"), radius))
     member = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     member = cut(member, "fingerprint-members")
     named = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    return prints.join(member.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "th", "fp", "component_id")
+    return prints.join(member.join(named, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "th", "fp", "component", "component_id")
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``doc_id``, ``th``, ``fp``, ``component_id`` (the smallest doc_id in the component) per row of ``docs``."""
+    return _placed(docs, shingle, radius).drop("component")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id.
 
-    Rows that repeat this id count as one document: of different texts that
-    with the smallest hash stays, of equal ones any one row. Rows without an
-    id stay.
+    If several rows of a component have this id, of different texts that
+    with the smallest hash stays, of equal ones any one row. An id that lies
+    in several components is chosen in each of them on its own. Rows without
+    an id stay.
     """
-    found = simhash_components(docs.where("doc_id is not null"), shingle, radius).where("doc_id = component_id")
-    texts = found.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
-    first = cut(texts.groupBy("doc_id").agg(F.min(F.struct("th", "n")).alias("x")).select("doc_id", "x.th", "x.n"), "kept-documents")
-    counts = first.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    found = _placed(docs.where("doc_id is not null"), shingle, radius).where("doc_id = component_id")
+    texts = found.groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))
+    # A text lies in one component, so id and text name the component's row.
+    first = cut(texts.groupBy("component").agg(F.min(F.struct("doc_id", "th", "n")).alias("x")).select("x.doc_id", "x.th", "x.n"), "kept-documents")
+    counts = first.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
 
     def rows(chosen: DataFrame, n: int) -> DataFrame:
         side = bounded_broadcast(chosen.select("doc_id", "th"), n, 32)
@@ -182,7 +189,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
         column = "row_of_id"
         while column in docs.columns:
             column += "_"
-        place = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        place = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
         again = rows(first.where("n > 1"), counts[1]).withColumn(column, F.row_number().over(place))
         kept = kept.unionByName(again.where(F.col(column) == 1).drop(column))
     return kept
