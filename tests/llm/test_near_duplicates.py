@@ -189,3 +189,15 @@ def test_one_id_in_two_components(spark, frame):
     rows = [(5, one), (7, one.upper()), (9, one), (5, two), (5, two), (8, two), (5, two.upper()), (5, three), (6, None), (None, one)]
     kept = [(r["doc_id"], (r["text"] or "").lower()) for r in simhash.keep_first(frame(rows)).collect()]
     assert sorted(kept, key=str) == sorted([(5, one), (5, two), (5, three), (6, ""), (None, one)], key=str)
+
+
+def test_lines_of_rows_without_id_and_of_repeated_ids(spark, frame, table):
+    a, b, c, d, e = "first line of all texts", "unique words stand here", "0123456789 digits only", "quite another sentence", "zzz yyy xxx www vvv"
+    same = "a whole text that comes twice\nwith two lines"
+    rows = [(1, f"{a}\n{b}"), (2, f"{c}\n{a}"), (2, f"{d}\n{e}"), (2, f"{d}\n{e}"), (None, f"{a}\nnobody's own 1"), (None, "nobody's other 22\nnobody's third 333"), (None, same), (None, same), (None, None)]
+    expected = [(1, f"{a}\n{b}"), (2, c), (2, f"{d}\n{e}"), (2, f"{d}\n{e}"), (None, "nobody's own 1"), (None, "nobody's other 22\nnobody's third 333"), (None, same), (None, ""), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in lines.dedup_lines(frame(rows)).collect()]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
+    found = QUERIES["op1_line_dedup"](spark, table(documents=frame(rows))).collect()
+    assert sorted((str(r["doc_id"]), tuple(r["removed"])) for r in found) == [("1", ()), ("2", ()), ("2", ()), ("2", (1,)), ("None", ()), ("None", ()), ("None", ()), ("None", (0,)), ("None", (0, 1))]
+    assert all(r["n_kept"] == r["n_lines"] - len(r["removed"]) for r in found)
