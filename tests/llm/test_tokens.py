@@ -80,3 +80,10 @@ def test_registered_queries(spark, frame, odd, table, encode):
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert rows.agg(F.sum("length")).first()[0] == sum(len(encode(t)) + 1 for _, t in odd)
     assert QUERIES["op10_token_counts"](spark, sf).agg(F.sum("n_docs")).first()[0] == len(odd)
+
+
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 1_200_000, "\u3000\t" * 600_000])
+def test_long_white_space(encode, run):
+    fast = tokens.encoder(tokens.vocabulary_path(tokens.RANKS))
+    texts = [run, f"it's{run}b", f"{run}1{run}", f"a {run}\x1c{run[:-1]}\n"]
+    assert fast(texts) == [encode(t) for t in texts]

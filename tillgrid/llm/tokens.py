@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,10 @@ from .common import map_arrow, slices
 
 #: The file of the default vocabulary and the same vocabulary as ranks, in the public tokenizer folder.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: White space of this many characters is cut out for `tiktoken`, whose pattern overflows its stack on a million.
+BLANKS = 1 << 16
+#: What the pattern's \s matches (Python's also takes U+001C to U+001F).
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % BLANKS)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -39,7 +44,7 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [own.encode_ordinary(x) for x in texts]
+        return lambda texts: [_encode_whole(own, x) for x in texts]
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
@@ -47,6 +52,20 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _encode_whole(own, text: str) -> list[int]:
+    """The ids of a text of any length. A long run of white space is one piece; if more text
+    follows, its last character goes to that, as the pattern has it."""
+    if len(text) < BLANKS:
+        return own.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += own.encode_ordinary(text[at : run.start()])
+        ids += own._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + own.encode_ordinary(text[at:])
+
+
 def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """One row per document: ``n_tokens``, the ids of its whole text (null: 0)."""
 
