@@ -87,3 +87,14 @@ def test_long_white_space(encode, run):
     fast = tokens.encoder(tokens.vocabulary_path(tokens.RANKS))
     texts = [run, f"it's{run}b", f"{run}1{run}", f"a {run}\x1c{run[:-1]}\n"]
     assert fast(texts) == [encode(t) for t in texts]
+
+
+def test_added_tokens_as_the_plain_call_gives_them(spark, frame):
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>  y<|endoftext|><|endoftext|>\n", "<|endoftext| >", "b" + " " * 1_200_000 + "<|endoftext|>" + "\n" * 1_200_000]
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [64, 220, 50256, 275]
+    assert tokens.encoder(tokens.vocabulary_path(tokens.RANKS))(texts) == expected
+    assert tokens.encoder(tokens.vocabulary_path())(texts) == expected
+    found = packing.digest(packing.pack(frame([(1, texts[2])]))).first()
+    assert np.frombuffer(bytes(found["ids"]), "<u4").tolist() == [*expected[2], 0] and found["doc_tokens"] == len(expected[2]) + 1
