@@ -23,6 +23,3 @@ def spark():
 def tmp(tmp_path):
     return str(tmp_path)
 
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"

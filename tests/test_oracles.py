@@ -4,8 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tillgrid.plans.catalog import ORACLE, QUERIES
-from conftest import SF_SMALL
-from oracle_harness import compare, duck
+from oracle_harness import SF_SMALL, compare, duck
 
 NAMES = sorted(QUERIES)
 

@@ -9,7 +9,7 @@ from tillgrid.plans.catalog import QUERIES, processed
 from tillgrid.sources.sinks import write_partitioned
 from tillgrid.plans.prepare import stages
 from tillgrid.sources.testdata import sales_view, table
-from conftest import SF_SMALL
+from oracle_harness import SF_SMALL
 
 
 def plan(df):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tillgrid.plans.catalog import processed
 from tillgrid.sources import files, sinks
 from tillgrid.sources.testdata import sales_view
-from conftest import SF_SMALL
+from oracle_harness import SF_SMALL
 
 
 def _sales_sample(spark):

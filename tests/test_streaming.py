@@ -9,7 +9,7 @@ from tillgrid.operators import jobs, metrics
 from tillgrid.plans.prepare import prepare
 from tillgrid.sources.testdata import sales_view, table
 from tillgrid.streaming import alarms, uploads
-from conftest import SF_SMALL
+from oracle_harness import SF_SMALL
 
 
 def _run(query):
