@@ -14,7 +14,6 @@ from tillgrid.llm.queries import QUERIES
 @pytest.fixture(scope="module")
 def encode():
     own = Tokenizer.from_file(tokens.vocabulary_path())
-    own.encode_special_tokens = True
     return lambda x: own.encode(x or "", add_special_tokens=False).ids
 
 
