@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import OP12_SQL, op12_centroids
 from .decontaminate import op8_decontaminate
 from .lines import op1_line_dedup
 from .mtree import OP2_SQL, op2_mtree
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op12_centroids": op12_centroids,
 }
 
 ORACLE: dict[str, str] = {
     "op2_mtree": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op12_centroids": OP12_SQL,
 }
