@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_alignment
 from .centroids import OP12_SQL, op12_centroids
 from .decontaminate import op8_decontaminate
 from .lines import op1_line_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
     "op12_centroids": op12_centroids,
 }
 
