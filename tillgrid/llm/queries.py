@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import op11_alignment
 from .centroids import OP12_SQL, op12_centroids
+from .chosen_path import op13_chosen_path
 from .decontaminate import op8_decontaminate
 from .lines import op1_line_dedup
 from .mtree import OP2_SQL, op2_mtree
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_alignment": op11_alignment,
     "op12_centroids": op12_centroids,
+    "op13_chosen_path": op13_chosen_path,
 }
 
 ORACLE: dict[str, str] = {
