@@ -1,11 +1,28 @@
-"""Date parsing and calendar features as Column expressions (no UDFs)."""
+"""Date parsing and calendar features as Column expressions (no UDFs).
+
+Dates in text are parsed by shape. A cell's shape is its text with every digit
+written as 9 and every letter as a; the layouts that can have this shape are
+looked up in one table, made on the driver from the list of layouts, which
+also says where day, month and year stand. The cell is then cut at these places
+once. No layout is tried on a cell whose shape excludes it, and an impossible
+date is found by arithmetic, so bad cells cost no more than good ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import itertools
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DATE_FORMATS, TIME_PART
+from ..config import DATE_FORMATS, MONTH_NAMES, TIME_PART
+
+#: Widths a field of a layout can have; names stand for letters.
+FIELD_WIDTHS = {"yyyy": [4], "yy": [2], "MMMM": sorted({len(m) for m in MONTH_NAMES}), "MMM": [3], "MM": [2], "M": [1, 2], "dd": [2], "d": [1, 2]}
+#: No shape is longer; longer cells are no dates and aren't translated.
+LONGEST_CELL = 32
+_DIGITS, _LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def date_text(col: Column) -> Column:
@@ -14,13 +31,100 @@ def date_text(col: Column) -> Column:
     return F.when(text.contains(":"), F.regexp_replace(text, TIME_PART, "")).otherwise(text)
 
 
+def layout_fields(layout: str) -> list[str] | None:
+    """The layout's fields and the text between them; None if it isn't made of one day, month and year alone."""
+    parts = re.findall(r"y+|M+|d+|[^A-Za-z']+|.", layout)
+    fields = [p for p in parts if p[0].isalpha() or p == "'"]
+    if any(f not in FIELD_WIDTHS for f in fields) or sorted(f[0] for f in fields) != ["M", "d", "y"]:
+        return None
+    return parts
+
+
+def layout_shapes(layout: str) -> dict[str, dict[str, int]] | None:
+    """Each shape the layout can have, with the first character and the width of ``d``, ``m`` and ``y``."""
+    parts = layout_fields(layout)
+    if parts is None:
+        return None
+    shapes = {}
+    for widths in itertools.product(*[FIELD_WIDTHS.get(p, [len(p)]) for p in parts]):
+        shape, at, places = "", 1, {}
+        for part, width in zip(parts, widths, strict=True):
+            if part in FIELD_WIDTHS:
+                name = part[0].lower()
+                places |= {f"{name}_at": at, f"{name}_width": width}
+                shape += ("a" if part.startswith("MMM") else "9") * width
+            else:
+                shape += re.sub("[0-9]", "9", part)
+            at += width
+        shapes[shape] = places
+    return shapes
+
+
+def shape_table(formats: list[str]) -> dict[str, list[dict[str, int]]] | None:
+    """Shape -> where the parts stand, for each layout that can have it, in the layouts' order; None if some
+    layout holds more than a day, month and year (then `parse_date_text` tries the layouts)."""
+    table: dict[str, list[dict[str, int]]] = {}
+    for layout in formats:
+        shapes = layout_shapes(layout)
+        if shapes is None:
+            return None
+        for shape, places in shapes.items():
+            if places not in table.setdefault(shape, []):
+                table[shape].append(places)
+    return table
+
+
+def cell_shape(text: Column) -> Column:
+    """Digits as 9, letters as a, everything else as it is; NULL for cells longer than any date."""
+    return F.when(F.length(text) <= LONGEST_CELL, F.translate(text, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS)))
+
+
+def month_number(text: Column) -> Column:
+    """1 to 12 from digits or from an English name or its first three letters in any case; else NULL."""
+    names = {n.lower(): i + 1 for i, m in enumerate(MONTH_NAMES) for n in (m, m[:3])}
+    numbers = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(text.try_cast("int"), F.try_element_at(numbers, F.lower(text)))
+
+
+def valid_day(year: Column, month: Column, day: Column) -> Column:
+    """DATE of these numbers, NULL if there is no such day."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(30 + (month + (month > 7).cast("int")) % 2)
+    return F.when((year >= 1) & month.between(1, 12) & (day >= 1) & (day <= days), F.make_date(year, month, day))
+
+
+def with_day_by_shape(df: DataFrame, text: str, day: str, formats: list[str] | None = None) -> DataFrame:
+    """``df`` with the date of the text column ``text`` as ``day``; NULL if no layout fits.
+
+    Fields have the widths their layout names (``d`` and ``M`` one or two digits). Steps are
+    columns of their own, so that each is computed once per row.
+    """
+    table = shape_table(formats or DATE_FORMATS)
+    if table is None:
+        return df.withColumn(day, parse_date_text(F.col(text), formats))
+    names = ["y_at", "y_width", "m_at", "m_width", "d_at", "d_width"]
+    tries = max(map(len, table.values()))
+    out = df.withColumn("_shape", cell_shape(F.col(text)))
+    for i in range(tries):  # one, unless layouts of the list share a shape
+        entries = [x for shape, places in sorted(table.items()) if len(places) > i
+                   for x in (F.lit(shape), F.struct(*[F.lit(places[i][n]).alias(n) for n in names]))]
+        out = out.withColumn(f"_at{i}", F.try_element_at(F.create_map(*entries), F.col("_shape")))
+        part = {n: F.substring(F.col(text), F.col(f"_at{i}.{n}_at"), F.col(f"_at{i}.{n}_width")) for n in "ymd"}
+        year = part["y"].try_cast("int")
+        year = F.when(F.col(f"_at{i}.y_width") > 2, year).otherwise(year + F.when(year >= 69, 1900).otherwise(2000))
+        known = F.col(f"_at{i}").isNotNull()
+        out = out.withColumns({f"_y{i}": F.when(known, year), f"_m{i}": F.when(known, month_number(part["m"])), f"_d{i}": F.when(known, part["d"].try_cast("int"))})
+    found = F.coalesce(*[valid_day(F.col(f"_y{i}"), F.col(f"_m{i}"), F.col(f"_d{i}")) for i in range(tries)])
+    return out.withColumn(day, found).drop("_shape", *[f"_{c}{i}" for i in range(tries) for c in ("at", "y", "m", "d")])
+
+
 def parse_date_text(col: Column, formats: list[str] | None = None) -> Column:
-    """``date_text`` -> DATE using an ordered list of layouts; invalid text -> NULL.
+    """``date_text`` -> DATE by trying an ordered list of layouts of any kind; invalid text -> NULL.
 
     ``try_to_timestamp`` returns NULL instead of failing on bad, empty or
     impossible dates, so the first layout that fits wins and nothing raises
-    under ANSI mode. Give it a column that holds the text: every layout
-    repeats what it is given.
+    under ANSI mode. Every layout repeats what it is given, and a miss costs an
+    exception; `with_day_by_shape` is the way for layouts of day, month and year.
     """
     text = col
     tries = []
