@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DATE_FORMATS, MONTH_NAMES, TIME_PART
@@ -93,29 +94,38 @@ def valid_day(year: Column, month: Column, day: Column) -> Column:
     return F.when((year >= 1) & month.between(1, 12) & (day >= 1) & (day <= days), F.make_date(year, month, day))
 
 
-def with_day_by_shape(df: DataFrame, text: str, day: str, formats: list[str] | None = None) -> DataFrame:
-    """``df`` with the date of the text column ``text`` as ``day``; NULL if no layout fits.
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also where the optimizer repeats this column in a pushed filter."""
+    return F.transform(F.array(value), use)[0]
 
-    Fields have the widths their layout names (``d`` and ``M`` one or two digits). Steps are
-    columns of their own, so that each is computed once per row.
+
+def day_by_shape(text: Column, formats: list[str] | None = None) -> Column:
+    """`date_text` -> DATE; NULL if no layout fits.
+
+    Fields have the widths their layout names (``d`` and ``M`` one or two digits).
     """
     table = shape_table(formats or DATE_FORMATS)
     if table is None:
-        return df.withColumn(day, parse_date_text(F.col(text), formats))
+        return parse_date_text(text, formats)
     names = ["y_at", "y_width", "m_at", "m_width", "d_at", "d_width"]
-    tries = max(map(len, table.values()))
-    out = df.withColumn("_shape", cell_shape(F.col(text)))
-    for i in range(tries):  # one, unless layouts of the list share a shape
-        entries = [x for shape, places in sorted(table.items()) if len(places) > i
-                   for x in (F.lit(shape), F.struct(*[F.lit(places[i][n]).alias(n) for n in names]))]
-        out = out.withColumn(f"_at{i}", F.try_element_at(F.create_map(*entries), F.col("_shape")))
-        part = {n: F.substring(F.col(text), F.col(f"_at{i}.{n}_at"), F.col(f"_at{i}.{n}_width")) for n in "ymd"}
-        year = part["y"].try_cast("int")
-        year = F.when(F.col(f"_at{i}.y_width") > 2, year).otherwise(year + F.when(year >= 69, 1900).otherwise(2000))
-        known = F.col(f"_at{i}").isNotNull()
-        out = out.withColumns({f"_y{i}": F.when(known, year), f"_m{i}": F.when(known, month_number(part["m"])), f"_d{i}": F.when(known, part["d"].try_cast("int"))})
-    found = F.coalesce(*[valid_day(F.col(f"_y{i}"), F.col(f"_m{i}"), F.col(f"_d{i}")) for i in range(tries)])
-    return out.withColumn(day, found).drop("_shape", *[f"_{c}{i}" for i in range(tries) for c in ("at", "y", "m", "d")])
+
+    def places(shape: Column, i: int) -> Column:
+        entries = [x for known, found in sorted(table.items()) if len(found) > i
+                   for x in (F.lit(known), F.struct(*[F.lit(found[i][n]).alias(n) for n in names]))]
+        return F.try_element_at(F.create_map(*entries), shape)
+
+    def cut(cell: Column, at: Column) -> Column:
+        year, month, day = (F.substring(cell, at[f"{n}_at"], at[f"{n}_width"]) for n in "ymd")
+        parts = F.struct(year.try_cast("int").alias("y"), month_number(month).alias("m"), day.try_cast("int").alias("d"))
+        century = lambda y: F.when(at["y_width"] > 2, 0).when(y >= 69, 1900).otherwise(2000)
+        return F.when(at.isNotNull(), _once(parts, lambda p: _once(p["y"] + century(p["y"]), lambda y: valid_day(y, p["m"], p["d"]))))
+
+    def found(cell: Column) -> Column:
+        # One try, unless layouts of the list share a shape.
+        return _once(cell_shape(cell), lambda shape: F.coalesce(
+            *[_once(places(shape, i), lambda at: cut(cell, at)) for i in range(max(map(len, table.values())))]))
+
+    return _once(text, found)
 
 
 def parse_date_text(col: Column, formats: list[str] | None = None) -> Column:
@@ -124,7 +134,7 @@ def parse_date_text(col: Column, formats: list[str] | None = None) -> Column:
     ``try_to_timestamp`` returns NULL instead of failing on bad, empty or
     impossible dates, so the first layout that fits wins and nothing raises
     under ANSI mode. Every layout repeats what it is given, and a miss costs an
-    exception; `with_day_by_shape` is the way for layouts of day, month and year.
+    exception; `day_by_shape` is the way for layouts of day, month and year.
     """
     text = col
     tries = []
