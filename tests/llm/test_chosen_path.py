@@ -62,7 +62,7 @@ def test_matches_brute_force(spark, frame, odd, table):
     assert sum(not r[3] for r in expected) > 30
 
 
-def test_large_groups_go_down_the_trees(spark, frame):
+def test_large_groups_go_down_the_trees(spark, frame, monkeypatch):
     """A long chain, a star and a shared passage in nodes far over the size of small ones."""
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
@@ -81,8 +81,10 @@ def test_large_groups_go_down_the_trees(spark, frame):
         rows.append(" ".join(base[:150] + [rng.choice(words) for _ in range(50 + i % 7)]))
     rows = list(enumerate(rows))
     expected = brute(rows)
+    monkeypatch.setattr(chosen_path, "TILE", 7)
+    monkeypatch.setattr(chosen_path, "TINY", 3)
     assert found(chosen_path.near_duplicates(frame(rows), leaf=3)) == expected
-    assert found(chosen_path.near_duplicates(frame(rows), leaf=2, deepest=4)) == expected
+    assert found(chosen_path.near_duplicates(frame(rows), leaf=2, deepest=3)) == expected
     assert 3 < len({r[2] for r in expected}) < len(rows) - 50
 
 
@@ -114,6 +116,17 @@ def test_recall_at_the_threshold(n):
     assert sum(bool(p & q) for p, q in zip(x, z)) <= 0.2 * pairs
 
 
+def test_tiles_find_every_link():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 300, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(200, 301), replace=False), rng.integers(0, 2**63, rng.integers(0, 30), np.uint64)])) for _ in range(60)]
+    a, b = sets[:35], sets[20:]
+    expected = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b)
+                if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+    assert {(int(i), int(j)) for i, j in zip(*chosen_path.tile_links(a, b))} == expected and 20 < len(expected) < 1000
+    assert all(len(x) == 0 for x in chosen_path.tile_links([base[:3]], [base[5:9]]))
+
+
 def test_empty(spark, frame):
     assert chosen_path.near_duplicates(frame([])).collect() == []
     assert found(chosen_path.near_duplicates(frame([(1, None), (2, ""), (None, " ")]))) == brute([(1, None), (2, ""), (None, " ")])

@@ -14,18 +14,21 @@ chance 0.93 at least, and in one of four independent trees with 0.99998; unlike
 every step. The first levels are walked without a shuffle, as a path is a function
 of the member alone.
 
-Nodes. A node whose members are all linked already is done. One with at most ``LEAF``
-members outside its largest component is small: these are compared with all its
-members of other components. In a larger node all members are
-compared with the few that occur in most nodes, which unites a group of near
-copies; if it is then still neither done nor small, its members go on to their children. At level
-``DEEPEST`` what is left is compared whole, so nothing is capped. Joins on a node
-are split by adaptive execution, and no task holds a node.
-
-Links. Candidates whose sizes rule the similarity out never leave the join.
-Of the others, those whose minwise tokens agree in less than ``LIKELY`` go (at a
+Nodes. A node whose members are all linked already is done. In one of at most ``TINY``
+members all are candidates; in a larger one all members are compared with the few that
+occur in most nodes, which unites a group of near copies. What is then still open is a
+small node if at most ``LEAF`` members are outside its largest component: these are
+compared with all its members of other components. Larger nodes go on to their children; at
+level ``DEEPEST`` all that is left counts as small, so nothing is capped. Joins on a node
+are split by adaptive execution, and small nodes are compared in tiles of bounded size, so no
+task holds a node.
+
+Links. Candidates whose sizes rule the similarity out never leave the join. Of the
+others, those whose minwise tokens (a byte of each) agree in less than ``LIKELY`` go (at a
 similarity of 0.8 a chance below 10**-5); the rest are confirmed on the full sets
-of 64-bit shingle hashes. Components come from confirmed links only.
+of 64-bit shingle hashes. Tiles hold full sets: a product of their incidence matrices
+gives all intersections at once, and of the links between two components one leaves the
+task. Components come from confirmed links only.
 
 Null text and texts without words have the empty set, are linked with nothing
 and are their own component. Null ids get their set's component; only ids that are not null
@@ -36,6 +39,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +54,11 @@ from .words import shingle_hashes
 
 SHINGLE, PERCENT = 4, 80
 #: Independent trees, children of a node, levels walked before nodes are counted, and the last level.
-TREES, BRANCHES, START, DEEPEST = 4, 2, 2, 10
-#: Members outside the largest component of a small node, and members of a large one that all others meet.
-LEAF, HUBS = 32, 3
+TREES, BRANCHES, START, DEEPEST = 4, 2, 2, 8
+#: Members of a tiny node, members outside the largest component of a small one, members of a large one that all others meet.
+TINY, LEAF, HUBS = 16, 1024, 3
+#: Members and hashes that a tile of a small node holds on average, and columns of a product of tiles.
+TILE, TILE_HASHES, COLUMNS = 128, 1 << 15, 1 << 12
 #: Minwise tokens, and the share of equal ones below which a candidate isn't looked at.
 TOKENS, LIKELY = 64, 0.55
 #: Hashes that are signed at once.
@@ -150,46 +156,93 @@ def next_nodes(rows: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def open_nodes(rows: DataFrame, components: DataFrame | None) -> DataFrame:
-    """``rows`` of nodes with several components, with ``c`` (the member's), ``main`` (the node's largest) and
-    ``outside`` (members in others); written."""
+    """``rows`` of nodes with several components, with ``c`` (the member's), ``main`` (the node's largest), ``size``,
+    ``outside`` (members in others) and ``hashes`` (the sum of ``n``); written."""
     if components is None:
         placed = rows.withColumn("c", F.col("member"))
     else:
         small = bounded_broadcast(components, components.count(), 32)
         placed = cut(rows.join(small, rows["member"] == small["node"], "left").select("key", "used", "member", "n", F.coalesce("component", "member").alias("c")), "path-members")
-    parts = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(
-        F.sum("m").alias("size"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts"))
-    open_ = cut(parts.where("parts > 1").select("key", F.col("top.c").alias("main"), (F.col("size") - F.col("top.m")).alias("outside")), "open-nodes")
-    return cut(placed.join(bounded_broadcast(open_, open_.count(), 48), "key"), "open-members")
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("key").agg(
+        F.sum("m").alias("size"), F.sum("n").alias("hashes"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts"))
+    open_ = cut(parts.where("parts > 1").select("key", "size", "hashes", F.col("top.c").alias("main"), (F.col("size") - F.col("top.m")).alias("outside")), "open-nodes")
+    return cut(placed.join(bounded_broadcast(open_, open_.count(), 64), "key"), "open-members")
 
 
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def candidates(nodes: DataFrame, leaf: int | None, percent: int = PERCENT) -> DataFrame:
-    """``a``, ``b`` (members, a < b) to be compared in these nodes; ``leaf`` None takes every node as small."""
-    small = nodes if leaf is None else nodes.where(F.col("outside") <= leaf)
-    x = small.where("c <> main").select("key", F.col("member").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    y = small.select("key", F.col("member").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & _near_sizes(F.col("nx"), F.col("ny"), percent)).select("x", "y")
-    if leaf is not None:
-        large = nodes.where(F.col("outside") > leaf)
-        often = large.groupBy("member").agg(F.count("*").alias("nodes"))
-        best = Window.partitionBy("key").orderBy(F.desc("nodes"), "member")
-        hubs = large.select("key", "member", "n").join(often, "member").withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
-        hubs = hubs.select("key", F.col("member").alias("x"), F.col("n").alias("nx"))
-        y = large.select("key", F.col("member").alias("y"), F.col("n").alias("ny"))
-        pairs = pairs.union(y.join(hubs, "key").where((F.col("x") != F.col("y")) & _near_sizes(F.col("nx"), F.col("ny"), percent)).select("x", "y"))
+def candidates(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a``, ``b`` (members, a < b): all of tiny nodes, and every member of the others with the node's hubs."""
+    tiny, large = nodes.where(F.col("size") <= TINY), nodes.where(F.col("size") > TINY)
+    x = tiny.select("key", F.col("member").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    y = tiny.select("key", F.col("member").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _near_sizes(F.col("nx"), F.col("ny"), percent)).select("x", "y")
+    often = large.groupBy("member").agg(F.count("*").alias("nodes"))
+    best = Window.partitionBy("key").orderBy(F.desc("nodes"), "member")
+    hubs = large.select("key", "member", "n").join(often, "member").withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
+    hubs = hubs.select("key", F.col("member").alias("x"), F.col("n").alias("nx"))
+    y = large.select("key", F.col("member").alias("y"), F.col("n").alias("ny"))
+    pairs = pairs.union(y.join(hubs, "key").where((F.col("x") != F.col("y")) & _near_sizes(F.col("nx"), F.col("ny"), percent)).select("x", "y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the sets of ``left`` and ``right`` that are similar, by exact intersections."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    common = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    shared = np.zeros((len(left), len(right)), np.float32)  # sizes stay far below 2**24
+    for first in range(0, len(common), COLUMNS):
+        part = common[first : first + COLUMNS]
+        held = []
+        for hashes, rows, n in zip(flat, row, sizes, strict=True):
+            at = np.minimum(np.searchsorted(part, hashes), len(part) - 1)
+            inside = part[at] == hashes
+            matrix = np.zeros((len(n), len(part)), np.float32)
+            matrix[rows[inside], at[inside]] = 1
+            held.append(matrix)
+        shared += held[0] @ held[1].T
+    union = sizes[0][:, None] + sizes[1][None] - shared
+    return np.nonzero(100.0 * shared.astype(np.float64) >= float(percent) * union.astype(np.float64))
+
+
+def small_node_links(nodes: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (``a``, ``b``) between the members outside each node's largest component and all of its members, at most one
+    for two components of a pair of tiles; written."""
+    tiles = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") / TILE), F.ceil(F.col("hashes") / TILE_HASHES))
+    placed = nodes.select("key", "member", "c", (F.col("c") != F.col("main")).alias("out"), F.pmod(F.xxhash64("member"), tiles).alias("tile"))
+    filled = placed.join(held.select("member", "hashes"), "member").groupBy("key", "out", "tile").agg(F.collect_list(F.struct("member", "c", "hashes")).alias("sets"))
+    filled = cut(filled, "node-tiles", "zstd")
+    x = filled.where("out").select("key", F.col("tile").alias("tx"), F.col("sets").alias("left"))
+    y = filled.select("key", F.col("tile").alias("ty"), F.col("out").alias("oy"), F.col("sets").alias("right"))
+    pairs = x.join(y, (x["key"] == y["key"]) & (~F.col("oy") | (F.col("tx") <= F.col("ty"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for name in ("left", "right"):
+                    rows = batch.column(name)[i].values
+                    sides.append((rows.field("member").to_numpy(), rows.field("c").to_numpy(), [np.frombuffer(h.as_py(), np.uint64) for h in rows.field("hashes")]))
+                (ma, ca, a), (mb, cb, b) = sides
+                p, q = tile_links(a, b, percent)
+                p, q = p[ca[p] != cb[q]], q[ca[p] != cb[q]]
+                _, first = np.unique(np.stack([ca[p], cb[q]]), axis=1, return_index=True)
+                yield pa.record_batch([pa.array(ma[p[first]]), pa.array(mb[q[first]])], ["a", "b"])
+
+    return cut(map_arrow(pairs.select("left", "right"), run, "a long, b long"), "set-links")
+
+
 def confirmed(pairs: DataFrame, held: DataFrame, percent: int = PERCENT, likely: float = LIKELY) -> DataFrame:
     """The pairs that are linked, by their full sets."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            equal = (_tokens(batch.column("ta")) == _tokens(batch.column("tb"))).mean(1)
+            marks = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("ta", "tb"))
+            equal = np.equal(*marks).mean(1)
             yield batch.select(["a", "b"]).filter(pa.array(equal >= likely))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +254,20 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int = PERCENT, likely:
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    a, b = (held.select(F.col("member").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    a, b = (held.select(F.col("member").alias(c), F.col("marks").alias(f"t{c}")) for c in "ab")
     near = cut(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb"), estimate, "a long, b long"), "likely-pairs")
     a, b = (held.select(F.col("member").alias(c), F.col("hashes").alias(f"x{c}")) for c in "ab")
     return cut(map_arrow(near.join(a, "a").join(b, "b").select("a", "b", "xa", "xb"), exact, "a long, b long"), "set-links")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``member``, ``tokens``, ``hashes`` (sorted 64-bit shingle hashes) of the members ``wanted``; written."""
+    """``member``, ``tokens``, ``marks`` (a byte of each token), ``hashes`` (sorted 64-bit shingle hashes) of the members ``wanted``; written."""
+
+    def with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = _tokens(batch.column("tokens")).astype(np.uint8)
+            yield pa.record_batch([*(batch.column(c) for c in ("member", "tokens", "hashes")), pa.array([x.tobytes() for x in marks], pa.binary())],
+                                  ["member", "tokens", "hashes", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
@@ -218,7 +277,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Dat
 
     texts = wanted.select("th").distinct()
     own = docs.select("text", F.xxhash64("text").alias("th")).join(bounded_broadcast(texts, wanted.count(), 32), "th", "left_semi").dropDuplicates(["th", "text"])
-    return cut(map_arrow(own.select("text"), run, "s1 long, s2 long, hashes binary").join(wanted, ["s1", "s2"]).select("member", "tokens", "hashes"), "full-sets", "zstd")
+    named = map_arrow(own.select("text"), run, "s1 long, s2 long, hashes binary").join(wanted, ["s1", "s2"])
+    return cut(map_arrow(named.select("member", "tokens", "hashes"), with_marks, "member long, tokens binary, hashes binary, marks binary"), "full-sets", "zstd")
 
 
 def linked(docs: DataFrame, members: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, start: int = START,
@@ -230,21 +290,26 @@ def linked(docs: DataFrame, members: DataFrame, shingle: int = SHINGLE, percent:
     wanted = rows.select("member").distinct()
     wanted = cut(members.join(bounded_broadcast(wanted, rows.count(), 32), "member", "left_semi"), "joined-members")
     held = full_sets(docs, wanted, shingle)
-    links, components, level = None, None, start
+    links: list[DataFrame] = []
+
+    def united(found: DataFrame, components: DataFrame | None) -> DataFrame | None:
+        if found.isEmpty():
+            return components
+        links.append(found)
+        return cut(connected_components(functools.reduce(DataFrame.union, links)), "set-components")
+
+    components, level = None, start
     while True:
-        whole = leaf if level < deepest else None
-        open_ = open_nodes(rows, components)
-        found = confirmed(candidates(open_, whole, percent), held, percent)
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            components = cut(connected_components(links), "set-components")
-        large = open_.where(F.col("outside") > leaf)
-        if whole is None or large.isEmpty():
+        nodes = open_nodes(rows, components)
+        components = united(confirmed(candidates(nodes, percent), held, percent), components)
+        nodes = open_nodes(nodes.where(F.col("size") > TINY).select("key", "used", "member", "n"), components)
+        small = nodes if level >= deepest else nodes.where(F.col("outside") <= leaf)
+        if not small.isEmpty():
+            components = united(small_node_links(small, held, percent), components)
+        large = nodes.where(F.col("outside") > leaf)
+        if level >= deepest or large.isEmpty():
             return components
-        # What the links have not settled goes on: small nodes as they are, large ones to their children.
-        left = open_nodes(large.select("key", "used", "member", "n"), components)
-        small = left.where(F.col("outside") <= leaf).select("key", "used", "member", "n")
-        rows = cut(small.union(next_nodes(left.where(F.col("outside") > leaf), held)), "path-members")
+        rows = cut(next_nodes(large, held), "path-members")
         level += 1
 
 
