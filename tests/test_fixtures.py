@@ -213,6 +213,23 @@ def test_exact_quantiles(spark):
     assert "percentile(" not in clean.fence_bounds(df, "v")._jdf.queryExecution().toString().lower().replace("percentile_approx(", "")
 
 
+def test_quantiles_narrow_in_rounds(spark):
+    """Brackets that may hold few rows force rounds; ties, gaps and far values stay exact, and no window orders the rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
+    for values in (rng.normal(size=20_000), rng.integers(0, 4, 20_000).astype(float), np.concatenate([np.full(9_000, 5.0), rng.pareto(0.3, 9_000)]), -np.abs(rng.standard_cauchy(15_000))):
+        df = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(values)] + [(None, 7)], "v double, g int").repartition(4)
+        found = quantiles.exact_quantiles(df, "v", probs, accuracy=100, gathered=20)
+        r = found.first()
+        assert r["n"] == len(values) and [r[f"q{i}"] for i in range(6)] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
+        assert "Window" not in found._jdf.queryExecution().toString()
+        for r in quantiles.exact_quantiles(df, "v", [0.25, 0.95], by=["g"], accuracy=100, gathered=20).collect():
+            assert [r["q0"], r["q1"]] == pytest.approx(list(np.quantile(values[r["g"] :: 2], [0.25, 0.95])), rel=1e-12)
+    assert quantiles.exact_quantiles(df.where("false"), "v", [0.5]).collect() == []
+
+
 # Rejected modes and degenerate histories
 def test_unknown_operation_is_rejected(spark, tmp):
     p = prepare(read_sales_csv(spark, sales_csv(tmp, [row()])))

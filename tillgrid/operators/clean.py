@@ -1,6 +1,7 @@
 """Cleaning operators (DataFrame -> DataFrame), in pipeline order.
 
-Every operator is lazy; none triggers a job. Schema-level decisions (which
+Every operator is lazy, but for the exact fence, whose brackets (a row per group) are
+found by jobs that run at once. Schema-level decisions (which
 columns exist, what type they have) are made on the driver from
 ``df.schema``, which costs nothing.
 """
@@ -20,7 +21,7 @@ from ..config import (
     NA_TOKENS,
     NUMERIC_COLUMNS,
 )
-from ..functions.dates import date_text, day_by_shape, day_of, iso_week, month_of, weekday_monday0, year_of
+from ..functions.dates import date_text, day_of, iso_week, month_of, weekday_monday0, with_day_by_shape, year_of
 from ..functions.numbers import coerce_number
 from ..functions.text import promotion_flag
 from .joins import one_row, sized_broadcast
@@ -76,7 +77,7 @@ def _with_day(df: DataFrame, column: str, day: str, formats: list[str] | None =
     dtype = df.schema[column].dataType
     if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
         return df.withColumn(day, F.col(column).cast("date"))
-    return df.withColumn(day, day_by_shape(date_text(F.col(column)), formats or DATE_FORMATS))
+    return with_day_by_shape(df, date_text(F.col(column)), day, formats or DATE_FORMATS)
 
 
 def parse_dates(df: DataFrame, column: str = "date", formats: list[str] | None = None) -> DataFrame:
