@@ -56,7 +56,7 @@ def test_equals_layouts_tried_in_order(spark):
         if not (rng.random() < 0.3 and text[i].isdigit() and text[i - 1 : i] == ""):
             cells.append(text[:i] + rng.choice("0123456789 /.-J") + text[i + 1 :])
     df = spark.createDataFrame([(c,) for c in cells], "t string").withColumn("text", dates.date_text(F.col("t")))
-    both = df.select("t", dates.parse_date_text(F.col("text")).alias("tried"), dates.day_by_shape(F.col("text")).alias("day"))
+    both = dates.with_day_by_shape(df.withColumn("tried", dates.parse_date_text(F.col("text"))), F.col("text"), "day")
     rows = both.collect()
     differ = [(r["t"], r["tried"], r["day"]) for r in rows if r["tried"] != r["day"]]
     assert differ == []

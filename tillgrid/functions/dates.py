@@ -12,9 +12,8 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE_FORMATS, MONTH_NAMES, TIME_PART
@@ -94,38 +93,48 @@ def valid_day(year: Column, month: Column, day: Column) -> Column:
     return F.when((year >= 1) & month.between(1, 12) & (day >= 1) & (day <= days), F.make_date(year, month, day))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once per row, also where the optimizer repeats this column in a pushed filter."""
-    return F.transform(F.array(value), use)[0]
+def _staged(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that later filters can't repeat.
+
+    A pushed filter takes the place of a projection's columns, each time they are named; it stops at a
+    generator, which here makes one row of one.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def day_by_shape(text: Column, formats: list[str] | None = None) -> Column:
-    """`date_text` -> DATE; NULL if no layout fits.
+def with_day_by_shape(df: DataFrame, text: Column, day: str, formats: list[str] | None = None) -> DataFrame:
+    """``df`` with the date in ``text`` (see `date_text`) as ``day``; NULL if no layout fits.
 
-    Fields have the widths their layout names (``d`` and ``M`` one or two digits).
+    Fields have the widths their layout names (``d`` and ``M`` one or two digits). Shape, places and
+    parts are each computed once per row.
     """
     table = shape_table(formats or DATE_FORMATS)
+    out = _staged(df, "_text", text)
     if table is None:
-        return parse_date_text(text, formats)
+        return out.withColumn(day, parse_date_text(F.col("_text"), formats)).drop("_text")
     names = ["y_at", "y_width", "m_at", "m_width", "d_at", "d_width"]
+    kind = "map<string,struct<" + ",".join(f"{n}:int" for n in names) + ">>"
 
     def places(shape: Column, i: int) -> Column:
-        entries = [x for known, found in sorted(table.items()) if len(found) > i
-                   for x in (F.lit(known), F.struct(*[F.lit(found[i][n]).alias(n) for n in names]))]
-        return F.try_element_at(F.create_map(*entries), shape)
-
-    def cut(cell: Column, at: Column) -> Column:
-        year, month, day = (F.substring(cell, at[f"{n}_at"], at[f"{n}_width"]) for n in "ymd")
-        parts = F.struct(year.try_cast("int").alias("y"), month_number(month).alias("m"), day.try_cast("int").alias("d"))
-        century = lambda y: F.when(at["y_width"] > 2, 0).when(y >= 69, 1900).otherwise(2000)
-        return F.when(at.isNotNull(), _once(parts, lambda p: _once(p["y"] + century(p["y"]), lambda y: valid_day(y, p["m"], p["d"]))))
-
-    def found(cell: Column) -> Column:
-        # One try, unless layouts of the list share a shape.
-        return _once(cell_shape(cell), lambda shape: F.coalesce(
-            *[_once(places(shape, i), lambda at: cut(cell, at)) for i in range(max(map(len, table.values())))]))
-
-    return _once(text, found)
+        """Where the parts stand in the i-th layout of a shape: one list item per length, each a short map."""
+        by_length = []
+        for length in range(LONGEST_CELL + 1):
+            entries = [x for known, found in sorted(table.items()) if len(found) > i and len(known) == length
+                       for x in (F.lit(known), F.struct(*[F.lit(found[i][n]).alias(n) for n in names]))]
+            by_length.append(F.create_map(*entries).cast(kind) if entries else F.lit(None).cast(kind))
+        return F.try_element_at(F.get(F.array(*by_length), F.length(shape)), shape)
+
+    out, days, cell = _staged(out, "_shape", cell_shape(F.col("_text"))), [], F.col("_text")
+    for i in range(max(map(len, table.values()))):  # once, unless layouts of the list share a shape
+        out = _staged(out, f"_at{i}", places(F.col("_shape"), i))
+        at = F.col(f"_at{i}")
+        year, month, date = (F.substring(cell, at[f"{n}_at"], at[f"{n}_width"]) for n in "ymd")
+        parts = F.struct(year.try_cast("int").alias("y"), month_number(month).alias("m"), date.try_cast("int").alias("d"))
+        out = _staged(out, f"_part{i}", F.when(at.isNotNull(), parts))
+        part = F.col(f"_part{i}")
+        century = F.when(at["y_width"] > 2, 0).when(part["y"] >= 69, 1900).otherwise(2000)
+        days.append(valid_day(part["y"] + century, part["m"], part["d"]))
+    return out.withColumn(day, F.coalesce(*days)).drop("_text", "_shape", *[f"_{c}{i}" for i in range(len(days)) for c in ("at", "part")])
 
 
 def parse_date_text(col: Column, formats: list[str] | None = None) -> Column:
@@ -134,7 +143,7 @@ def parse_date_text(col: Column, formats: list[str] | None = None) -> Column:
     ``try_to_timestamp`` returns NULL instead of failing on bad, empty or
     impossible dates, so the first layout that fits wins and nothing raises
     under ANSI mode. Every layout repeats what it is given, and a miss costs an
-    exception; `day_by_shape` is the way for layouts of day, month and year.
+    exception; `with_day_by_shape` is the way for layouts of day, month and year.
     """
     text = col
     tries = []
