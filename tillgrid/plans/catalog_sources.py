@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean
 from ..session import scratch_path
-from ..sources import files, sinks
+from ..sources import files, ingest, sinks
 from ..sources.testdata import sales_view, table
 from ..streaming import alarms, uploads
 from . import reports
@@ -121,6 +121,14 @@ def q_crawled_table(spark, sf_dir):
     return files.crawl_to_parquet(spark, raw, dest).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("p_size").alias("total_size"))
 
 
+# ================================================================== S6 + C1
+@register("ingested_sales", sql(SUMMARY))
+def q_ingested_sales(spark, sf_dir):
+    """The cleaning pipeline over facts and orders that were ingested in buckets of the order key."""
+    facts = ingest.ingest_facts(spark, table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    return _summary(prepare(sales_view(spark, sf_dir, facts, distinct=True), cleaned_path=_folder(spark, "cleaned"), distinct=True))
+
+
 # ================================================================== S8
 @register("payload_events", """
 SELECT event_type AS status, COUNT(*) AS n, date_trunc('second', MAX(ts)) AS last_update, COUNT(DISTINCT user_id) AS n_jobs

@@ -31,15 +31,15 @@ class Stages:
 
 
 def stages(raw: DataFrame, date_formats: list[str] | None = None, approx_fence: bool = False,
-           cleaned_path: str | None = None) -> Stages:
-    """Build every stage lazily.
+           cleaned_path: str | None = None, distinct: bool = False) -> Stages:
+    """Build every stage lazily. ``distinct`` says that ``raw`` holds no repeated rows any more.
 
     The fence reads the cleaned table twice (once for the quartiles, once to
     filter). With ``cleaned_path`` the cleaned table is written there as
     Parquet first, so the joins and the de-duplication run once and the
     quartile pass scans a single column; without it the plan stays lazy.
     """
-    deduped = clean.normalise_headers(clean.dedup_rows(raw))
+    deduped = clean.normalise_headers(raw if distinct else clean.dedup_rows(raw))
     deduped = clean.parse_dates(deduped, "date", date_formats)
     cleaned = clean.drop_missing(deduped, ["date"])
     cleaned = clean.coerce_numeric(cleaned)
@@ -74,6 +74,6 @@ def observed_stages(raw: DataFrame, cleaned_path: str, date_formats: list[str] |
 
 
 def prepare(raw: DataFrame, date_formats: list[str] | None = None, approx_fence: bool = False,
-            cleaned_path: str | None = None) -> DataFrame:
+            cleaned_path: str | None = None, distinct: bool = False) -> DataFrame:
     """The processed sales table (lazy unless ``cleaned_path`` is given)."""
-    return stages(raw, date_formats, approx_fence, cleaned_path).processed
+    return stages(raw, date_formats, approx_fence, cleaned_path, distinct).processed
