@@ -76,7 +76,7 @@ def test_other_layouts_are_tried(spark):
 def test_shapes_name_their_layout_only():
     table = dates.shape_table(DATE_FORMATS)
     assert all(len(places) == 1 for places in table.values())
-    assert table["99/9/9999"] == [{"d_at": 1, "d_width": 2, "m_at": 4, "m_width": 1, "y_at": 6, "y_width": 4}]
+    assert table["99/9/9999"] == [{"m_name": 0, "d_at": 1, "d_width": 2, "m_at": 4, "m_width": 1, "y_at": 6, "y_width": 4}]
     assert max(map(len, table)) <= dates.LONGEST_CELL
 
 

@@ -41,13 +41,13 @@ def layout_fields(layout: str) -> list[str] | None:
 
 
 def layout_shapes(layout: str) -> dict[str, dict[str, int]] | None:
-    """Each shape the layout can have, with the first character and the width of ``d``, ``m`` and ``y``."""
+    """Each shape the layout can have, with the first character and the width of ``d``, ``m`` and ``y``, and whether the month is a name (1 or 0)."""
     parts = layout_fields(layout)
     if parts is None:
         return None
     shapes = {}
     for widths in itertools.product(*[FIELD_WIDTHS.get(p, [len(p)]) for p in parts]):
-        shape, at, places = "", 1, {}
+        shape, at, places = "", 1, {"m_name": int("MMM" in layout)}
         for part, width in zip(parts, widths, strict=True):
             if part in FIELD_WIDTHS:
                 name = part[0].lower()
@@ -79,11 +79,10 @@ def cell_shape(text: Column) -> Column:
     return F.when(F.length(text) <= LONGEST_CELL, F.translate(text, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS)))
 
 
-def month_number(text: Column) -> Column:
-    """1 to 12 from digits or from an English name or its first three letters in any case; else NULL."""
+def month_name_number(text: Column) -> Column:
+    """1 to 12 from an English month's name or its first three letters in any case; else NULL."""
     names = {n.lower(): i + 1 for i, m in enumerate(MONTH_NAMES) for n in (m, m[:3])}
-    numbers = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(text.try_cast("int"), F.try_element_at(numbers, F.lower(text)))
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.lower(text))
 
 
 def valid_day(year: Column, month: Column, day: Column) -> Column:
@@ -112,7 +111,7 @@ def with_day_by_shape(df: DataFrame, text: Column, day: str, formats: list[str]
     out = _staged(df, "_text", text)
     if table is None:
         return out.withColumn(day, parse_date_text(F.col("_text"), formats)).drop("_text")
-    names = ["y_at", "y_width", "m_at", "m_width", "d_at", "d_width"]
+    names = ["y_at", "y_width", "m_at", "m_width", "m_name", "d_at", "d_width"]
     kind = "map<string,struct<" + ",".join(f"{n}:int" for n in names) + ">>"
 
     def places(shape: Column, i: int) -> Column:
@@ -129,7 +128,9 @@ def with_day_by_shape(df: DataFrame, text: Column, day: str, formats: list[str]
         out = _staged(out, f"_at{i}", places(F.col("_shape"), i))
         at = F.col(f"_at{i}")
         year, month, date = (F.substring(cell, at[f"{n}_at"], at[f"{n}_width"]) for n in "ymd")
-        parts = F.struct(year.try_cast("int").alias("y"), month_number(month).alias("m"), date.try_cast("int").alias("d"))
+        # The shape says which parts are digits, so these casts can't fail (a failing try_cast costs an exception).
+        number = F.when(at["m_name"] == 1, month_name_number(month)).otherwise(month.cast("int"))
+        parts = F.struct(year.cast("int").alias("y"), number.alias("m"), date.cast("int").alias("d"))
         out = _staged(out, f"_part{i}", F.when(at.isNotNull(), parts))
         part = F.col(f"_part{i}")
         century = F.when(at["y_width"] > 2, 0).when(part["y"] >= 69, 1900).otherwise(2000)
