@@ -59,6 +59,8 @@ TREES, BRANCHES, START, DEEPEST = 4, 2, 2, 8
 TINY, LEAF, HUBS = 16, 1024, 3
 #: Members and hashes that a tile of a small node holds on average, and columns of a product of tiles.
 TILE, TILE_HASHES, COLUMNS = 128, 1 << 15, 1 << 12
+#: Pairs of tiles in a task, and the most tasks.
+PAIRS, MOST_TASKS = 8, 20_000
 #: Minwise tokens, and the share of equal ones below which a candidate isn't looked at.
 TOKENS, LIKELY = 64, 0.55
 #: Hashes that are signed at once.
@@ -218,7 +220,10 @@ def small_node_links(nodes: DataFrame, held: DataFrame, percent: int = PERCENT)
     filled = cut(filled, "node-tiles", "zstd")
     x = filled.where("out").select("key", F.col("tile").alias("tx"), F.col("sets").alias("left"))
     y = filled.select("key", F.col("tile").alias("ty"), F.col("out").alias("oy"), F.col("sets").alias("right"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (~F.col("oy") | (F.col("tx") <= F.col("ty"))))
+    pairs = x.join(y, (x["key"] == y["key"]) & (~F.col("oy") | (F.col("tx") <= F.col("ty")))).select(x["key"], "tx", "ty", "oy", "left", "right")
+    # Tasks follow the number of pairs, not the bytes of tiles that the join reads.
+    cells = filled.groupBy("key").agg((F.count_if("out") * F.count("*")).alias("cells")).agg(F.sum("cells")).first()[0] or 0
+    pairs = pairs.repartition(max(1, min(MOST_TASKS, -(-cells // PAIRS))), "key", "tx", "ty", "oy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
