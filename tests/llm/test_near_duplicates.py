@@ -94,8 +94,6 @@ def test_forest_connects_what_links_connect():
 
 
 def line_set(line):
-    if len(line) <= (line.count(" ") + 1) * lines.LONG_WORDS:
-        return frozenset(re.findall(r"(?s) (?=([^ ]+.{0,4}))", " " + line))
     return frozenset([line]) if len(line) < 5 else frozenset(line[i : i + 5] for i in range(len(line) - 4))
 
 
@@ -147,6 +145,33 @@ def test_lines_match_brute_force(spark, frame, odd, table):
     assert texts == sorted((str(i), "" if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))) for i, t in rows)
 
 
+def test_line_recall_at_the_threshold(spark, frame):
+    """Pairs of lines with n shared shingles and a Jaccard similarity of 0.8 at least, most as low as the numbers allow."""
+    rng = random.Random(12)
+    rows, near = [], {}
+    for n in (4, 5, 8, 12, 13, 15, 16, 20, 30, 50, 100):
+        for i in range(200 if n < 60 else 60):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n + n // 4 + 4))
+            side = n // 8  # shingles that only one of the two has
+            pair = [line[: n + 4 + n // 4], line[: n + 4]] if i % 2 or not side else [line[: n + side + 4], line[side : n + 2 * side + 4]]
+            if 5 * len(line_set(pair[0]) & line_set(pair[1])) >= 4 * len(line_set(pair[0]) | line_set(pair[1])):
+                near.setdefault(n, []).append(len(rows))
+            rows += pair
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(list(enumerate(rows)))).collect()}
+    recall = {n: sum(kept[k + 1] == "" for k in own) / len(own) for n, own in near.items()}
+    assert all(len(own) >= 60 for own in near.values()) and len(near) == 11
+    assert all(r == 1 if n <= 12 else r >= 0.96 for n, r in recall.items()), recall
+    assert all(kept[k] == rows[k] for k in range(0, len(rows), 2))
+
+
+def test_band_keys():
+    points = lines.band_points()
+    plane, cube = points[:20], points[20:]
+    assert len(points) == 34 and all(len(set(p)) == 4 for p in points) and {b for p in points for b in p} == set(range(24))
+    assert all(sum({a, b} <= set(p) for p in plane) == 1 for a in range(16) for b in range(a))
+    assert all(sum({a, b, c} <= set(p) for p in cube) == 1 for a in range(16, 24) for b in range(16, a) for c in range(16, b))
+
+
 def test_line_dedup_runs_no_python(spark, frame):
     plan = lines.signatures(frame([(1, "a b c")]))._jdf.queryExecution().toString() + lines.dedup_lines(frame([(1, "a b c\na b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

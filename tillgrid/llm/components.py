@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, remove
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     forest of stars. Each half round is one partially aggregated minimum and
     one join that adaptive execution may split, so a node with very many
     edges never gathers them in one task. Rounds grow with the logarithm of
-    the longest path; each is cut by a written table.
+    the longest path; each is cut by a written table, and the tables before it are removed.
     They end when every node has one edge, to a centre without an edge to a smaller one. Nulls and self loops
     are left out; repeated edges count once. No edges give no rows.
     """
@@ -25,10 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = stars.union(stars.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low"))
         large = both.join(low.select("a", F.least("a", "low").alias("low")), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = cut(large, "edges")
+        before, large = stars, cut(large, "edges")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b"))))
         stars = cut(large.join(low, "a").select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        remove(before, large)
         held, nodes = stars.agg(F.count("*"), F.count_distinct("a")).first()
         centres = stars.select("b").distinct()
         if held == nodes and stars.join(centres.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
