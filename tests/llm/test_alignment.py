@@ -135,17 +135,18 @@ def test_json_and_ranks_give_the_same_tokens(odd):
 
 def test_bitmaps():
     rng = np.random.default_rng(2)
-    keys = np.unique(np.concatenate([7 << 12 | rng.integers(0, 4096, 3000), 9 << 12 | rng.integers(0, 4096, 40), 8 << 12 | np.arange(4096)]))
+    bits, most = alignment.BITS, alignment.CONTAINER
+    keys = np.unique(np.concatenate([7 << bits | rng.integers(0, most, most // 2), 9 << bits | rng.integers(0, most, 40), 8 << bits | np.arange(most)]))
     links = rng.integers(1, 3000, len(keys))
     own = alignment.Index.load(alignment.Index.pack(keys, links).dump())
     group, place, n = own.unpack()
-    assert np.array_equal(own.pairs[group] << 12 | place, keys) and np.array_equal(n, links)
+    assert np.array_equal(own.pairs[group] << bits | place, keys) and np.array_equal(n, links)
     docs, total = own.counts()
-    assert docs.tolist() == [int((keys >> 12 == p).sum()) for p in own.pairs] and total.tolist() == [int(links[keys >> 12 == p].sum()) for p in own.pairs]
+    assert docs.tolist() == [int((keys >> bits == p).sum()) for p in own.pairs] and total.tolist() == [int(links[keys >> bits == p].sum()) for p in own.pairs]
     parts = [alignment.Index.pack(keys[i::3], links[i::3]) for i in range(3)] + [alignment.Index.pack(keys[:50], links[:50])]
     merged = alignment.Index.merge(parts)
     group, place, n = merged.unpack()
-    assert np.array_equal(merged.pairs[group] << 12 | place, keys) and np.array_equal(n, links + np.where(np.arange(len(keys)) < 50, links, 0))
+    assert np.array_equal(merged.pairs[group] << bits | place, keys) and np.array_equal(n, links + np.where(np.arange(len(keys)) < 50, links, 0))
 
 
 def test_empty(spark, frame, table):

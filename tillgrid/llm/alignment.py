@@ -5,7 +5,7 @@ and by a piece vocabulary (B, which puts that space itself). Byte offsets where
 tokens of both end cut a text into groups; every A token of a group is linked
 to every B token of it.
 
-Documents are numbered within containers of 4,096. While a task encodes, it
+Documents are numbered within containers of 2,048. While a task encodes, it
 builds its containers' inverted index: for each id pair a compressed bitmap of
 the documents that hold it (a list of places while short, else bits), and
 planes of multiplicities: plane p marks the documents whose number of links
@@ -46,7 +46,7 @@ from .tokens import RANKS, _encode_whole, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
 #: Documents in a container, as bits.
-BITS = 12
+BITS = 11
 CONTAINER = 1 << BITS
 #: A bitmap of more places than this is kept as bits.
 SPARSE = CONTAINER // 16
@@ -296,7 +296,7 @@ def index(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
         n_b, width = len(b.entries), len(str(max(len(a.entries), len(b.entries))))
         digits = np.array([str(i).encode() for i in range(max(len(a.entries), len(b.entries)))], f"S{width}").view(np.uint8).reshape(-1, width)
         container, slot, parts, ids = TaskContext.get().partitionId() << 32, 0, [], pa.null()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids = batch.column("doc_id").type
             while batch.num_rows:
                 now = batch.slice(0, CONTAINER - slot)
