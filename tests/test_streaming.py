@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillgrid.operators import jobs, metrics
 from tillgrid.plans.prepare import prepare
+from tillgrid.sources.files import read_upload_files as files_read
 from tillgrid.sources.testdata import sales_view, table
 from tillgrid.streaming import alarms, uploads
 from oracle_harness import SF_SMALL
@@ -108,6 +109,32 @@ def test_uploads_are_processed_per_job(spark, tmp):
     assert (float(sums[0]), sums[1], sums[2]) == (float(cube["total_units"]), cube["n_units"], cube["n_rows"])
 
 
+def test_a_late_file_is_the_only_one_read(spark, tmp, monkeypatch):
+    """CSV text is read once per file; a replaced file starts its upload anew; every state equals one batch run."""
+    read = []
+    monkeypatch.setattr(uploads, "read_upload_files", lambda s, files, **more: (read.append(sorted(os.path.basename(f) for f in files)), files_read(s, files, **more))[1])
+    sv = sales_view(spark, SF_SMALL).where("day(date) % 9 = 0")
+    parts = [sv.filter(F.col("region") == r) for r in ("ASIA", "EUROPE", "AFRICA")]
+    landing, out, rolled = (os.path.join(tmp, x) for x in ("landing", "out", "rollups"))
+
+    def check():
+        uploads.refresh_jobs(spark, landing, out, rolled, ["job-a"])
+        own = spark.read.parquet(out).where("job_id = 'job-a'").drop("job_id")
+        assert _rows(own) == _rows(_expected(spark, tmp, "job-a").select(own.columns))
+        assert _rows(uploads.sales_rollup(spark.read.parquet(rolled))) == _rows(uploads.rollup(spark.read.parquet(out)))
+
+    _upload(tmp, "job-a", parts[0], "1.csv")
+    check()
+    _upload(tmp, "job-a", parts[0].unionByName(parts[1]), "2.csv", sorted(sv.columns))  # repeats the first file
+    check()
+    check()  # nothing new: no CSV is read
+    assert read == [["1.csv"], ["2.csv"]]
+    _upload(tmp, "job-a", parts[2].limit(50), "1.csv")  # replaced: its old rows go, but for those the second file repeats
+    check()
+    assert read[2:] == [["1.csv", "2.csv"]]
+    assert {r["part"] for r in spark.read.parquet(f"{out}-state/ledger").collect()}.__len__() == 1
+
+
 def test_upload_without_a_column_fails(spark, tmp):
     path = os.path.join(tmp, "landing", "job-c")
     os.makedirs(path)

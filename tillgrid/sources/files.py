@@ -125,6 +125,11 @@ def read_landing(spark: SparkSession, base: str, sep: str = ",", header: bool =
     return null_na_tokens(df).withColumn("job_id", _parent_folder())
 
 
+def read_upload_files(spark: SparkSession, files: list[str], sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """These files of a landing zone, each by its own header: ``job_id`` and the normalised columns."""
+    return null_na_tokens(normalise_headers(_read_by_header(spark, files, sep, '"', multi_line, job_id=True)))
+
+
 # ---------------------------------------------------------------- S6
 def crawl_to_parquet(spark: SparkSession, src: str, dest: str, sep: str = ",", table: str | None = None) -> DataFrame:
     """Discover a CSV's schema (one inference pass), write it as Parquet, return the table.
