@@ -96,5 +96,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     numbers = sorted(int(m[1]) for q in entry.queries() if (m := re.match(r"op(\d+)_", q)))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
-    assert {q for q in entry.oracle_sql() if re.match(r"op\d+_", q)} == {"op2_mtree", "op3_warc"}
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert {q for q in entry.oracle_sql() if re.match(r"op\d+_", q)} == {"op2_mtree", "op3_warc", "op12_centroids"}

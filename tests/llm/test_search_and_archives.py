@@ -43,6 +43,24 @@ def test_top_k_matches_brute_force(spark, vectors, table):
     assert sorted(tuple(r) for r in small.select("query_id", "rank", "vec_id", "score").collect()) == brute(vectors)
 
 
+def test_scores_are_exact_for_any_size(spark, table):
+    """Large queries over small vectors, and scores beyond 64 bits, which rank exactly and are null."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.integers(-999, 999, 8)]) for i in range(1, 80) if i % 100]
+    rows += [(100 * i, [float(v) for v in rng.integers(2**26, 2**27, 8)]) for i in range(1, 4)]
+    rows += [(1000, [2.0**48 + i for i in range(8)]), (1001, [-(2.0**49)] * 8)]
+    whole = [(i, [int(x) * 1024 for x in v]) for i, v in rows]
+    expected = []
+    for i, q in whole:
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in whole if j != i)[:10]
+            expected += [(i, r + 1, j, -s if abs(s) < 2**63 else None) for r, (s, j) in enumerate(best)]
+    sf = table(embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = sorted((tuple(r) for r in QUERIES["op2_mtree"](spark, sf).collect()), key=lambda r: r[:2])
+    assert found == sorted(expected, key=lambda r: r[:2])
+    assert any(r[3] is None for r in found) and any(r[3] and abs(r[3]) > 2**53 for r in found)
+
+
 def test_top_k_matches_sql(spark, table):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -13,17 +13,21 @@ a task of its own. A search takes the page with the least possible distance
 first, and skips an entry when the stored distance to the parent already
 proves, by the triangle inequality, that it lies beyond the k-th best so far;
 only the others cost a distance. Bounds are compared with a margin for
-rounding; scores are whole numbers, and equal ones go to the smaller vec_id.
+rounding; scores are whole numbers, and equal ones go to the smaller vec_id. Products are
+taken in doubles where tree and query are small enough for these to be exact, else in 64-bit or
+unbounded integers.
 
 Vectors that are null or hold null or non-finite components take no part, nor
 do rows without vec_id; shorter vectors count as ending in zeros. Equal
 vectors are points at distance zero; each is a result of its own. A repeated
 vec_id is a row like any other, so it finds its twin, and a repeated query is
-answered once per row. An empty table gives no rows; other columns are ignored.
+answered once per row. Components are bounded to +-2**58 after scaling; scores beyond 64 bits are
+ranked exactly and given as null. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import decimal
 import heapq
 import io
 from collections.abc import Iterator
@@ -39,13 +43,16 @@ from .common import cut, map_arrow, ship_package
 K, SCALE = 10, 1024
 #: Entries in a page, vectors in a shard's tree, queries in a block.
 PAGE, SHARD, BLOCK = 64, 4096, 512
+#: Components beyond this are taken as this.
+LARGEST = 2**58
 
 
 def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     """``row`` (a number per row), ``vec_id``, ``x`` (whole components) and ``n2`` (squared length, a double); written once."""
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(
         "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("long"))
+    bound = F.lit(float(LARGEST))
+    x = F.transform("embedding", lambda v: F.floor(F.greatest(-bound, F.least(bound, v.cast("double") * F.lit(float(scale))))).cast("long"))
     held = rows.where(good).select(F.monotonically_increasing_id().alias("row"), "vec_id", x.alias("x"))
     return cut(held.withColumn("n2", F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))), "whole-vectors")
 
@@ -58,9 +65,18 @@ class MTree:
     def __init__(self, **arrays: np.ndarray):
         for name in self.FIELDS:
             setattr(self, name, arrays[name])
-        # Products of doubles are exact below 2**53.
-        self.exact = np.float64 if float(np.abs(self.x).max(initial=0)) ** 2 * max(1, self.x.shape[1]) < 2**52 else np.int64
-        self.x = self.x.astype(self.exact)
+        self.x = self.x.astype(np.int64)
+        self.largest, self.copies = int(np.abs(self.x).max(initial=0)), {np.int64: self.x}
+
+    def exact_for(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors and the query, of the kind of number whose products with each other are exact."""
+        most = self.largest * max(map(abs, query.tolist()), default=0) * max(1, self.x.shape[1])
+        kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
+        if kind not in self.copies:
+            self.copies[kind] = self.x.astype(kind)
+        q = np.zeros(self.x.shape[1], kind)
+        q[: len(query)] = query.tolist()[: len(q)] if kind is object else query[: len(q)]
+        return self.copies[kind], q
 
     @classmethod
     def build(cls, row: np.ndarray, ids: np.ndarray, x: np.ndarray, longest: float, page: int = PAGE, seed: int = 0) -> MTree:
@@ -113,13 +129,12 @@ class MTree:
 
     def search(self, query: np.ndarray, own: int, longest: float, k: int = K) -> tuple[list[tuple[int, int]], int]:
         """The ``k`` best (score, vec_id), best first, and how many distances were computed."""
-        q = np.zeros(self.x.shape[1], self.exact)
-        q[: len(query)] = query[: len(q)]
+        x, q = self.exact_for(query)
         base = float((query.astype(float) ** 2).sum()) + float(longest)
         margin = 1e-6 * max(1.0, np.sqrt(base))
         best: list[tuple[int, int]] = []  # a heap: the worst first, ties by the larger id
         reach, computed = np.inf, 1
-        root = np.sqrt(max(0.0, base - 2 * float(self.x[self.e_at[0]] @ q)))
+        root = np.sqrt(max(0.0, base - 2 * float(x[self.e_at[0]] @ q)))
         pages = [(0.0, 0, root)]
         while pages:
             least, entry, to_parent = heapq.heappop(pages)
@@ -128,7 +143,7 @@ class MTree:
             first, last = self.e_first[entry], self.e_last[entry]
             if not self.e_leaf[entry]:
                 near = first + np.flatnonzero(np.abs(to_parent - self.e_up[first:last]) - self.e_radius[first:last] <= reach + margin)
-                away = np.sqrt(np.maximum(0.0, base - 2 * (self.x[self.e_at[near]] @ q).astype(float)))
+                away = np.sqrt(np.maximum(0.0, base - 2 * (x[self.e_at[near]] @ q).astype(float)))
                 computed += len(near)
                 for e, d, r in zip(near.tolist(), away.tolist(), self.e_radius[near].tolist(), strict=True):
                     if d - r <= reach + margin:
@@ -137,7 +152,8 @@ class MTree:
             near = first + np.flatnonzero((np.abs(to_parent - self.up[first:last]) <= reach + margin) & (self.row[first:last] != own))
             if not len(near):
                 continue
-            score = (self.x[near] @ q).astype(np.int64)
+            score = x[near] @ q
+            score = score if x.dtype == object else score.astype(np.int64)
             computed += len(near)
             if len(best) == k:
                 good = score >= best[0][0]
@@ -197,11 +213,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, blo
                 for row, query, x in zip(*(batch.column(c)[i].as_py() for c in ("row", "vec_id", "x")), strict=True):
                     out += [(row, query, v, s) for s, v in tree.search(np.array(x, np.int64), row, longest, k)[0]]
                 if out:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["row", "query_id", "vec_id", "score"])
+                    *ids, scores = zip(*out, strict=True)
+                    wide = pa.array([decimal.Decimal(s) for s in scores], pa.decimal128(38, 0))
+                    yield pa.record_batch([*(pa.array(c, pa.int64()) for c in ids), wide], ["row", "query_id", "vec_id", "score"])
 
-    found = map_arrow(cells, run, "row long, query_id long, vec_id long, score long")
+    found = map_arrow(cells, run, "row long, query_id long, vec_id long, score decimal(38,0)")
     place = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))
 
 
 def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
