@@ -74,6 +74,41 @@ def test_latest_per_key_uses_group_limit(spark):
         "WindowGroupLimit" in plan(df)
 
 
+def test_job_table_layout(spark, tmp):
+    """A status reads its partition, a job id skips row groups that can't hold it."""
+    from tillgrid.operators import jobs
+
+    before = table(spark, SF_SMALL, "events")
+    rows = before.unionByName(before.withColumn("event_id", F.col("event_id") + 1_000_000)).repartition(1)
+    key = "parquet.block.size"
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set(key, "16384")
+    try:
+        held = jobs.store_jobs(rows, f"{tmp}/jobs", "event_type", "user_id", ["event_id"])
+    finally:
+        conf.unset(key)
+    one = jobs.by_status(held, "job_status", "error", "ts", "event_id", stored=True)
+    assert "PartitionFilters: [isnotnull(job_status" in plan(one) and "= ERROR)" in plan(one)
+    assert one.count() == rows.where("upper(event_type) = 'ERROR'").count() > 0
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+    meta = [pq.ParquetFile(f).metadata for f in Path(tmp, "jobs").rglob("*.parquet")]
+    groups = [(m.row_group(i).column(j).statistics.min, m.row_group(i).column(j).statistics.max) for m in meta for i in range(m.num_row_groups)
+              for j in range(m.num_columns) if m.row_group(i).column(j).path_in_schema == "user_id"]
+    user = before.agg(F.min("user_id")).first()[0]
+    assert len(groups) > 8 and sum(a <= user <= b for a, b in groups) <= len(groups) / 2  # sorted: few row groups hold a user
+    found = jobs.lookup(held, "event_id", 42)
+    assert "EqualTo(event_id,42)" in plan(found) and found.count() == before.where("event_id = 42").count()
+
+
+def test_validation_report_is_one_pass(spark):
+    from tillgrid.operators import quality
+
+    df = sales_view(spark, SF_SMALL)
+    assert plan(quality.validation_report(df)).count("FileScan parquet") == plan(df).count("FileScan parquet") == 6
+
+
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 

@@ -82,6 +82,35 @@ def _expected(spark, tmp, job):
     return prepare(read_sales_csv(spark, os.path.join(tmp, "landing", job)))
 
 
+def test_status_table_rewrites_touched_buckets_only(spark, tmp):
+    """A trigger with one job replaces one bucket; replays and later triggers give the timeline of all events."""
+    src, out, progress = (os.path.join(tmp, x) for x in ("events", "status", "progress"))
+    ev = table(spark, SF_SMALL, "events").select("event_id", "user_id", "ts", "event_type")
+
+    def files():
+        return {b: sorted(os.listdir(os.path.join(out, b))) for b in os.listdir(out) if b.startswith("bucket=")}
+
+    def trigger(events):
+        events.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ev.schema).parquet(src)
+        alarms.status_table(stream, out, progress, "user_id", "ts", "event_type", "event_id", buckets=8).awaitTermination(200)
+        seen = spark.read.parquet(src)
+        expected = alarms.status_timeline(seen, "user_id", "ts", "event_type", "event_id")
+        assert _rows(spark.read.parquet(out).drop("bucket")) == _rows(expected)
+
+    trigger(ev.where("event_id % 2 = 0"))
+    before = files()
+    assert len(before) == 8
+    trigger(ev.where("event_id % 2 = 1 and user_id = 7"))
+    after = files()
+    changed = [b for b in after if after[b] != before[b]]
+    assert len(changed) == 1
+    one = spark.read.parquet(out).where("user_id = 7").drop("bucket")
+    alarms.upsert_by_key(spark.createDataFrame(one.collect(), one.schema), out, "user_id", buckets=8)  # the same rows again
+    assert _rows(spark.read.parquet(out).drop("bucket")) == _rows(alarms.status_timeline(spark.read.parquet(src), "user_id", "ts", "event_type", "event_id"))
+    assert [b for b in after if files()[b] != after[b]] == changed
+
+
 def test_uploads_are_processed_per_job(spark, tmp):
     """Several files and column orders per upload, one file a trigger: as one batch run; a replay changes nothing."""
     sv = sales_view(spark, SF_SMALL).where("day(date) % 5 = 0")

@@ -24,6 +24,23 @@ def _order(ts: str, tiebreak: str | None, desc: bool = True) -> list[Column]:
     return cols
 
 
+# ---------------------------------------------------------------- access layout of the job table
+def store_jobs(df: DataFrame, path: str, status: str, key: str, lookups: list[str] | None = None) -> DataFrame:
+    """Write a job table for point and status lookups (T7, T9, T10) and return it.
+
+    Normalised statuses become the partitions, as column ``job_status``; in them rows
+    are sorted by ``key``, so a key's rows lie in few row groups, and ``key`` and
+    the ``lookups`` columns get Parquet bloom filters, by which a scan
+    passes over row groups without the value. A large status is split over files by its size.
+    """
+    rows = df.withColumn("job_status", normalise_status(F.col(status)))
+    writer = rows.hint("rebalance", F.col("job_status")).sortWithinPartitions("job_status", key).write.mode("overwrite").partitionBy("job_status")
+    for c in [key, *(lookups or [])]:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # ---------------------------------------------------------------- T5 / T6
 def most_recent(df: DataFrame, ts: str, n: int = 100, tiebreak: str | None = None) -> DataFrame:
     """The n newest rows (distributed top-n: each task keeps n, then one merge)."""
@@ -61,8 +78,9 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 def by_status(df: DataFrame, status: str, value: str, ts: str, tiebreak: str | None = None, stored: bool = False) -> DataFrame:
     """Rows in one status, newest update first.
 
-    ``stored`` says that the column holds normalised statuses, as
-    ``with_status_badge`` writes them: then the plain comparison reaches the scan.
+    ``stored`` says that the column holds normalised statuses, as ``store_jobs``
+    and ``with_status_badge`` write them: then the plain comparison reaches the
+    scan, and in the layout of ``store_jobs`` it reads that partition only.
     """
     current = F.col(status) if stored else normalise_status(F.col(status))
     return df.filter(current == F.lit(value.upper())).orderBy(*_order(ts, tiebreak))

@@ -92,11 +92,15 @@ def validation_report(df: DataFrame) -> DataFrame:
     absent = missing_columns(df)
     columns = df.sparkSession.createDataFrame([("required_columns", c, int(c in absent)) for c in REQUIRED_COLUMNS],
                                               "check string, target string, violations long")
-    types = type_report(df).select(F.lit("numeric_type").alias("check"), F.col("column").alias("target"),
-                                   (F.col("cells") - F.col("numeric_cells")).alias("violations"))
-    numbers = df.withColumns({c: coerce_number(F.col(c), df.schema[c].dataType) for c in NUMERIC_COLUMNS if c in df.columns})
-    ranges = range_checks(numbers).select(F.col("rule").alias("check"), F.col("column").alias("target"), F.col("violations").cast("bigint"))
-    return columns.unionByName(types).unionByName(ranges).withColumn("passed", F.col("violations") == 0)
+    present = [c for c in NUMERIC_COLUMNS if c in df.columns]
+    if not present:
+        return columns.withColumn("passed", F.col("violations") == 0)
+    # Cells and numbers side by side, so that one aggregation counts both kinds of findings.
+    rows = df.select(*[F.col(c).alias(f"{c}#cell") for c in present], *[coerce_number(F.col(c), df.schema[c].dataType).alias(c) for c in present])
+    rules = [r for r in range_rules() if r[1] in present]
+    counts = rows.agg(*[(F.count(F.col(f"`{c}#cell`")) - F.count(c)).alias(f"{c}#bad") for c in present], *[F.count_if(broken).alias(name) for name, _, broken in rules])
+    found = [f"'numeric_type', '{c}', `{c}#bad`" for c in present] + [f"'{name}', '{c}', `{name}`" for name, c, _ in rules]
+    return columns.unionByName(counts.selectExpr(f"stack({len(found)}, {', '.join(found)}) AS (check, target, violations)")).withColumn("passed", F.col("violations") == 0)
 
 
 # ---------------------------------------------------------------- V11

@@ -278,7 +278,7 @@ def q_sample_100(spark, sf_dir):
 
 @register("user_history", "SELECT * FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC")
 def q_user_history(spark, sf_dir):
-    return jobs.history_for(table(spark, sf_dir, "events"), "user_id", 7, "ts", "event_id")
+    return jobs.history_for(_stored_events(spark, sf_dir), "user_id", 7, "ts", "event_id").drop("job_status")
 
 
 @register("user_latest5", """
@@ -291,16 +291,22 @@ def q_user_latest5(spark, sf_dir):
     return out.select("user_id", "rn", "event_id", "ts", "event_type", "value", "props", "n_total")
 
 
+def _stored_events(spark, sf_dir):
+    """The events as a job table in its access layout."""
+    path = scratch_path(spark, f"stored-jobs-{uuid.uuid4().hex}")
+    return jobs.store_jobs(table(spark, sf_dir, "events"), path, "event_type", "user_id", ["event_id"])
+
+
 @register("job_lookup", "SELECT * FROM events WHERE event_id = 4242")
 def q_job_lookup(spark, sf_dir):
-    return jobs.lookup(table(spark, sf_dir, "events"), "event_id", 4242)
+    return jobs.lookup(_stored_events(spark, sf_dir), "event_id", 4242).drop("job_status")
 
 
 @register("jobs_by_status", """
 SELECT event_id, user_id, ts, event_type FROM events WHERE upper(event_type) = 'ERROR'""")
 def q_jobs_by_status(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    return jobs.by_status(ev, "event_type", "error", "ts", "event_id").select("event_id", "user_id", "ts", "event_type")
+    ev = _stored_events(spark, sf_dir)
+    return jobs.by_status(ev, "job_status", "error", "ts", "event_id", stored=True).select("event_id", "user_id", "ts", "event_type")
 
 
 @register("job_latest_status", """

@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+#: Buckets of the status table: a trigger rewrites those of the jobs it has heard of.
+STATUS_BUCKETS = 64
 
 
 def with_event_time(stream: DataFrame, ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
@@ -56,3 +60,34 @@ def status_timeline(stream: DataFrame, key: str = "job_id", ts: str = "updated_a
     return stream.groupBy(key).agg(F.max_by(F.col(status), order).alias("latest_status"),
                                    F.max(F.col(ts)).alias("updated_at"),
                                    F.count(F.lit(1)).alias("n_events"))
+
+
+def upsert_by_key(batch: DataFrame, path: str, key: str, buckets: int = STATUS_BUCKETS) -> None:
+    """Put the rows of ``batch`` (one per key) in place of the keys' rows in the table at ``path``.
+
+    Keys are dealt into ``buckets`` folders by hash; only the folders of the batch's keys
+    are read and replaced. A batch that is replayed gives the same table.
+    """
+    spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = batch.withColumn("bucket", bucket).persist()
+    try:
+        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # at most all buckets
+        if not touched:
+            return
+        merged, target = rows, spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            held = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
+            merged = held.join(rows.select(key), key, "left_anti").unionByName(rows)
+        (merged.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(path))
+    finally:
+        rows.unpersist()
+
+
+def status_table(stream: DataFrame, path: str, checkpoint: str, key: str = "job_id", ts: str = "updated_at", status: str = "status",
+                 tiebreak: str | None = None, buckets: int = STATUS_BUCKETS, available_now: bool = True) -> StreamingQuery:
+    """X4 as a table: the status timeline in update mode, so a trigger writes the jobs that changed and no others."""
+    timeline = status_timeline(stream, key, ts, status, tiebreak)
+    writer = (timeline.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda batch, _: upsert_by_key(batch, path, key, buckets)))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
