@@ -58,7 +58,7 @@ TREES, BRANCHES, START, DEEPEST = 4, 2, 2, 8
 #: Members of a tiny node, members outside the largest component of a small one, members of a large one that all others meet.
 TINY, LEAF, HUBS = 16, 1024, 3
 #: Members and hashes that a tile of a small node holds on average, and columns of a product of tiles.
-TILE, TILE_HASHES, COLUMNS = 512, 1 << 16, 1 << 12
+TILE, TILE_HASHES, COLUMNS = 256, 1 << 15, 1 << 12
 #: Pairs of tiles in a task, and the most tasks.
 PAIRS, MOST_TASKS = 8, 20_000
 #: Minwise tokens, and the share of equal ones below which a candidate isn't looked at.
