@@ -83,6 +83,26 @@ def test_messages_match_enumeration():
     assert np.allclose(pii.marginals(v, weights), p / p.sum(1, keepdims=True), atol=1e-3)
 
 
+def test_one_observed_copy_decides_for_all():
+    """Phone tails, whole digits and names before an @, bare 1 to 200 times after one base span; and none without a base span."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(400):
+        number = f"+{rng.randrange(1, 99)}-{rng.randrange(100, 999)}-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+        words = [rng.choice(["call", "mail", "room", "year", "order", "in", "the"]) for _ in range(12)]
+        texts.append(" ".join([*words[:3], number, *words[3:6], f"a{rng.randrange(99)}.b@example.org", *words[6:9], str(rng.randrange(10**9)), *words[9:], str(rng.randrange(1900, 2100))]))
+    weights = pii.train_field(texts)
+    for observed, bare, kind in (("+1-555-123-4567", "1234567", "phone"), ("+1-555-123-4567", "15551234567", "phone"), ("+1-555-123-4567", "5551234567", "phone"),
+                                 ("jane.doe@example.com", "jane.doe@example", "email"), ("10.20.30.40", "10-20-30-40", "ip")):
+        for n in (1, 3, 30, 200):
+            text = f"call {observed} now " + " ".join(f"again {bare} there" for _ in range(n))
+            base = pii.base_spans(text)
+            found = pii.added_spans(text, base, weights)
+            assert len(base) == 1 and [(text[a:z], k) for a, z, k in found] == [(bare, kind)] * n, (bare, n, len(found))
+            text = " ".join(f"again {bare} there" for _ in range(n))
+            assert pii.added_spans(text, pii.base_spans(text), weights) == []
+
+
 def test_pii_query(spark, frame, odd, table):
     phone = "call +1 (375) 555-4393 today, later on ask for 555-4393 again"
     rows = [*odd, (20, phone), (21, "version 3. from 1.2.3.4 to a.b@c.de"), (22, "card 4111111111111111 or 4111111111111112")]
