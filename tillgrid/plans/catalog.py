@@ -57,18 +57,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def materialised(spark: SparkSession, sf_dir: str, name: str, raw: Callable[[], DataFrame]) -> DataFrame:
-    """The processed table of ``raw()``, prepared once per session, ``name`` and input version.
+    """The processed table of ``raw()`` (without repeated rows), prepared once per session, ``name`` and input version.
 
     It is written as Parquet partitioned by year under the shared checkpoint
     folder and re-scanned by every query. The cleaned table, which the fence
-    reads twice, lies beside it only until the processed table is written.
+    reads twice, lies beside it only until the processed table is written. Its splits
+    are of one size, so the processed table is written from them without a shuffle.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name, _signature(spark, sf_dir))
     df = _MATERIALISED.get(key)
     if df is None:
         tag = uuid.uuid4().hex
         path, cleaned = scratch_path(spark, f"processed-{tag}"), scratch_path(spark, f"cleaned-{tag}")
-        write_partitioned(stages(raw(), cleaned_path=cleaned).processed, path)
+        write_partitioned(stages(raw(), cleaned_path=cleaned, distinct=True).processed, path, rebalance=False)
         _remove(spark, cleaned)
         df = _MATERIALISED[key] = read_processed(spark, path)
     return df
@@ -84,7 +85,7 @@ def processed(spark: SparkSession, sf_dir: str, materialise: bool = True) -> Dat
     """
     if not materialise:
         return prepare(sales_view(spark, sf_dir))
-    return materialised(spark, sf_dir, "sales", lambda: sales_view(spark, sf_dir))
+    return materialised(spark, sf_dir, "sales", lambda: sales_view(spark, sf_dir, distinct=True))
 
 
 # SQL prefix: canonical view -> de-dup -> drop missing -> 1.5*IQR fence -> features.

@@ -177,9 +177,8 @@ def q_range_checks(spark, sf_dir):
 
 
 def _sales_with_null_keys(spark, sf_dir):
-    """Sales view with the PROMO category and the AFRICA region blanked (missing-key trap)."""
-    s = sales_view(spark, sf_dir)
-    return s.withColumns({
+    """Distinct rows of the sales view with the PROMO category and the AFRICA region blanked (missing-key trap)."""
+    return sales_view(spark, sf_dir, distinct=True, changes={
         "category": F.when(F.col("category") != "PROMO", F.col("category")),
         "region": F.when(F.col("region") != "AFRICA", F.col("region")),
     })
@@ -412,9 +411,8 @@ SELECT weather_condition, COUNT(*) FILTER (WHERE discount = 0) AS zero_discounts
        CAST(SUM(CAST(discount AS DECIMAL(38,6))) AS DOUBLE) AS discount_total, COUNT(*) AS n_rows
 FROM processed GROUP BY weather_condition""")
 def q_discount_filled(spark, sf_dir):
-    s = sales_view(spark, sf_dir)
-    s = s.withColumn("discount", F.when(F.col("weather_condition") != "R", F.col("discount")))
-    p = materialised(spark, sf_dir, "discount-gaps", lambda: s)
+    gaps = F.when(F.col("weather_condition") != "R", F.col("discount"))
+    p = materialised(spark, sf_dir, "discount-gaps", lambda: sales_view(spark, sf_dir, distinct=True, changes={"discount": gaps}))
     return p.groupBy("weather_condition").agg(
         F.count_if(F.col("discount") == 0).alias("zero_discounts"),
         F.sum(F.col("discount").cast("decimal(38,6)")).cast("double").alias("discount_total"),
