@@ -11,10 +11,15 @@ from pyspark.sql.types import DataType, NumericType
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def _finite(x: Column) -> Column:
+def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)
 
 
+def literal_number(text: Column) -> Column:
+    """DOUBLE of a number's literal (infinite if it is too large); any other text -> NULL."""
+    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
+
+
 def coerce_number(col: Column, source_type: DataType | None = None) -> Column:
     """Value -> DOUBLE; anything that is not a finite number becomes NULL.
 
@@ -24,7 +29,5 @@ def coerce_number(col: Column, source_type: DataType | None = None) -> Column:
     cannot poison sums or sort as largest.
     """
     if source_type is not None and isinstance(source_type, NumericType):
-        return _finite(col.cast("double"))
-    text = col.cast("string")
-    guarded = F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
-    return _finite(guarded)
+        return finite(col.cast("double"))
+    return finite(literal_number(col.cast("string")))

@@ -22,10 +22,10 @@ from ..config import (
     NUMERIC_COLUMNS,
 )
 from ..functions.dates import date_text, day_of, iso_week, month_of, weekday_monday0, with_day_by_shape, year_of
-from ..functions.numbers import coerce_number
+from ..functions.numbers import coerce_number, finite, literal_number
 from ..functions.text import promotion_flag
-from .joins import one_row, sized_broadcast
-from .quantiles import exact_quantiles
+from .joins import counted_broadcast, one_row
+from .quantiles import exact_quantiles, written
 
 
 # ---------------------------------------------------------------- P1 / N4
@@ -105,10 +105,19 @@ def rejected_rows(raw: DataFrame, date: str = "date", target: str = "units_sold"
 
 # ---------------------------------------------------------------- P6 / P7
 def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Coerce measure columns to DOUBLE; invalid -> NULL. Missing columns are skipped."""
+    """Coerce measure columns to DOUBLE; invalid -> NULL. Missing columns are skipped.
+
+    Text cells are coerced as one array, so the code that Spark makes of the stage stays
+    short enough to be compiled when dates are parsed in it too.
+    """
     wanted = columns if columns is not None else NUMERIC_COLUMNS + EXTRA_NUMERIC_COLUMNS
     present = [c for c in wanted if c in df.columns]
-    return df.withColumns({c: coerce_number(F.col(c), df.schema[c].dataType) for c in present})
+    text = [c for c in present if isinstance(df.schema[c].dataType, StringType)]
+    out = df.withColumns({c: coerce_number(F.col(c), df.schema[c].dataType) for c in present if c not in text})
+    if not text:
+        return out
+    out = out.withColumn("_numbers", F.transform(F.array(*[F.col(c) for c in text]), literal_number))
+    return out.withColumns({c: finite(F.col("_numbers")[i]) for i, c in enumerate(text)}).drop("_numbers")
 
 
 # ---------------------------------------------------------------- A12 / P8 / P9
@@ -145,8 +154,8 @@ def _with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def _with_group_bounds(df: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
-    b = bounds.select(*by, F.col("lower").alias("_fence_lower"), F.col("upper").alias("_fence_upper"))
-    return df.join(sized_broadcast(b), by)
+    b = written(bounds.select(*by, F.col("lower").alias("_fence_lower"), F.col("upper").alias("_fence_upper")))
+    return df.join(counted_broadcast(b, b.count()), by)
 
 
 def outlier_fence(df: DataFrame, column: str = "units_sold", k: float = FENCE_K,
@@ -156,7 +165,7 @@ def outlier_fence(df: DataFrame, column: str = "units_sold", k: float = FENCE_K,
     The bounds are a one-row global aggregate joined back by broadcast; the
     big side is streamed, never shuffled. With ``by`` (e.g. one fence per
     uploaded job) the bounds are one row per group, joined on the group key
-    (broadcast only under the size check).
+    (broadcast if they are few, so a group's rows don't all meet in one task).
     """
     b = fence_bounds(df, column, k, approx, by=by)
     c = F.col(column)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # planner (sort-merge, or a runtime broadcast if AQE measures a small side).
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+# The same for computed tables of a few numbers per row, whose rows were counted.
+BROADCAST_LIMIT_ROWS = 200_000
+
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (no job is run).
@@ -28,6 +31,15 @@ def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) ->
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
+def counted_broadcast(df: DataFrame, rows: int, limit_rows: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast if the ``rows`` that were counted are few.
+
+    For small tables that were computed (a row per group, names of files): Catalyst's
+    estimate goes by what they were made from, or is unknown, so it can't tell that they are small.
+    """
+    return F.broadcast(df) if rows <= limit_rows else df
+
+
 def one_row(df: DataFrame) -> DataFrame:
     """Broadcast a frame that is a global aggregate (exactly one row).
 

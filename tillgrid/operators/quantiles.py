@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import one_row, sized_broadcast
+from .joins import counted_broadcast, one_row
 
 #: Relative rank error of the first sketch, as one part in so many rows.
 ACCURACY = 50_000
@@ -27,26 +27,26 @@ GATHERED = 1 << 20
 STEPS, STEP_ACCURACY = 1000, 100_000
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """A small table (a row per group), computed now and kept in the checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def _with(rows: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+def _with(rows: DataFrame, bounds: DataFrame, keys: list[str], groups: int) -> DataFrame:
     if not keys:
         return rows.crossJoin(one_row(bounds))
     names = [f"_key{i}" for i in range(len(keys))]
     right = bounds.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in bounds.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
-    return rows.join(sized_broadcast(right), same).drop(*names)
+    return rows.join(counted_broadcast(right, groups), same).drop(*names)
 
 
 def _inside(i: int) -> Column:
     return F.col("_v").between(F.col("_b")[2 * i], F.col("_b")[2 * i + 1])
 
 
-def _narrowed(rows: DataFrame, bounds: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def _narrowed(rows: DataFrame, bounds: DataFrame, keys: list[str], probs: list[float], groups: int) -> DataFrame:
     """``bounds`` with brackets inside the old ones: ``_b``, and ``_m``, the rows in the fullest."""
     ranks = F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)])
     parts = []
@@ -54,7 +54,7 @@ def _narrowed(rows: DataFrame, bounds: DataFrame, keys: list[str], probs: list[f
         own = F.when(_inside(i), F.col("_v"))
         parts += [F.count_if(F.col("_v") < F.col("_b")[2 * i]).alias(f"_below{i}"), F.count(own).alias(f"_m{i}"),
                   F.percentile_approx(own, ranks, STEP_ACCURACY).alias(f"_s{i}")]
-    found = _with(rows, bounds.select(*keys, "_b", "_n"), keys).groupBy(*keys, "_n").agg(*parts)
+    found = _with(rows, bounds.select(*keys, "_b", "_n"), keys, groups).groupBy(*keys, "_n").agg(*parts)
     edges, held = [], []
     for i, p in enumerate(probs):
         # Both neighbours of the wanted place lie within two steps and two rows of it.
@@ -85,14 +85,14 @@ def exact_quantiles(df: DataFrame, column: str | Column, probs: list[float], by:
     bounds = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*ranks), accuracy).alias("_b"), F.count("_v").alias("_n"))
     # Small groups are gathered whole; the sketch's error is at most one accuracy-th to each side.
     bounds = bounds.withColumn("_m", F.when(F.col("_n") <= 10 * accuracy, 0).otherwise(F.col("_n") * 6 / accuracy).cast("long"))
-    bounds = _written(bounds)
-    fullest = bounds.agg(F.max("_m")).first()[0]
+    bounds = written(bounds)
+    fullest, groups = bounds.agg(F.max("_m"), F.count(F.lit(1))).first()
     while fullest is not None and fullest > gathered:
-        before, bounds = fullest, _written(_narrowed(rows, bounds, keys, probs))
+        before, bounds = fullest, written(_narrowed(rows, bounds, keys, probs, groups))
         fullest = bounds.agg(F.max("_m")).first()[0]
         if fullest >= before:  # nothing but ties is left between the borders
             break
-    rows = _with(rows, bounds.drop("_m"), keys)
+    rows = _with(rows, bounds.drop("_m"), keys, groups)
     inside = reduce(lambda a, b: a | b, [_inside(i) for i in range(len(probs))]) | (F.col("_n") <= 10 * accuracy)
     gap = sum((F.col("_v") > F.col("_b")[2 * i + 1]).cast("int") for i in range(len(probs)))
     held = rows.groupBy(*keys, "_n", F.when(inside, F.col("_v")).alias("_value"), F.when(~inside, gap).alias("_gap")).agg(

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import clean, quality
-from ..operators.joins import sized_broadcast
 from ..sources.files import read_upload_files
 
 LEDGER = "path string, length long, modified long, part string, columns string, job_id string"
@@ -125,9 +124,8 @@ def known_files(spark: SparkSession, state: str, jobs: list[str]) -> list[Upload
 
 def cleaned_parts(spark: SparkSession, state: str, files: list[UploadFile]) -> DataFrame:
     """The cleaned rows of these files."""
-    parts = spark.createDataFrame([(f.part,) for f in files], "part string").distinct()
-    rows = spark.read.parquet(f"{state}/cleaned").where(F.col("job_id").isin(sorted({f.job_id for f in files})))
-    return rows.join(sized_broadcast(parts), "part", "left_semi")
+    jobs, parts = (sorted({getattr(f, name) for f in files}) for name in ("job_id", "part"))
+    return spark.read.parquet(f"{state}/cleaned").where(F.col("job_id").isin(jobs) & F.col("part").isin(parts))  # folders of the table
 
 
 def add_files(spark: SparkSession, state: str, fresh: list[UploadFile], kept: list[UploadFile]) -> list[UploadFile]:
@@ -141,7 +139,7 @@ def add_files(spark: SparkSession, state: str, fresh: list[UploadFile], kept: li
             differing = sorted(set(f.columns.split(",")) ^ set(cells))
             raise ValueError(f"Missing required columns: {differing} in {fresh[0].path} or {f.path}")
     one, two = row_hashes(cells)
-    rows = raw.select("*", one.alias("_row1"), two.alias("_row2")).dropDuplicates(["job_id", "_row1", "_row2"])
+    rows = raw.dropDuplicates().select("*", one.alias("_row1"), two.alias("_row2"))
     if any(f.part for f in kept) and _stored(spark, f"{state}/cleaned"):
         rows = rows.join(cleaned_parts(spark, state, kept).select("job_id", "_row1", "_row2"), ["job_id", "_row1", "_row2"], "left_anti")
     out = row_clean(rows).withColumn("part", F.lit(tag))
