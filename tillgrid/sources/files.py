@@ -38,19 +38,31 @@ def _parent_folder() -> Column:
     return F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
 
 
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a (possibly compressed) text file, of which no more is read; None if it has none."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    path = hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        text = hadoop.io.Text()
+        read = hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream, conf).readLine(text)
+        return text.toString().removeprefix("\ufeff") if read else None
+    finally:
+        stream.close()
+
+
 def header_groups(spark: SparkSession, path) -> list[tuple[str, list[str]]]:
     """(header line, files with it), from the first line of every file.
 
-    One text scan; tasks keep a file's first line only, and what reaches the
-    driver is the list of files, as in any file listing.
+    No more than that line's block is read of a file, and no job scans the
+    text; what reaches the driver is the list of files, as in any file listing.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("n"), F.col("value"))
-    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
     groups: dict[str, list[str]] = {}
-    for r in heads.orderBy("file").collect():
-        groups.setdefault(r["head"].rstrip("\r"), []).append(unquote(r["file"]))
+    for file in sorted(spark.read.text(path).inputFiles()):
+        head = _first_line(spark, unquote(file))
+        if head is not None:
+            groups.setdefault(head.rstrip("\r"), []).append(unquote(file))
     return sorted(groups.items(), key=lambda g: g[1][0])
 
 
