@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.joins import estimated_bytes
 from ..session import scratch_path
 
-#: Bytes that a bucket of the larger table holds on average, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 1 << 16
+#: Bytes that a bucket of the larger table holds on average (a task sorts it decoded, ten times as large), and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 16
 
 
 def bucket_count(size: int, bucket_bytes: int = BUCKET_BYTES, least: int = 8) -> int:
