@@ -61,6 +61,32 @@ def test_lookups_are_not_shuffled_with_the_facts(spark, tmp):
     assert facts and not any(c in x for x in facts for c in ("category", "p_type", "region", "r_name", "price", "store_id", "product_id", "seasonality"))
 
 
+def test_line_items_are_not_dealt_by_their_order(spark, tmp, monkeypatch):
+    """Orders are looked up in a packed table at any size; repeated, null and negative keys, and several promotions of a key, give the joined rows."""
+    base = star(spark, tmp)
+    orders = [(k, p) for k, p in [(1, "1-URGENT"), (1, "2-HIGH"), (1, "2-HIGH"), (2, None), (3, "4-NOT SPECIFIED"), (None, "2-HIGH"), (-5, "3-MEDIUM"), (2**62, "x")]]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.mode("overwrite").parquet(f"{base}/orders.parquet")
+    line = spark.read.parquet(f"{base}/lineitem.parquet").limit(4)
+    more = [line.withColumn("l_orderkey", F.lit(k).cast("long")) for k in (-5, 2**62, 7, -6)]
+    testdata.table(spark, base, "lineitem").unionByName(more[0]).unionByName(more[1]).unionByName(more[2]).unionByName(more[3]).write.parquet(f"{base}/line")
+    spark.read.parquet(f"{base}/line").write.mode("overwrite").parquet(f"{base}/lineitem.parquet")
+    expected = rows(testdata.sales_view(spark, base).dropDuplicates())
+    assert len({r.split("holiday_promotion=")[1][:4] for r in expected}) == 5
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)  # tables of any size
+    try:
+        for width, packed in ((testdata.BLOCK_BYTES, True), (1 << 40, False)):
+            monkeypatch.setattr(testdata, "BLOCK_BYTES", width)
+            early = testdata.sales_view(spark, base, distinct=True)
+            assert ("hashpartitioning(l_orderkey" not in plan(early)) == packed
+            assert rows(early) == expected
+        monkeypatch.setattr(testdata, "MARK_BYTES", 1 << 40)  # too many repeated rows
+        assert rows(testdata.sales_view(spark, base, distinct=True)) == expected
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_write_without_rebalancing(spark, tmp):
     key = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(key)

@@ -69,7 +69,7 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, raw: Callable[[],
     if df is None:
         tag = uuid.uuid4().hex
         path, cleaned = scratch_path(spark, f"processed-{tag}"), scratch_path(spark, f"cleaned-{tag}")
-        write_partitioned(stages(raw(), cleaned_path=cleaned, distinct=True).processed, path, rebalance=False)
+        write_partitioned(stages(raw(), cleaned_path=cleaned, distinct=True).processed, path, rebalance=False, codec="zstd")
         _remove(spark, cleaned)
         df = _MATERIALISED[key] = read_processed(spark, path)
     return df

@@ -46,7 +46,7 @@ def stages(raw: DataFrame, date_formats: list[str] | None = None, approx_fence:
     cleaned = clean.drop_missing(cleaned, ["units_sold"])
     quality.check_schema(cleaned)
     if cleaned_path is not None:
-        cleaned.write.mode("overwrite").parquet(cleaned_path)
+        cleaned.write.mode("overwrite").option("compression", "zstd").parquet(cleaned_path)
         cleaned = cleaned.sparkSession.read.parquet(cleaned_path)
     kept = clean.outlier_fence(cleaned, "units_sold", approx=approx_fence)
     processed = clean.fill_discount(clean.add_features(kept))

@@ -19,7 +19,8 @@ PARTITION_COLUMNS = ("year",)
 OPEN_FILES = 32
 
 
-def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS, mode: str = "overwrite", rebalance: bool = True) -> str:
+def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS, mode: str = "overwrite", rebalance: bool = True,
+                      codec: str | None = None) -> str:
     """Write Parquet partitioned by ``partition_by`` (default ``year``, the
     user-filter column, so a year filter prunes directories).
 
@@ -28,18 +29,19 @@ def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS,
     ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` as it needs and joins
     small ones, so files follow the size of the data at any scale. Without
     ``rebalance`` nothing is shuffled: each task writes a file per partition value, which
-    suits rows that are read from files in splits of an even size.
+    suits rows that are read from files in splits of an even size. ``codec`` compresses the files (default: the session's).
     """
+    options = {"compression": codec} if codec else {}
     cols = [c for c in partition_by if c in df.columns]
     if rebalance or not cols:
         out = df.hint("rebalance", *[F.col(c) for c in cols]) if cols else df
-        out.write.mode(mode).partitionBy(*cols).parquet(path)
+        out.write.options(**options).mode(mode).partitionBy(*cols).parquet(path)
         return path
     conf, key = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
     before = conf.get(key)
     conf.set(key, OPEN_FILES)
     try:
-        df.write.mode(mode).partitionBy(*cols).parquet(path)
+        df.write.options(**options).mode(mode).partitionBy(*cols).parquet(path)
     finally:
         conf.set(key, before)
     return path
