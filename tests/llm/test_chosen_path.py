@@ -88,6 +88,26 @@ def test_large_groups_go_down_the_trees(spark, frame, monkeypatch):
     assert 3 < len({r[2] for r in expected}) < len(rows) - 50
 
 
+def test_pairs_of_tiles_are_not_shuffled(spark, monkeypatch):
+    """Tiles are dealt once and paired where they are compared, whatever the slices."""
+    sets = [np.unique(np.arange(i % 6 * 1000, i % 6 * 1000 + 30 + i, dtype=np.uint64)) for i in range(36)]
+    held = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "member long, hashes binary")
+    nodes = spark.createDataFrame([(k, i, len(x), i, 0, 36, sum(map(len, sets))) for k in (1, 2) for i, x in enumerate(sets)],
+                                  "key long, member long, n long, c long, main long, size long, hashes long")
+    plans = []
+    whole = chosen_path.map_arrow
+    monkeypatch.setattr(chosen_path, "map_arrow", lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), whole(df, *rest))[1])
+    monkeypatch.setattr(chosen_path, "TILE", 5)
+    expected = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))}
+    for slice_ in (64, 2):
+        monkeypatch.setattr(chosen_path, "SLICE", slice_)
+        found = {(min(p), max(p)) for p in chosen_path.small_node_links(nodes, held).collect()}
+        assert found == expected and len(found) > 20
+    for plan in plans:
+        above = plan[: plan.index("SortMergeJoin")]
+        assert "Exchange" not in above and plan.count("REPARTITION_BY_NUM") == 2
+
+
 @pytest.mark.parametrize("n", [2, 5, 20, 200])
 def test_recall_at_the_threshold(n):
     """Pairs of similarity 0.8 share a node of some tree; unlike pairs rarely do."""

@@ -61,6 +61,8 @@ TINY, LEAF, HUBS = 16, 1024, 3
 TILE, TILE_HASHES, COLUMNS = 256, 1 << 15, 1 << 12
 #: Pairs of tiles in a task, and the most tasks.
 PAIRS, MOST_TASKS = 8, 20_000
+#: Tiles of a node that a tile is compared with in one task.
+SLICE = 64
 #: Minwise tokens, and the share of equal ones below which a candidate isn't looked at.
 TOKENS, LIKELY = 64, 0.55
 #: Hashes that are signed at once.
@@ -215,15 +217,21 @@ def small_node_links(nodes: DataFrame, held: DataFrame, percent: int = PERCENT)
     """Links (``a``, ``b``) between the members outside each node's largest component and all of its members, at most one
     for two components of a pair of tiles; written."""
     tiles = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") / TILE), F.ceil(F.col("hashes") / TILE_HASHES))
-    placed = nodes.select("key", "member", "c", (F.col("c") != F.col("main")).alias("out"), F.pmod(F.xxhash64("member"), tiles).alias("tile"))
-    filled = placed.join(held.select("member", "hashes"), "member").groupBy("key", "out", "tile").agg(F.collect_list(F.struct("member", "c", "hashes")).alias("sets"))
+    placed = nodes.select("key", "member", "c", (F.col("c") != F.col("main")).alias("out"), tiles.alias("tiles"))
+    placed = cut(placed.withColumn("tile", F.pmod(F.xxhash64("member"), F.col("tiles"))), "tile-members")
+    filled = bounded_broadcast(placed, placed.count(), 64).join(held.select("member", "hashes"), "member").groupBy("key", "out", "tile").agg(
+        F.collect_list(F.struct("member", "c", "hashes")).alias("sets"), F.max("tiles").alias("tiles"))
     filled = cut(filled, "node-tiles", "zstd")
-    x = filled.where("out").select("key", F.col("tile").alias("tx"), F.col("sets").alias("left"))
-    y = filled.select("key", F.col("tile").alias("ty"), F.col("out").alias("oy"), F.col("sets").alias("right"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (~F.col("oy") | (F.col("tx") <= F.col("ty")))).select(x["key"], "tx", "ty", "oy", "left", "right")
+    # Sets are dealt once, by the left tile and a slice of the right ones: a pair of tiles is made where it is compared.
+    outer = filled.where("out").select("key", F.col("tile").alias("tx"))
+    outer = bounded_broadcast(outer, outer.count(), 32)
+    x = filled.where("out").select("key", F.col("tile").alias("tx"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tiles - 1) div {SLICE}"))).alias("slice"), F.col("sets").alias("left"))
+    y = filled.select("key", F.col("tile").alias("ty"), F.expr(f"tile div {SLICE}").alias("slice"), F.col("out").alias("oy"), F.col("sets").alias("right"))
+    y = y.join(outer, "key").where(~F.col("oy") | (F.col("tx") <= F.col("ty"))).select("key", "tx", "slice", "right")
     # Tasks follow the number of pairs, not the bytes of tiles that the join reads.
     cells = filled.groupBy("key").agg((F.count_if("out") * F.count("*")).alias("cells")).agg(F.sum("cells")).first()[0] or 0
-    pairs = pairs.repartition(max(1, min(MOST_TASKS, -(-cells // PAIRS))), "key", "tx", "ty", "oy")
+    tasks, by = max(1, min(MOST_TASKS, -(-cells // PAIRS))), ["key", "tx", "slice"]
+    pairs = x.repartition(tasks, *by).join(y.repartition(tasks, *by).hint("merge"), by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +269,8 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int = PERCENT, likely:
 
     a, b = (held.select(F.col("member").alias(c), F.col("marks").alias(f"t{c}")) for c in "ab")
     near = cut(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb"), estimate, "a long, b long"), "likely-pairs")
+    # Few pairs go to the sets, not the sets to them; only their own sets are dealt then.
+    near = bounded_broadcast(near, near.count(), 32)
     a, b = (held.select(F.col("member").alias(c), F.col("hashes").alias(f"x{c}")) for c in "ab")
     return cut(map_arrow(near.join(a, "a").join(b, "b").select("a", "b", "xa", "xb"), exact, "a long, b long"), "set-links")
 
