@@ -172,6 +172,17 @@ def test_band_keys():
     assert all(sum(a in p for p in cube) == 3 for a in range(16, 24))
 
 
+def test_keys_that_fall_together_only_add_pairs(spark, frame, monkeypatch):
+    """Keys and bins are shuffled short: unlike lines in a bucket are told apart by their shingles."""
+    monkeypatch.setattr(lines, "KEY_MASK", 3)
+    monkeypatch.setattr(lines, "TASK_PAIRS", 5)
+    rows = line_rows([])[:8]
+    gone = brute_lines(rows)
+    assert dict(lines.signatures(frame(rows)).dtypes)["bins"] == "array<tinyint>"
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(rows)).collect()}
+    assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
+
+
 def test_line_dedup_runs_no_python(spark, frame):
     plan = lines.signatures(frame([(1, "a b c")]))._jdf.queryExecution().toString() + lines.dedup_lines(frame([(1, "a b c\na b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
