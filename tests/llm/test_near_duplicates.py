@@ -183,6 +183,35 @@ def test_keys_that_fall_together_only_add_pairs(spark, frame, monkeypatch):
     assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
 
 
+def test_unlike_lines_of_a_bucket_make_no_rows(spark, frame, monkeypatch):
+    """All lines share few buckets: bins and maps are asked inside the join on the bucket, and no near pair is lost."""
+    monkeypatch.setattr(lines, "KEY_MASK", 1)
+    monkeypatch.setattr(lines, "CROWD", 2)
+    monkeypatch.setattr(lines, "TASK_KEYS", 100)
+    written, plans = lines.cut, {}
+    monkeypatch.setattr(lines, "cut", lambda df, name, *rest: (plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()), written(df, name, *rest))[1])
+    rows = line_rows([(300, "ab cd\nabcdef\nabcdefg"), (301, "abcdefghijkl\n\U0001f600\U0001f601\U0001f602\U0001f600\U0001f601\U0001f602x")])[8:]
+    gone = brute_lines(rows)
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(rows)).collect()}
+    assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows} and gone
+    assert re.search("Join Inner, .*key.*bit_count", plans["likely-lines"][-1])
+
+
+def test_maps_of_near_lines_are_within(spark, frame):
+    """The bits of two maps differ in no more places than a near pair's sets may differ in shingles."""
+    rng = random.Random(5)
+    rows = []
+    for n in [rng.randrange(16, 900) for _ in range(60)]:
+        line = "".join(rng.choice("abcd " if n % 3 else "abcdefghijklmnopqrst ") for _ in range(n))
+        rows += [line, line[n // 12 :], "".join(rng.choice("abcd ") for _ in range(n))]
+    held = lines.distinct_lines(frame(list(enumerate(rows))))
+    found = held.join(lines.maps(held, held.select("id")), "id")
+    x, y = (lines.side(found, c, lines.WITHIN, found["line"].alias(f"line_{c}")) for c in "xy")
+    within = {(r[0], r[1]) for r in x.join(y, lines.within()).select("line_x", "line_y").collect()}
+    near = {(a, b) for a in set(rows) for b in set(rows) if a.strip(" ") and b.strip(" ") and 5 * len(line_set(a) & line_set(b)) >= 4 * len(line_set(a) | line_set(b))}
+    assert near <= within and len(near) > 200 and len(within) < len(set(rows)) ** 2 / 2
+
+
 def test_line_dedup_runs_no_python(spark, frame):
     plan = lines.signatures(frame([(1, "a b c")]))._jdf.queryExecution().toString() + lines.dedup_lines(frame([(1, "a b c\na b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
