@@ -151,3 +151,19 @@ def test_empty(spark, frame):
     assert chosen_path.near_duplicates(frame([])).collect() == []
     assert found(chosen_path.near_duplicates(frame([(1, None), (2, ""), (None, " ")]))) == brute([(1, None), (2, ""), (None, " ")])
     assert found(chosen_path.near_duplicates(frame([(None, "a b"), (None, "a b"), (None, "c")]))) == [("None", 1, "None", True)] * 3
+
+
+def test_tiles_are_dealt_by_blocks_and_scratch_tables_go(spark, frame, monkeypatch):
+    import os
+
+    written, made = chosen_path.cut, {}
+    monkeypatch.setattr(chosen_path, "TILE", 5)
+    monkeypatch.setattr(chosen_path, "TINY", 3)
+    monkeypatch.setattr(chosen_path, "cut", lambda df, name, *rest: (made.setdefault(name, []).append(written(df, name, *rest)), made[name][-1])[1])
+    remove = chosen_path.remove
+    blocks, kept = [], lambda *tables: [blocks.append(t.count()) for t in tables if t in made.get("tile-blocks", [])] and None or remove(*tables)
+    monkeypatch.setattr(chosen_path, "remove", kept)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([f"x{k}" if i % 60 == k * 7 % 60 or i == k % 60 else w for i, w in enumerate(base)])) for k in range(60)]
+    assert found(chosen_path.near_duplicates(frame(rows))) == brute(rows)
+    assert blocks and all(not os.path.exists(df.written_to) for name in ("signed-sets", "full-sets", "node-tiles", "open-members", "path-members", "shared-nodes") for df in made[name])

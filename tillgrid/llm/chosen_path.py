@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, documents, map_arrow, slices
+from .common import bounded_broadcast, cut, documents, map_arrow, remove, slices
 from .components import connected_components
 from .words import shingle_hashes
 
@@ -61,8 +61,8 @@ TINY, LEAF, HUBS = 16, 1024, 3
 TILE, TILE_HASHES, COLUMNS = 256, 1 << 15, 1 << 12
 #: Pairs of tiles in a task, and the most tasks.
 PAIRS, MOST_TASKS = 8, 20_000
-#: Tiles of a node that a tile is compared with in one task.
-SLICE = 64
+#: Tiles of a node that a tile is compared with in one task, and tiles that are compared with them together.
+SLICE, BLOCK = 64, 4
 #: Minwise tokens, and the share of equal ones below which a candidate isn't looked at.
 TOKENS, LIKELY = 64, 0.55
 #: Hashes that are signed at once.
@@ -170,7 +170,9 @@ def open_nodes(rows: DataFrame, components: DataFrame | None) -> DataFrame:
     parts = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("key").agg(
         F.sum("m").alias("size"), F.sum("n").alias("hashes"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts"))
     open_ = cut(parts.where("parts > 1").select("key", "size", "hashes", F.col("top.c").alias("main"), (F.col("size") - F.col("top.m")).alias("outside")), "open-nodes")
-    return cut(placed.join(bounded_broadcast(open_, open_.count(), 64), "key"), "open-members")
+    out = cut(placed.join(bounded_broadcast(open_, open_.count(), 64), "key"), "open-members")
+    remove(open_, *([] if components is None else [placed]))
+    return out
 
 
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -218,20 +220,23 @@ def small_node_links(nodes: DataFrame, held: DataFrame, percent: int = PERCENT)
     for two components of a pair of tiles; written."""
     tiles = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") / TILE), F.ceil(F.col("hashes") / TILE_HASHES))
     placed = nodes.select("key", "member", "c", (F.col("c") != F.col("main")).alias("out"), tiles.alias("tiles"))
-    placed = cut(placed.withColumn("tile", F.pmod(F.xxhash64("member"), F.col("tiles"))), "tile-members")
-    filled = bounded_broadcast(placed, placed.count(), 64).join(held.select("member", "hashes"), "member").groupBy("key", "out", "tile").agg(
+    written = cut(placed.withColumn("tile", F.pmod(F.xxhash64("member"), F.col("tiles"))), "tile-members")
+    filled = bounded_broadcast(written, written.count(), 64).join(held.select("member", "hashes"), "member").groupBy("key", "out", "tile").agg(
         F.collect_list(F.struct("member", "c", "hashes")).alias("sets"), F.max("tiles").alias("tiles"))
     filled = cut(filled, "node-tiles", "zstd")
-    # Sets are dealt once, by the left tile and a slice of the right ones: a pair of tiles is made where it is compared.
-    outer = filled.where("out").select("key", F.col("tile").alias("tx"))
-    outer = bounded_broadcast(outer, outer.count(), 32)
-    x = filled.where("out").select("key", F.col("tile").alias("tx"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tiles - 1) div {SLICE}"))).alias("slice"), F.col("sets").alias("left"))
+    # Sets are dealt by a block of left tiles and a slice of the right ones: a pair of tiles is made where it is compared,
+    # and a right tile is dealt once for a block.
+    block = F.expr(f"tile div {BLOCK}")
+    outer = filled.where("out").groupBy("key", block.alias("block")).agg(F.min("tile").alias("least"))
+    blocks = cut(outer, "tile-blocks")
+    outer = bounded_broadcast(blocks, blocks.count(), 40)
+    x = filled.where("out").select("key", block.alias("block"), F.col("tile").alias("tx"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tiles - 1) div {SLICE}"))).alias("slice"), F.col("sets").alias("left"))
     y = filled.select("key", F.col("tile").alias("ty"), F.expr(f"tile div {SLICE}").alias("slice"), F.col("out").alias("oy"), F.col("sets").alias("right"))
-    y = y.join(outer, "key").where(~F.col("oy") | (F.col("tx") <= F.col("ty"))).select("key", "tx", "slice", "right")
+    y = y.join(outer, "key").where(~F.col("oy") | (F.col("least") <= F.col("ty"))).select("key", "block", "slice", "ty", "oy", "right")
     # Tasks follow the number of pairs, not the bytes of tiles that the join reads.
     cells = filled.groupBy("key").agg((F.count_if("out") * F.count("*")).alias("cells")).agg(F.sum("cells")).first()[0] or 0
-    tasks, by = max(1, min(MOST_TASKS, -(-cells // PAIRS))), ["key", "tx", "slice"]
-    pairs = x.repartition(tasks, *by).join(y.repartition(tasks, *by).hint("merge"), by)
+    tasks, by = max(1, min(MOST_TASKS, -(-cells // PAIRS))), ["key", "block", "slice"]
+    pairs = x.repartition(tasks, *by).join(y.repartition(tasks, *by).hint("merge"), by).where(~F.col("oy") | (F.col("tx") <= F.col("ty")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +251,9 @@ def small_node_links(nodes: DataFrame, held: DataFrame, percent: int = PERCENT)
                 _, first = np.unique(np.stack([ca[p], cb[q]]), axis=1, return_index=True)
                 yield pa.record_batch([pa.array(ma[p[first]]), pa.array(mb[q[first]])], ["a", "b"])
 
-    return cut(map_arrow(pairs.select("left", "right"), run, "a long, b long"), "set-links")
+    links = cut(map_arrow(pairs.select("left", "right"), run, "a long, b long"), "set-links")
+    remove(written, filled, blocks)
+    return links
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, percent: int = PERCENT, likely: float = LIKELY) -> DataFrame:
@@ -305,6 +312,7 @@ def linked(docs: DataFrame, members: DataFrame, shingle: int = SHINGLE, percent:
     wanted = rows.select("member").distinct()
     wanted = cut(members.join(bounded_broadcast(wanted, rows.count(), 32), "member", "left_semi"), "joined-members")
     held = full_sets(docs, wanted, shingle)
+    remove(shared, wanted)
     links: list[DataFrame] = []
 
     def united(found: DataFrame, components: DataFrame | None) -> DataFrame | None:
@@ -315,24 +323,30 @@ def linked(docs: DataFrame, members: DataFrame, shingle: int = SHINGLE, percent:
 
     components, level = None, start
     while True:
-        nodes = open_nodes(rows, components)
-        components = united(confirmed(candidates(nodes, percent), held, percent), components)
-        nodes = open_nodes(nodes.where(F.col("size") > TINY).select("key", "used", "member", "n"), components)
+        every = open_nodes(rows, components)
+        remove(rows)
+        components = united(confirmed(candidates(every, percent), held, percent), components)
+        nodes = open_nodes(every.where(F.col("size") > TINY).select("key", "used", "member", "n"), components)
+        remove(every)
         small = nodes if level >= deepest else nodes.where(F.col("outside") <= leaf)
         if not small.isEmpty():
             components = united(small_node_links(small, held, percent), components)
         large = nodes.where(F.col("outside") > leaf)
         if level >= deepest or large.isEmpty():
+            remove(nodes, held)
             return components
         rows = cut(next_nodes(large, held), "path-members")
+        remove(nodes)
         level += 1
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **tree: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` per row of ``docs``; ``tree``: see `linked`."""
-    own = cut(signed(docs, shingle), "signed-sets")
-    sets = own.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.first(F.struct("th", "n", "tokens")).alias("x"))
+    whole = cut(signed(docs, shingle), "signed-sets")
+    sets = whole.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.first(F.struct("th", "n", "tokens")).alias("x"))
     members = cut(sets.select(F.monotonically_increasing_id().alias("member"), "s1", "s2", "first", "x.th", "x.n", "x.tokens"), "set-members")
+    own = cut(whole.select("doc_id", "n", "s1", "s2"), "named-sets")
+    remove(whole)
     components = linked(docs, members.select("member", "s1", "s2", "th", "n", "tokens"), shingle, percent, **tree)
     named = members.select("s1", "s2", F.col("first").alias("component_id"))
     if components is not None:
