@@ -266,3 +266,51 @@ def test_lines_of_rows_without_id_and_of_repeated_ids(spark, frame, table):
     found = QUERIES["op1_line_dedup"](spark, table(documents=frame(rows))).collect()
     assert sorted((str(r["doc_id"]), tuple(r["removed"])) for r in found) == [("1", ()), ("2", ()), ("2", ()), ("2", (1,)), ("None", ()), ("None", ()), ("None", ()), ("None", (0,)), ("None", (0, 1))]
     assert all(r["n_kept"] == r["n_lines"] - len(r["removed"]) for r in found)
+
+
+def test_similar_lines_below_the_threshold_are_told_apart_in_their_buckets(spark, frame, monkeypatch):
+    """Copies of a line that resemble each other but are not near: they are hardly ever counted in full."""
+    rng = random.Random(31)
+    base = [rng.choice("abcdefghijklmnopqrst") for _ in range(600)]
+    rows = []
+    for _ in range(40):
+        copy = list(base)
+        for at in rng.sample(range(600), 10):
+            copy[at] = rng.choice("UVWXYZ")
+        rows.append("".join(copy))
+    rows.append(rows[-1][:300] + "!" + rows[-1][300:])
+    counted, near = [], lines.near
+    monkeypatch.setattr(lines, "near", lambda pairs, held: (counted.append(pairs.count()), near(pairs, held))[1])
+    gone = brute_lines(list(enumerate(rows)))
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(list(enumerate(rows)))).collect()}
+    assert kept == {i: "" if i in gone else x for i, x in enumerate(rows)} and gone
+    sets = [line_set(x) for x in rows]
+    similar = sum(len(a & b) >= 0.6 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert similar > 500 and len(counted) == 2 and counted[1] < similar / 4
+
+
+def test_a_pair_is_one_row_of_its_buckets(spark, frame):
+    """`first_met` keeps each pair that shares a band in just one of the bands' buckets."""
+    rng = random.Random(32)
+    base = [rng.choice("abcdefghijklmnopqrst") for _ in range(300)]
+    rows = ["".join(rng.choice("UVWXYZ") if rng.random() < 0.02 else c for c in base) for _ in range(20)]
+    signed = lines.signatures(frame(list(enumerate(rows))))
+    keyed = signed.selectExpr("id", "explode(keys) as key").join(lines.packed(signed), "id")
+    x, y = (lines.side(keyed, c, lines.ALIKE, keyed["key"].alias(f"key_{c}")) for c in "xy")
+    met = x.join(y, (x["key_x"] == y["key_y"]) & (x["x"] < y["y"]))
+    all_ = [(r["x"], r["y"]) for r in met.collect()]
+    once = [(r["x"], r["y"]) for r in met.where(lines.first_met(met["key_x"])).collect()]
+    assert len(once) == len(set(once)) < len(all_) and set(once) == set(all_)
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    from tillgrid.llm import common
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return set(re.findall("shuffle_([0-9]+)_", blocks))
+
+    before, told = shuffles(), spark.conf.get(common.FREE_SHUFFLES, None)
+    out = common.cut(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "freed")
+    assert not shuffles() - before and spark.conf.get(common.FREE_SHUFFLES, None) == told
+    assert out.count() == 7
