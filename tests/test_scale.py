@@ -61,6 +61,25 @@ def test_lookups_are_not_shuffled_with_the_facts(spark, tmp):
     assert facts and not any(c in x for x in facts for c in ("category", "p_type", "region", "r_name", "price", "store_id", "product_id", "seasonality"))
 
 
+def test_parts_are_broadcast_by_their_rows_not_by_their_files(spark, tmp):
+    """Half a GB in a hash table may lie in a file of a few MB; the rows are dealt by part key then, still as narrow as with small parts."""
+    base = star(spark, tmp)
+    few = spark.read.parquet(f"{base}/part.parquet")
+    many = spark.range(10, joins.HELD_LIMIT_BYTES // joins.held_bytes(few, 1) + 1000).selectExpr("id p_partkey", "'LARGE' p_type", "1 p_size", "2.0D p_retailprice")
+    expected = rows(testdata.sales_view(spark, base).dropDuplicates())
+    assert joins.fits_broadcast(few)
+    many.unionByName(few).write.mode("overwrite").parquet(f"{base}/more")
+    spark.read.parquet(f"{base}/more").write.mode("overwrite").parquet(f"{base}/part.parquet")
+    part = spark.read.parquet(f"{base}/part.parquet")
+    assert joins.sized_broadcast(part) is not part and not joins.fits_broadcast(part)
+    for distinct in (False, True):
+        view = testdata.sales_view(spark, base, distinct=distinct)
+        assert not re.search(r"BroadcastExchange HashedRelationBroadcastMode\S*\n[^\n]*p_partkey", plan(view)) and "hashpartitioning(p_partkey" in plan(view)
+        assert rows(view if distinct else view.dropDuplicates()) == expected
+    facts = [x for x in re.findall(r"Exchange hashpartitioning\(.*", plan(view)) if "units_sold" in x or "l_quantity" in x]
+    assert facts and not any(c in x for x in facts for c in ("category", "region", "price", "store_id"))
+
+
 def test_line_items_are_not_dealt_by_their_order(spark, tmp, monkeypatch):
     """Orders are looked up in a packed table at any size; repeated, null and negative keys, and several promotions of a key, give the joined rows."""
     base = star(spark, tmp)

@@ -13,11 +13,9 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import freed_shuffles, scratch_path
 from ..sources.testdata import table
 
-#: Whether the shuffles of a query are deleted at its end.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
 
@@ -60,12 +58,8 @@ def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
+    with freed_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 # planner (sort-merge, or a runtime broadcast if AQE measures a small side).
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+# Upper bound for the hash table that a broadcast of such a side makes, on the driver and on every executor:
+# files may hold its rows in a twentieth of that.
+HELD_LIMIT_BYTES = 128 * 1024 * 1024
+
 # The same for computed tables of a few numbers per row, whose rows were counted.
 BROADCAST_LIMIT_ROWS = 200_000
 
@@ -31,6 +35,18 @@ def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) ->
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
+def held_bytes(df: DataFrame, rows: int) -> int:
+    """About the bytes that ``rows`` rows of ``df`` take in the hash table of a broadcast join: words for null bits
+    and columns, the text of strings, and an entry with its place in the table."""
+    text = sum(16 for _, kind in df.dtypes if kind == "string")
+    return rows * (8 + 8 * len(df.columns) + text + 40)
+
+
+def fits_broadcast(df: DataFrame, limit_bytes: int = HELD_LIMIT_BYTES) -> bool:
+    """Whether the hash table of ``df`` stays under the limit, by its counted rows (files of Parquet tell them in their footers)."""
+    return held_bytes(df, df.count()) <= limit_bytes
+
+
 def counted_broadcast(df: DataFrame, rows: int, limit_rows: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if the ``rows`` that were counted are few.
 

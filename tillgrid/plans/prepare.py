@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import clean, quality
+from ..session import freed_shuffles
 
 
 @dataclass
@@ -46,7 +47,8 @@ def stages(raw: DataFrame, date_formats: list[str] | None = None, approx_fence:
     cleaned = clean.drop_missing(cleaned, ["units_sold"])
     quality.check_schema(cleaned)
     if cleaned_path is not None:
-        cleaned.write.mode("overwrite").option("compression", "zstd").parquet(cleaned_path)
+        with freed_shuffles(cleaned.sparkSession):
+            cleaned.write.mode("overwrite").option("compression", "zstd").parquet(cleaned_path)
         cleaned = cleaned.sparkSession.read.parquet(cleaned_path)
     kept = clean.outlier_fence(cleaned, "units_sold", approx=approx_fence)
     processed = clean.fill_discount(clean.add_features(kept))
