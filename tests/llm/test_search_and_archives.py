@@ -43,6 +43,32 @@ def test_top_k_matches_brute_force(spark, vectors, table):
     assert sorted(tuple(r) for r in small.select("query_id", "rank", "vec_id", "score").collect()) == brute(vectors)
 
 
+def test_trees_and_queries_are_not_broadcast(spark, vectors, table, monkeypatch):
+    """A side of the cells is many times what it is made from, which no estimate sees; a tree meets several blocks in one task."""
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score int")
+    sf = table(embeddings=frame.repartition(3))
+    monkeypatch.setattr(mtree, "CELLS", 1)
+    found = mtree.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 100 == 0, shard=200, block=2)
+    assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute(vectors)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("largest", [1, 2**14, 2**28])
+def test_a_block_finds_what_its_queries_find(largest):
+    """Ties, equal points, queries of other lengths, and products beyond doubles and beyond 64 bits."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.integers(-3, 4, (400, 6)), np.ones((200, 6), np.int64), rng.integers(-40, 40, (300, 6))]) * largest
+    queries = np.concatenate([x[::50], rng.integers(-9, 9, (12, 6)) * largest, np.zeros((1, 6), np.int64)])
+    own = np.concatenate([np.arange(900)[::50], -1 - np.arange(13)])
+    longest = float((x.astype(float) ** 2).sum(1).max())
+    tree = mtree.MTree.load(mtree.MTree.build(np.arange(900), np.arange(900)[::-1] // 2, x, longest).dump())
+    for q in (queries, queries[:, :4]):
+        place, ids, scores = tree.search_block(q, own, longest)
+        assert list(zip(place.tolist(), ids.tolist(), scores.tolist())) == [(i, v, s) for i in range(len(q)) for s, v in tree.search(q[i], int(own[i]), longest)[0]]
+    few = mtree.MTree.build(np.arange(3), np.arange(3), x[:3], longest)
+    assert [len(a) for a in few.search_block(queries[:2], np.array([0, 7]), longest)] == [5, 5, 5]
+
+
 def test_scores_are_exact_for_any_size(spark, table):
     """Large queries over small vectors, and scores beyond 64 bits, which rank exactly and are null."""
     rng = np.random.default_rng(5)

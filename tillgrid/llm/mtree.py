@@ -8,11 +8,13 @@ Vectors are dealt into shards of bounded size by a hash of their row, and
 each shard's M-tree is built once and written: pages of entries, where a
 routing entry holds its object, its covering radius, its distance to the
 parent and its page, and a leaf entry its object and its distance to the
-parent. Queries come in blocks of bounded size; each block meets each shard in
-a task of its own. A search takes the page with the least possible distance
+parent. Queries come in blocks of bounded size, packed once like the trees; a tree is
+dealt once for several blocks, and meets them one after the other. Neither side of that
+is broadcast: both are many times what they were made from. A search takes the page with the least possible distance
 first, and skips an entry when the stored distance to the parent already
 proves, by the triangle inequality, that it lies beyond the k-th best so far;
-only the others cost a distance. Bounds are compared with a margin for
+only the others cost a distance. The queries of a block search together: a page is taken
+once for all that still need it, each with its own bounds, after every query has seen the leaf next to it. Bounds are compared with a margin for
 rounding; scores are whole numbers, and equal ones go to the smaller vec_id. Products are
 taken in doubles where tree and query are small enough for these to be exact, else in 64-bit or
 unbounded integers.
@@ -43,6 +45,12 @@ from .common import cut, map_arrow, ship_package
 K, SCALE = 10, 1024
 #: Entries in a page, vectors in a shard's tree, queries in a block.
 PAGE, SHARD, BLOCK = 64, 4096, 512
+#: Blocks that a tree meets in one task at most, and cells of trees and blocks from which on it meets several.
+TOGETHER, CELLS = 16, 256
+#: Tasks over which the cells are dealt at most.
+MOST_TASKS = 1 << 14
+#: Columns of what a cell gives.
+FOUND = ["row", "query_id", "vec_id", "score"]
 #: Components beyond this are taken as this.
 LARGEST = 2**58
 
@@ -68,15 +76,20 @@ class MTree:
         self.x = self.x.astype(np.int64)
         self.largest, self.copies = int(np.abs(self.x).max(initial=0)), {np.int64: self.x}
 
-    def exact_for(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The vectors and the query, of the kind of number whose products with each other are exact."""
-        most = self.largest * max(map(abs, query.tolist()), default=0) * max(1, self.x.shape[1])
+    def exact_kind(self, largest: int) -> np.ndarray:
+        """The vectors, of the kind of number whose products with queries of components up to ``largest`` are exact."""
+        most = self.largest * largest * max(1, self.x.shape[1])
         kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
         if kind not in self.copies:
             self.copies[kind] = self.x.astype(kind)
-        q = np.zeros(self.x.shape[1], kind)
-        q[: len(query)] = query.tolist()[: len(q)] if kind is object else query[: len(q)]
-        return self.copies[kind], q
+        return self.copies[kind]
+
+    def exact_for(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors and the query, of such a kind."""
+        x = self.exact_kind(max(map(abs, query.tolist()), default=0))
+        q = np.zeros(self.x.shape[1], x.dtype)
+        q[: len(query)] = query.tolist()[: len(q)] if x.dtype == object else query[: len(q)]
+        return x, q
 
     @classmethod
     def build(cls, row: np.ndarray, ids: np.ndarray, x: np.ndarray, longest: float, page: int = PAGE, seed: int = 0) -> MTree:
@@ -117,10 +130,7 @@ class MTree:
         return cls(row=row[order_], ids=ids[order_], x=x[order_], up=np.concatenate(up), **dict(zip(cls.FIELDS[4:], columns, strict=True)))
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
-        kind = np.int32 if float(np.abs(self.x).max(initial=0)) < 2**31 else np.int64
-        np.savez(out, **{name: getattr(self, name) for name in self.FIELDS if name != "x"}, x=self.x.astype(kind))
-        return out.getvalue()
+        return _dumped(**{name: getattr(self, name) for name in self.FIELDS})
 
     @classmethod
     def load(cls, raw: bytes) -> MTree:
@@ -168,6 +178,89 @@ class MTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)], computed
 
 
+    def search_block(self, queries: np.ndarray, own: np.ndarray, longest: float, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``k`` best of every query: its place in the block, ``vec_id`` and score (whole numbers of any size), as `search` finds them."""
+        m, x = len(queries), self.exact_kind(int(np.abs(queries).max(initial=0)))
+        if x.dtype == object:
+            found = [(i, v, s) for i in range(m) for s, v in self.search(queries[i], int(own[i]), longest, k)[0]]
+            places, ids, scores = zip(*found, strict=True) if found else ((), (), ())
+            return np.array(places, np.int64), np.array(ids, np.int64), np.array(scores, object)
+        width = self.x.shape[1]
+        q = np.zeros((m, width), x.dtype)
+        q[:, : queries.shape[1]] = queries[:, :width]
+        base = (queries.astype(float) ** 2).sum(1) + float(longest)
+        margin = 1e-6 * np.maximum(1.0, np.sqrt(base))
+        none = -(2**62)  # below every score
+        score, ids, reach = np.full((m, k), none, np.int64), np.zeros((m, k), np.int64), np.full(m, np.inf)
+        seen: dict[int, np.ndarray] = {}
+
+        def away(of: np.ndarray, points: np.ndarray | slice) -> np.ndarray:
+            return np.sqrt(np.maximum(0.0, base[of, None] - 2 * (q[of] @ x[points].T).astype(float)))
+
+        def leaf(entry: int, of: np.ndarray, to_parent: np.ndarray) -> None:
+            first, last = self.e_first[entry], self.e_last[entry]
+            can = np.abs(to_parent[:, None] - self.up[None, first:last]) <= (reach[of] + margin[of])[:, None]
+            points = first + np.flatnonzero(can.any(0))
+            got = (q[of] @ x[points].T).astype(np.int64)
+            got[self.row[points][None] == own[of, None]] = none
+            some = (got > none) & (got >= score[of, -1][:, None])
+            better = np.flatnonzero(some.any(1))
+            if len(better):
+                at = of[better]
+                scores = np.concatenate([score[at], np.where(some[better], got[better], none)], axis=1)
+                names = np.concatenate([ids[at], np.broadcast_to(self.ids[points], (len(at), len(points)))], axis=1)
+                order = np.lexsort((names, -scores), axis=-1)[:, :k]
+                score[at], ids[at] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+                full = score[at, -1] > none
+                reach[at[full]] = np.sqrt(np.maximum(0.0, base[at[full]] - 2 * score[at[full], -1].astype(float)))
+
+        every = np.arange(m)
+        root = away(every, self.e_at[:1])[:, 0]
+        # First, each query sees the leaf next to it, so that its bounds are narrow early.
+        down = [(0, every, root)]
+        while down:
+            entry, of, to_parent = down.pop()
+            if self.e_leaf[entry]:
+                leaf(entry, of, to_parent)
+                seen[entry] = of
+                continue
+            first, last = self.e_first[entry], self.e_last[entry]
+            d = away(of, self.e_at[first:last])
+            nearest = d.argmin(1)
+            down += [(first + c, of[nearest == c], d[nearest == c, c]) for c in np.unique(nearest).tolist()]
+        pages = [(0.0, 0, np.zeros(m), every, root)]
+        while pages:
+            _, entry, least, of, to_parent = heapq.heappop(pages)
+            open_ = least <= reach[of] + margin[of]
+            if entry in seen:
+                open_ &= ~np.isin(of, seen[entry])
+            of, to_parent = of[open_], to_parent[open_]
+            if not len(of):
+                continue
+            if self.e_leaf[entry]:
+                leaf(entry, of, to_parent)
+                continue
+            first, last = self.e_first[entry], self.e_last[entry]
+            bound, radius = (reach[of] + margin[of])[:, None], self.e_radius[first:last][None]
+            can = np.abs(to_parent[:, None] - self.e_up[None, first:last]) - radius <= bound
+            near = np.flatnonzero(can.any(0))
+            d = away(of, self.e_at[first + near])
+            least = np.maximum(0.0, d - radius[:, near])
+            for j, c in enumerate(near.tolist()):
+                go = np.flatnonzero(can[:, c] & (least[:, j] <= bound[:, 0]))
+                if len(go):
+                    heapq.heappush(pages, (float(least[go, j].min()), int(first + c), least[go, j], of[go], d[go, j]))
+        place, rank = np.nonzero(score > none)
+        return place, ids[place, rank], score[place, rank]
+
+
+def _dumped(x: np.ndarray, **arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, ``x`` with whole numbers as narrow as they may be."""
+    out, largest = io.BytesIO(), float(np.abs(x).max(initial=0))
+    np.savez(out, **arrays, x=x.astype(np.int16 if largest < 2**15 else np.int32 if largest < 2**31 else np.int64))
+    return out.getvalue()
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
@@ -194,6 +287,18 @@ def build_trees(vectors: DataFrame, longest: float, shard: int = SHARD) -> DataF
     return cut(dealt.groupBy("shard").applyInArrow(run, "shard long, tree binary"), "metric-trees")
 
 
+def pack_queries(queries: DataFrame, blocks: int) -> DataFrame:
+    """``block``, ``queries``: the queries dealt into this many blocks, one written row each."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("row")
+        held = _dumped(_matrix(group["x"]), row=group["row"].to_numpy(), ids=group["vec_id"].to_numpy())
+        return pa.table({"block": pa.array([group["block"][0].as_py()], pa.int64()), "queries": pa.array([held], pa.binary())})
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)))
+    return cut(dealt.groupBy("block").applyInArrow(run, "block long, queries binary"), "query-blocks")
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, block: int = BLOCK, scale: int = SCALE) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows of ``rows`` where ``is_query`` holds."""
     vectors = whole_vectors(rows, scale)
@@ -201,23 +306,29 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, blo
     trees = build_trees(vectors, longest, shard)
     queries = vectors.where(is_query).select("row", F.col("vec_id").cast("long").alias("vec_id"), "x")
     blocks, shards = max(1, -(-queries.count() // block)), _shards(vectors, shard)
-    packed = queries.groupBy(F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "vec_id", "x")).alias("queries"))
-    left = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    cells = left.join(right, ["shard", "block"]).select("tree", "queries.row", "queries.vec_id", "queries.x")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tree, out = MTree.load(batch.column("tree")[i].as_py()), []
-                for row, query, x in zip(*(batch.column(c)[i].as_py() for c in ("row", "vec_id", "x")), strict=True):
-                    out += [(row, query, v, s) for s, v in tree.search(np.array(x, np.int64), row, longest, k)[0]]
-                if out:
-                    *ids, scores = zip(*out, strict=True)
-                    wide = pa.array([decimal.Decimal(s) for s in scores], pa.decimal128(38, 0))
-                    yield pa.record_batch([*(pa.array(c, pa.int64()) for c in ids), wide], ["row", "query_id", "vec_id", "score"])
-
-    found = map_arrow(cells, run, "row long, query_id long, vec_id long, score decimal(38,0)")
+    packed = pack_queries(queries, blocks)
+    # A cell is a tree with some of the blocks; both sides are dealt by it, each with no more copies than it has cells.
+    together = max(1, min(TOGETHER, blocks * shards // CELLS))
+    groups = -(-blocks // together)
+    tasks = max(1, min(2 * shards * groups, MOST_TASKS))
+    numbers = [F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))) for n in (groups, shards)]
+    left = trees.withColumn("cell", numbers[0]).repartition(tasks, "shard", "cell")
+    right = packed.withColumn("cell", F.floor(F.col("block") / together)).withColumn("shard", numbers[1]).repartition(tasks, "shard", "cell")
+
+    def run(trees: pa.Table, blocks: pa.Table) -> pa.Table:
+        found: list[pa.Table] = []
+        for tree in trees["tree"]:
+            tree = MTree.load(tree.as_py())
+            for held in blocks["queries"]:
+                with np.load(io.BytesIO(held.as_py()), allow_pickle=False) as q:
+                    row, ids, x = q["row"], q["ids"], q["x"].astype(np.int64)
+                place, near, scores = tree.search_block(x, row, longest, k)
+                wide = pa.array([decimal.Decimal(s) for s in scores], pa.decimal128(38, 0)) if scores.dtype == object else pa.array(scores).cast(pa.decimal128(38, 0))
+                found.append(pa.table([pa.array(row[place]), pa.array(ids[place]), pa.array(near), wide], FOUND))
+        return pa.concat_tables(found) if found else pa.table([[]] * 4, pa.schema(list(zip(FOUND, [*[pa.int64()] * 3, pa.decimal128(38, 0)], strict=True))))
+
+    cells = left.groupBy("shard", "cell").cogroup(right.groupBy("shard", "cell"))
+    found = cells.applyInArrow(run, "row long, query_id long, vec_id long, score decimal(38,0)")
     place = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))
 
