@@ -212,6 +212,14 @@ def test_maps_of_near_lines_are_within(spark, frame):
     assert near <= within and len(near) > 200 and len(within) < len(set(rows)) ** 2 / 2
 
 
+def test_tasks_of_maps_follow_the_lines(spark, frame):
+    """A few bytes of lines give many shingles, so their tasks are not joined by bytes; the maps are the same."""
+    held = lines.distinct_lines(frame([(i, f"line {i} of some words and {i * 7919} more") for i in range(40)]))
+    dealt = lines.maps(held, held.select("id"), 5)
+    assert "hashpartitioning(id" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 5), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, lines.maps(held, held.select("id")).collect()))
+
+
 def test_line_dedup_runs_no_python(spark, frame):
     plan = lines.signatures(frame([(1, "a b c")]))._jdf.queryExecution().toString() + lines.dedup_lines(frame([(1, "a b c\na b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
