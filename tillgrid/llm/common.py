@@ -13,7 +13,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import freed_shuffles, scratch_path
+from ..session import FREE_SHUFFLES, freed_shuffles, scratch_path  # noqa: F401  (FREE_SHUFFLES)
 from ..sources.testdata import table
 
 #: A side is broadcast only when its counted rows times its row width stay under this.
